@@ -4,16 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import digests, encode_documents
 from .embeddings import vector_links
+from .mixing import mix_report
+from .ogg import read_media, store_media
+from .sharding import shard_documents
 from .simhash import simhash_groups
 
+SHARDS = 40
+RANKS = "byte_bpe_50k.tiktoken"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as an Ogg file of 8-bit samples in two logical streams, read back and measured."""
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "coalesce(octet_length(text), 0L) AS n_bytes", "text")
+    return read_media(store_media(docs))
+
+
+def op3_weighted_fair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all sources by weighted fair queueing."""
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
 def op7_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors with cosine 0.95 or more: link counts, components, the one kept."""
     return vector_links(table(spark, sf_dir, "embeddings"), 0.95)
@@ -24,9 +43,39 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), words=3, radius=2)
 
 
+def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts in 40 shards of near equal bytes."""
+    return shard_documents(table(spark, sf_dir, "documents"), SHARDS).selectExpr("*", "'bytes' AS law", "CAST(NULL AS INT) AS grown_shard")
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every text and what they decode to, as digests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = encode_documents(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return coded.select("doc_id", *digests(coded))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_pca_tiles, op8_simhash)}
+    return {f.__name__: f for f in (op1_ogg, op3_weighted_fair, op7_pca_tiles, op8_simhash, op9_best_fit, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_pca_tiles": OP7_SQL}
+
+
+OP7_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND list_bool_and([coalesce(isfinite(x), false) FOR x IN embedding])
+    AND list_bool_or([x <> 0 FOR x IN embedding])
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.95
+), reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id,
+       vec_id <= coalesce(m, vec_id) AS kept
+FROM embeddings LEFT JOIN counts c ON c.a = vec_id LEFT JOIN least l ON l.a = vec_id
+"""
