@@ -12,8 +12,10 @@ from .bpe import digests, encode_documents
 from .embeddings import vector_links
 from .mixing import mix_report
 from .ogg import read_media, store_media
+from .pii import pii_report
 from .sharding import shard_documents
 from .simhash import simhash_groups
+from .toxicity import score_documents
 from .urlfilter import RULES, judge_pages
 from .warc import captures_of, resolve_revisits
 
@@ -41,6 +43,16 @@ def op3_weighted_fair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+def op4_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every text and the terms near it that give it away."""
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
+def op5_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every text, fitted to labels outside the held-out third."""
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A crawl of all pages with a revisit each, resolved to the response it stands for."""
     return resolve_revisits(captures_of(table(spark, sf_dir, "pages")))
@@ -69,7 +81,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ogg, op2_redirects, op3_weighted_fair, op6_revisits, op7_pca_tiles, op8_simhash, op9_best_fit, op10_bpe)}
+    return {f.__name__: f for f in (op1_ogg, op2_redirects, op3_weighted_fair, op4_disclosure, op5_grammar, op6_revisits, op7_pca_tiles, op8_simhash, op9_best_fit, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
