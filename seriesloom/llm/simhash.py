@@ -30,41 +30,60 @@ BLOCK = 1 << 16
 HOT = 64
 
 
-def simhash64(text: str | bytes | None, words: int = 3) -> int:
-    """Unsigned fingerprint of the word shingles of a text with A-Z lower-cased; 0 for no words or null."""
+def _remixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th further hash of each hash: the splitmix64 step of the k-th state after it; k = 0 leaves it as it is."""
+    if not k:
+        return h
+    x = h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def simhash(text: str | bytes | None, words: int = 3, prints: int = 1) -> list[int]:
+    """``prints`` unsigned 64-bit fingerprints of the word shingles of a text with A-Z lower-cased; 0 for no words or null."""
     if not text:
-        return 0
+        return [0] * prints
     w = (text.encode() if isinstance(text, str) else text).lower().split()  # bytes: A-Z and the six ASCII spaces only
     n = len(w)
     if not n:
-        return 0
+        return [0] * prints
     joined = b" ".join(w)
+    digest = xxhash.xxh64_intdigest
     if n <= words:
-        return xxhash.xxh64_intdigest(joined, 42)
+        one = np.array([digest(joined, 42)], np.uint64)
+        return [int(_remixed(one, k)[0]) for k in range(prints)]
     lengths = np.fromiter(map(len, w), np.int64, n)
     del w
     ends = np.cumsum(lengths + 1) - 1
     starts, ends = (ends - lengths)[: n - words + 1], ends[words - 1 :]
-    digest, total, counts = xxhash.xxh64_intdigest, len(starts), np.zeros(64, np.int64)
-    for k in range(0, total, BLOCK):
-        h = np.array([digest(joined[a:b], 42) for a, b in zip(starts[k : k + BLOCK].tolist(), ends[k : k + BLOCK].tolist(), strict=True)], ">u8")
-        counts += np.unpackbits(h.view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big")
+    total, counts = len(starts), np.zeros((prints, 64), np.int64)
+    for b in range(0, total, BLOCK):
+        h = np.array([digest(joined[x:y], 42) for x, y in zip(starts[b : b + BLOCK].tolist(), ends[b : b + BLOCK].tolist(), strict=True)], np.uint64)
+        for k in range(prints):
+            counts[k] += np.unpackbits(_remixed(h, k).astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+    return [int.from_bytes(np.packbits(2 * c > total).tobytes(), "big") for c in counts]
+
+
+def simhash64(text: str | bytes | None, words: int = 3) -> int:
+    return simhash(text, words)[0]
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", words: int = 3, out: str = "fp", keep_text: bool = True) -> DataFrame:
-    """Add the fingerprint as a signed long; all other columns pass through untouched."""
+def with_fingerprint(docs: DataFrame, text: str = "text", words: int = 3, out: str = "fp", keep_text: bool = True, prints: int = 1) -> DataFrame:
+    """Add the fingerprint as a signed long (``prints`` > 1: ``out``0, ``out``1, ...); all other columns pass through untouched."""
+    names = [out] if prints == 1 else [f"{out}{k}" for k in range(prints)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k = b.schema.get_field_index("__text")
-            fp = np.fromiter((simhash64(x.as_buffer().to_pybytes() if x.is_valid else None, words) for x in b.column(k)), np.uint64, b.num_rows)
-            cols = [c for i, c in enumerate(b.columns) if i != k]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(fp.view(np.int64))], schema=pa.schema([f for i, f in enumerate(b.schema) if i != k] + [pa.field(out, pa.int64())]))
+            i = b.schema.get_field_index("__text")
+            fp = np.array([simhash(x.as_buffer().to_pybytes() if x.is_valid else None, words, prints) for x in b.column(i)], np.uint64).reshape(-1, prints).view(np.int64)
+            cols = [c for k, c in enumerate(b.columns) if k != i]
+            fields = [f for k, f in enumerate(b.schema) if k != i] + [pa.field(n, pa.int64()) for n in names]
+            yield pa.RecordBatch.from_arrays([*cols, *[pa.array(np.ascontiguousarray(fp[:, k])) for k in range(prints)]], schema=pa.schema(fields))
 
     left = docs if keep_text else docs.drop(text)
     given = docs.select(*[docs[c] for c in left.columns], docs[text].cast("binary").alias("__text"))
-    return given.mapInArrow(run, T.StructType([*left.schema.fields, T.StructField(out, T.LongType())]))
+    return given.mapInArrow(run, T.StructType([*left.schema.fields, *[T.StructField(n, T.LongType()) for n in names]]))
 
 
 @dataclass(frozen=True)
@@ -168,7 +187,7 @@ def _place(part: int, mask: int) -> Callable[[Column], Column]:
 
 
 def _entries(fps: DataFrame, plan: Plan, probe: bool) -> DataFrame:
-    """(part, v, fp): where a fingerprint is stored, or with ``probe`` all the places where it looks."""
+    """(part, v, columns of ``fps``): where a fingerprint is stored, or with ``probe`` all the places where it looks."""
     parts = []
     for i, (mask, r) in enumerate(zip(plan.masks, plan.radii, strict=True)):
         if r < 0:
@@ -177,7 +196,7 @@ def _entries(fps: DataFrame, plan: Plan, probe: bool) -> DataFrame:
         flips = [sum(c) for e in range((r if probe else 0) + 1) for c in combinations(bits, e)]
         flipped = F.array(*[F.lit(signed(x)) for x in flips])
         parts.append(F.transform(flipped, _place(i, mask)))
-    return fps.select("fp", F.explode(F.concat(*parts)).alias("at")).select("at.part", "at.v", "fp")
+    return fps.select("*", F.explode(F.concat(*parts)).alias("at")).select("at.part", "at.v", *fps.columns)
 
 
 def star_links(fps: DataFrame) -> DataFrame:
@@ -207,32 +226,48 @@ def _forest(a: np.ndarray, b: np.ndarray, close: np.ndarray) -> list[tuple[int,
     return out
 
 
-def blocked_links(hot: DataFrame, radius: int, block: int = 128) -> DataFrame:
-    """Links among the members (fp) of each hot bucket (part, v), as forests: a bucket is cut into blocks by hash,
-    each pair of blocks is compared in a task of its own, and only spanning links leave it."""
+def blocked_links(hot: DataFrame, radius: int, also: tuple[str, ...] = (), total: int = 0, block: int = 128) -> DataFrame:
+    """Links among the members of each hot bucket (part, v), as stars: a bucket is cut into blocks by hash, each pair of
+    blocks is compared in a task of its own, and what leaves it is each member's link to the smallest of its component there."""
     import pandas as pd
 
     size = hot.groupBy("part", "v").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
-    rows = hot.join(save(size, "hot-sizes"), ["part", "v"]).withColumn("b", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))
-    rows = rows.select("part", "v", "fp", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")).select("part", "v", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "fp")
+    rows = hot.join(save(size, "hot-sizes"), ["part", "v"]).withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    rows = rows.select("part", "v", "node", "fp", *also, "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
+    rows = rows.select("part", "v", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "node", "fp", *also)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf["b"] == pdf["i"]
-        a = np.unique(pdf.loc[first, "fp"].to_numpy(np.int64))
-        c = a if pdf["i"].iloc[0] == pdf["j"].iloc[0] else np.unique(pdf.loc[~first, "fp"].to_numpy(np.int64))
-        close = np.bitwise_count(a[:, None].view(np.uint64) ^ c[None, :].view(np.uint64)) <= radius
-        return pd.DataFrame(_forest(a, c, close), columns=["src", "dst"], dtype="int64")
+        pdf = pdf.drop_duplicates("node")
+        node, fp = pdf["node"].to_numpy(np.int64), pdf["fp"].to_numpy(np.int64).view(np.uint64)
+        near = np.bitwise_count(fp[:, None] ^ fp[None, :])
+        close = near <= radius
+        if also:
+            whole = near.astype(np.int32)
+            for c in also:
+                x = pdf[c].to_numpy(np.int64).view(np.uint64)
+                whole += np.bitwise_count(x[:, None] ^ x[None, :])
+            close &= whole <= total
+        least = node.copy()
+        while True:  # smallest label among those close, until nothing changes
+            nxt = np.where(close, least[None, :], np.iinfo(np.int64).max).min(1)
+            if (nxt == least).all():
+                break
+            least = nxt
+        out = node != least
+        return pd.DataFrame({"src": least[out], "dst": node[out]})
 
     return rows.groupBy("part", "v", "i", "j").applyInPandas(run, "src long, dst long")
 
 
-def link_fingerprints(fps: DataFrame, radius: int = 2, plan: Plan | None = None) -> DataFrame:
-    """Links (src, dst) whose connected components are those of "at most ``radius`` bits differ".
+def link_fingerprints(fps: DataFrame, radius: int = 2, plan: Plan | None = None, also: tuple[str, ...] = (), total: int = 0) -> DataFrame:
+    """Links (src, dst) whose connected components are those of "at most ``radius`` bits of fp differ".
 
-    ``fps`` has distinct signed fingerprints in ``fp`` (a saved table).  Buckets
-    of up to HOT members are joined with their probes and verified.  Larger ones
-    lose nothing: at radius 2 their members meet at shared one-bit neighbours
-    (:func:`star_links`), beyond that in pairs of blocks (:func:`blocked_links`).
+    ``fps`` has ``node`` (distinct longs) and ``fp`` (signed longs) in a saved
+    table.  With ``also``, further fingerprint columns, a pair must besides differ in
+    at most ``total`` bits of all of them together.  Buckets of up to HOT members
+    are joined with their probes and verified.  Larger ones lose nothing: at
+    radius 2 their members meet at shared one-bit neighbours (:func:`star_links`,
+    where node is fp), else in pairs of blocks (:func:`blocked_links`).
     """
     plan = plan or make_plan(fps, radius)
     index, probe = _entries(fps, plan, False), _entries(fps, plan, True)
@@ -241,14 +276,21 @@ def link_fingerprints(fps: DataFrame, radius: int = 2, plan: Plan | None = None)
     if not hot.isEmpty():
         cool_i = save(index.join(hot, ["part", "v"], "left_anti"), "index")
         cool_p = cool_i if max(plan.radii) < 1 else save(probe.join(hot, ["part", "v"], "left_anti"), "probes")
-        if radius <= 2:
-            links = star_links(probe.join(hot, ["part", "v"], "left_semi").select("fp").distinct()) if radius == 2 else None
-        if links is None:
-            links = blocked_links(save(probe.join(hot, ["part", "v"], "left_semi").distinct(), "hot"), radius)
-    a, b = cool_i.select("part", "v", F.col("fp").alias("src")), cool_p.select("part", "v", F.col("fp").alias("dst"))
-    near = F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= radius
-    pairs = a.join(b, (a.part == b.part) & (a.v == b.v) & (F.col("src") < F.col("dst")) & near).select("src", "dst").distinct()
-    return pairs if links is None else pairs.union(links)
+        if radius == 2 and not also:
+            links = star_links(probe.join(hot, ["part", "v"], "left_semi").select("fp").distinct())
+        else:
+            links = blocked_links(save(probe.join(hot, ["part", "v"], "left_semi"), "hot"), radius, also, total)
+    a = cool_i.select("part", "v", *[F.col(c).alias(f"{c}_a") for c in ("node", "fp", *also)])
+    b = cool_p.select("part", "v", *[F.col(c).alias(f"{c}_b") for c in ("node", "fp", *also)])
+
+    def apart(c: str) -> Column:
+        return F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
+
+    near = apart("fp") <= radius
+    if also:
+        near &= sum((apart(c) for c in also), apart("fp")) <= total
+    pairs = a.join(b, (a.part == b.part) & (a.v == b.v) & (F.col("node_a") < F.col("node_b")) & near).select(F.col("node_a").alias("src"), F.col("node_b").alias("dst"))
+    return (pairs if links is None else pairs.union(links)).distinct()
 
 
 def near_duplicates(prints: DataFrame, radius: int = 2, id_col: str = "doc_id", fp: str = "fp") -> DataFrame:
@@ -260,7 +302,7 @@ def near_duplicates(prints: DataFrame, radius: int = 2, id_col: str = "doc_id",
     an empty result.
     """
     fps = save(prints.groupBy(F.col(fp).alias("fp")).agg(F.min(id_col).alias("rep")), "fingerprints")
-    links = link_fingerprints(fps.select("fp"), radius)
+    links = link_fingerprints(fps.select(F.col("fp").alias("node"), "fp"), radius)
     comp = connected_components(links)
     of = save(comp.join(fps, comp.node == fps.fp).select("fp", "component", "rep"), "linked")
     least = of.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -280,15 +322,31 @@ def simhash_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     return prints.join(comp, "fp").select(F.col(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 5, radius: int = 7) -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 5, radius: int = 7, prints: int = 4, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id stays.
 
-    Null ids come after all others; of repeated rows one stays; all columns are
-    kept as they are.
+    Each text has ``prints`` fingerprints of 64 bits from independent hashes.  Two
+    texts are linked if at least ``similarity`` of all their bits agree and one of the
+    fingerprints is within ``radius`` bits; every such link is found.  More
+    fingerprints find more of the texts that are just similar enough.  Equal
+    fingerprints are one node, so copies cost nothing.  Null and empty texts
+    are equal to each other; null ids come after all others; of repeated rows one
+    stays; all columns are kept as they are.
     """
-    wide = save(with_fingerprint(docs.withColumn("__row", F.monotonically_increasing_id()), text, words, "__fp"), "wide")
-    slim = wide.select("__row", F.col(id_col).alias("__id"), F.col("__fp").alias("fp"))
-    comp = near_duplicates(slim, radius, "__id")
+    names = [f"__fp{k}" for k in range(prints)]
+    wide = save(with_fingerprint(docs.withColumn("__row", F.monotonically_increasing_id()), text, words, "__fp", prints=prints), "wide") if prints > 1 else save(with_fingerprint(docs.withColumn("__row", F.monotonically_increasing_id()), text, words, "__fp0"), "wide")
+    slim = wide.select("__row", F.col(id_col).alias("__id"), *names)
     first = F.min(F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("i"), F.col("__row").alias("r")))
-    stay = slim.join(comp.select("fp", "component"), "fp").groupBy("component").agg(first.alias("f")).select(F.col("f.r").alias("__row"))
-    return wide.join(save(stay, "stay"), "__row", "left_semi").drop("__row", "__fp")
+    nodes = save(slim.groupBy(*names).agg(first.alias("first")).withColumn("node", F.col("first.r")), "nodes")
+    total = int((1 - similarity) * 64 * prints)
+    links = None
+    for k, name in enumerate(names):
+        also = tuple(f"o{i}" for i in range(prints - 1))
+        others = [n for n in names if n != name]
+        fps = nodes.select("node", F.col(name).alias("fp"), *[F.col(n).alias(o) for n, o in zip(others, also, strict=True)])
+        one = save(link_fingerprints(fps, radius, None, also, total), f"links-{k}")
+        links = one if links is None else links.union(one)
+    comp = save(connected_components(links), "copies")
+    of = nodes.join(comp, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
+    stay = save(of.select(F.col("first.r").alias("__row")), "stay")
+    return wide.join(stay, "__row", "left_semi").drop("__row", *names)
