@@ -232,12 +232,12 @@ def blocked_links(hot: DataFrame, radius: int, also: tuple[str, ...] = (), total
     import pandas as pd
 
     size = hot.groupBy("part", "v").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
-    rows = hot.join(save(size, "hot-sizes"), ["part", "v"]).withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    rows = hot.join(save(size, "hot-sizes"), ["part", "v"]).withColumn("b", F.pmod(F.xxhash64("fp", *also), F.col("nb")).cast("int"))
     rows = rows.select("part", "v", "node", "fp", *also, "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
     rows = rows.select("part", "v", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "node", "fp", *also)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("node")
+        pdf = pdf.drop_duplicates(["node", "fp", *also])
         node, fp = pdf["node"].to_numpy(np.int64), pdf["fp"].to_numpy(np.int64).view(np.uint64)
         near = np.bitwise_count(fp[:, None] ^ fp[None, :])
         close = near <= radius
@@ -262,8 +262,8 @@ def blocked_links(hot: DataFrame, radius: int, also: tuple[str, ...] = (), total
 def link_fingerprints(fps: DataFrame, radius: int = 2, plan: Plan | None = None, also: tuple[str, ...] = (), total: int = 0) -> DataFrame:
     """Links (src, dst) whose connected components are those of "at most ``radius`` bits of fp differ".
 
-    ``fps`` has ``node`` (distinct longs) and ``fp`` (signed longs) in a saved
-    table.  With ``also``, further fingerprint columns, a pair must besides differ in
+    ``fps`` has ``node`` (longs) and ``fp`` (signed longs) in a saved table; rows
+    of one node count as linked already.  With ``also``, further fingerprint columns, a pair must besides differ in
     at most ``total`` bits of all of them together.  Buckets of up to HOT members
     are joined with their probes and verified.  Larger ones lose nothing: at
     radius 2 their members meet at shared one-bit neighbours (:func:`star_links`,
@@ -334,19 +334,19 @@ def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words:
     stays; all columns are kept as they are.
     """
     names = [f"__fp{k}" for k in range(prints)]
-    wide = save(with_fingerprint(docs.withColumn("__row", F.monotonically_increasing_id()), text, words, "__fp", prints=prints), "wide") if prints > 1 else save(with_fingerprint(docs.withColumn("__row", F.monotonically_increasing_id()), text, words, "__fp0"), "wide")
+    given = docs.withColumn("__row", F.monotonically_increasing_id())
+    wide = save(with_fingerprint(given, text, words, "__fp" if prints > 1 else "__fp0", prints=prints), "wide")
     slim = wide.select("__row", F.col(id_col).alias("__id"), *names)
     first = F.min(F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("i"), F.col("__row").alias("r")))
     nodes = save(slim.groupBy(*names).agg(first.alias("first")).withColumn("node", F.col("first.r")), "nodes")
     total = int((1 - similarity) * 64 * prints)
-    links = None
-    for k, name in enumerate(names):
-        also = tuple(f"o{i}" for i in range(prints - 1))
+    also = tuple(f"o{i}" for i in range(prints - 1))
+    for name in names:  # a fingerprint only looks for links between what the ones before it left apart
         others = [n for n in names if n != name]
         fps = nodes.select("node", F.col(name).alias("fp"), *[F.col(n).alias(o) for n, o in zip(others, also, strict=True)])
-        one = save(link_fingerprints(fps, radius, None, also, total), f"links-{k}")
-        links = one if links is None else links.union(one)
-    comp = save(connected_components(links), "copies")
-    of = nodes.join(comp, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
-    stay = save(of.select(F.col("first.r").alias("__row")), "stay")
+        links = save(link_fingerprints(fps, radius, None, also, total), "links")
+        comp = connected_components(links).withColumnRenamed("node", "__was")
+        joined = nodes.join(comp, F.col("node") == F.col("__was"), "left")
+        nodes = save(joined.select(*names, "first", F.coalesce("component", "node").alias("node")), "nodes")
+    stay = save(nodes.groupBy("node").agg(F.min("first").alias("first")).select(F.col("first.r").alias("__row")), "stay")
     return wide.join(stay, "__row", "left_semi").drop("__row", *names)
