@@ -65,7 +65,7 @@ def parse_spec(spec: str) -> list[tuple[str, ...]]:
         return list(dict.fromkeys(out)), a or b
 
     found, no_total = terms(ast.parse(text, mode="eval").body)
-    sets = [tuple(k for k in order if k in t) for t in sorted(found, key=len)]
+    sets = sorted((tuple(k for k in order if k in t) for t in found), key=lambda t: (len(t), [order.index(k) for k in t]))
     return ([] if no_total else [()]) + sets
 
 

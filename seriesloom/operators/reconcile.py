@@ -28,6 +28,8 @@ class Reconcile:
 
     def apply(self, name: str, table: ModelTable, fc: ForecastTable) -> ForecastTable:
         base = replace(fc, df=fc.df.filter(F.col("model") == self.source))
+        if self.source in fc.inverse:  # not normal on the response scale: only the means are reconciled
+            base = replace(base, df=base.df.withColumn("sigma", F.lit(None).cast("double")))
         got = _METHODS[self.how](table, base, self.source, **dict(self.options))
         return replace(fc, df=fc.df.unionByName(got.withColumn("model", F.lit(name)), allowMissingColumns=True))
 
