@@ -322,31 +322,152 @@ def simhash_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     return prints.join(comp, "fp").select(F.col(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 5, radius: int = 7, prints: int = 4, similarity: float = 0.8) -> DataFrame:
+def shingle_set(text: bytes | None, words: int = 5) -> np.ndarray:
+    """Sorted 64-bit hashes of a text's distinct word shingles, A-Z lower-cased; a text of fewer words is one shingle, no words give none."""
+    w = (text or b"").lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    if len(w) < words:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(w), 42)], np.uint64)
+    lengths = np.fromiter(map(len, w), np.int64, len(w))
+    joined = b" ".join(w)
+    ends = np.cumsum(lengths + 1) - 1
+    starts, ends = (ends - lengths)[: len(w) - words + 1], ends[words - 1 :]
+    del w
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[x:y], 42) for x, y in zip(starts, ends, strict=True)), np.uint64, len(starts)))
+
+
+def band_hashes(shingles: np.ndarray, bands: int, rows: int) -> list[int]:
+    """A signed long for each band of ``rows`` min-hashes of a shingle set; none for the empty set."""
+    if not len(shingles):
+        return []
+    k = np.arange(1, 2 * bands * rows + 1).astype(np.uint64)
+    mask, factor = _remixed(k[: bands * rows], 1), _remixed(k[bands * rows :], 1) | np.uint64(1)
+    least = np.full(bands * rows, (1 << 64) - 1, np.uint64)
+    for b in range(0, len(shingles), 256):
+        least = np.minimum(least, ((shingles[b : b + 256, None] ^ mask) * factor).min(0))
+    return [signed(xxhash.xxh64_intdigest(least[x * rows : (x + 1) * rows].tobytes(), x)) for x in range(bands)]
+
+
+def _with_bands(docs: DataFrame, text: str, words: int, bands: int, rows: int) -> DataFrame:
+    """Add ``__set``, a 128-bit digest of the shingle set, and ``__bands``; all other columns pass through untouched."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            i = b.num_columns - 1
+            sets, out = [], []
+            for x in b.column(i):
+                s = shingle_set(x.as_buffer().to_pybytes() if x.is_valid else None, words)
+                sets.append(xxhash.xxh3_128_digest(s.tobytes()))
+                out.append(band_hashes(s, bands, rows))
+            fields = [*list(b.schema)[:i], pa.field("__set", pa.binary()), pa.field("__bands", pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:i], pa.array(sets, pa.binary()), pa.array(out, pa.list_(pa.int64()))], schema=pa.schema(fields))
+
+    given = docs.select("*", docs[text].cast("binary").alias("__text"))
+    return given.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__set", T.BinaryType()), T.StructField("__bands", T.ArrayType(T.LongType()))]))
+
+
+def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(node, s): the shingle sets of (node, binary text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 500):
+                part = b.slice(k, 500)
+                sets = [shingle_set(x.as_buffer().to_pybytes() if x.is_valid else None, words).view(np.int64) for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
+
+    return texts.mapInArrow(run, "node long, s array<long>")
+
+
+def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which pairs of sets have at least that Jaccard similarity, counted over all members, 4,096 shingles at a time."""
+    n = np.array([len(x) for x in sets], np.float64)
+    common = np.zeros((len(sets), len(sets)))
+    owner = np.repeat(np.arange(len(sets)), n.astype(np.int64))
+    _, of, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    met = count[of] > 1  # a shingle of one set alone is in no intersection
+    owner, (_, of) = owner[met], np.unique(of[met], return_inverse=True)
+    order = np.argsort(of, kind="stable")
+    owner, of = owner[order], of[order]
+    for c in range(0, int(of[-1]) + 1 if len(of) else 0, 4096):
+        x, y = np.searchsorted(of, [c, c + 4096])
+        hit = np.zeros((len(sets), 4096), np.float32)
+        hit[owner[x:y], of[x:y] - c] = 1
+        common += hit @ hit.T
+    np.fill_diagonal(common, n)
+    return common >= similarity * (n[:, None] + n[None, :] - common)
+
+
+def _hot_links(hot: DataFrame, similarity: float, block: int = 128) -> DataFrame:
+    """Verified links among the members (h, size, node, s) of large buckets, as stars: a bucket is cut into blocks by
+    hash, each pair of blocks is compared in a task of its own, and each member is linked to the smallest of its component there."""
+    import pandas as pd
+
+    rows = hot.withColumn("nb", F.ceil(F.col("size") / block).cast("int")).withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    rows = rows.select("h", "node", "s", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
+    rows = rows.select("h", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "node", "s")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        node = pdf["node"].to_numpy(np.int64)
+        close = similar(list(pdf["s"]), similarity)
+        least = node.copy()
+        while True:  # smallest label among those close, until nothing changes
+            nxt = np.where(close, least[None, :], np.iinfo(np.int64).max).min(1)
+            if (nxt == least).all():
+                break
+            least = nxt
+        out = node != least
+        return pd.DataFrame({"src": least[out], "dst": node[out]})
+
+    return rows.groupBy("h", "i", "j").applyInPandas(run, "src long, dst long")
+
+
+def jaccard_links(nodes: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """Links (src, dst) between nodes that share a band, each verified by the exact Jaccard similarity of the shingle sets.
+
+    nodes: (node, bands), texts: (node, binary text), both from saved tables.  In buckets of more than HOT members blocks
+    are compared and stars leave them; what these join isn't compared again in the others, whose pairs are joined.
+    """
+    index = nodes.select("node", F.explode("bands").alias("h"))
+    size = save(index.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1"), "buckets")
+    met = save(index.join(size, "h"), "members")
+    sets = save(_shingle_sets(texts.join(met.select("node").distinct(), "node", "left_semi"), words), "shingles")
+    hot = met.filter(F.col("size") > HOT)
+    found, cool = None, met.filter(F.col("size") <= HOT).withColumn("c", F.col("node"))
+    if not hot.isEmpty():
+        found = save(_hot_links(hot.join(sets, "node"), similarity), "hot-links")
+        comp = connected_components(found).select("node", "component")
+        cool = save(met.filter(F.col("size") <= HOT).join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"), "cool")
+    length = sets.select("node", F.size("s").alias("n"))
+    cool = save(cool.join(length, "node").select("h", "node", "c", "n"), "cool-members")
+    a, b = (cool.select("h", *[F.col(k).alias(f"{k}_{x}") for k in ("node", "c", "n")]) for x in "ab")
+    may = (F.col("node_a") < F.col("node_b")) & (F.col("c_a") != F.col("c_b")) & (F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b"))
+    pairs = save(a.join(b, (a.h == b.h) & may).select("node_a", "node_b").distinct(), "pairs")
+    left, right = (sets.select(F.col("node").alias(f"node_{x}"), F.col("s").alias(f"s_{x}")) for x in "ab")
+    both = pairs.join(left, "node_a").join(right, "node_b").withColumn("common", F.size(F.array_intersect("s_a", "s_b")))
+    union = F.size("s_a") + F.size("s_b") - F.col("common")
+    links = both.filter(F.col("common") >= F.lit(similarity) * union).select(F.col("node_a").alias("src"), F.col("node_b").alias("dst"))
+    return save(links if found is None else links.union(found), "links")
+
+
+def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 5) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id stays.
 
-    Each text has ``prints`` fingerprints of 64 bits from independent hashes.  Two
-    texts are linked if at least ``similarity`` of all their bits agree and one of the
-    fingerprints is within ``radius`` bits; every such link is found.  More
-    fingerprints find more of the texts that are just similar enough.  Equal
-    fingerprints are one node, so copies cost nothing.  Null and empty texts
+    Two texts are linked if the Jaccard similarity of their sets of word shingles, over the whole texts, is at
+    least ``similarity``.  Fingerprints only find the candidates: ``bands`` groups of ``rows`` min-hashes, one
+    of which must be equal.  A pair of similarity s has no equal one with the chance (1 - s^rows)^bands: 0.00007
+    at 0.8.  Equal sets are one node, so copies cost nothing.  Null and empty texts
     are equal to each other; null ids come after all others; of repeated rows one
     stays; all columns are kept as they are.
     """
-    names = [f"__fp{k}" for k in range(prints)]
     given = docs.withColumn("__row", F.monotonically_increasing_id())
-    wide = save(with_fingerprint(given, text, words, "__fp" if prints > 1 else "__fp0", prints=prints), "wide")
-    slim = wide.select("__row", F.col(id_col).alias("__id"), *names)
-    first = F.min(F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("i"), F.col("__row").alias("r")))
-    nodes = save(slim.groupBy(*names).agg(first.alias("first")).withColumn("node", F.col("first.r")), "nodes")
-    total = int((1 - similarity) * 64 * prints)
-    also = tuple(f"o{i}" for i in range(prints - 1))
-    for name in names:  # a fingerprint only looks for links between what the ones before it left apart
-        others = [n for n in names if n != name]
-        fps = nodes.select("node", F.col(name).alias("fp"), *[F.col(n).alias(o) for n, o in zip(others, also, strict=True)])
-        links = save(link_fingerprints(fps, radius, None, also, total), "links")
-        comp = connected_components(links).withColumnRenamed("node", "__was")
-        joined = nodes.join(comp, F.col("node") == F.col("__was"), "left")
-        nodes = save(joined.select(*names, "first", F.coalesce("component", "node").alias("node")), "nodes")
-    stay = save(nodes.groupBy("node").agg(F.min("first").alias("first")).select(F.col("first.r").alias("__row")), "stay")
-    return wide.join(stay, "__row", "left_semi").drop("__row", *names)
+    wide = save(_with_bands(given, text, words, bands, rows), "wide")
+    first = F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("__row").alias("r")))
+    nodes = wide.groupBy("__set").agg(first.alias("first"), F.first("__bands").alias("bands"))
+    nodes = save(nodes.withColumn("node", F.col("first.r")), "nodes")
+    links = jaccard_links(nodes.select("node", "bands"), wide.select(F.col("__row").alias("node"), F.col(text).cast("binary").alias("t")), similarity, words)
+    comp = connected_components(links).withColumnRenamed("node", "__was")
+    named = nodes.join(comp, F.col("node") == F.col("__was"), "left").withColumn("c", F.coalesce("component", "node"))
+    stay = save(named.groupBy("c").agg(F.min("first").alias("first")).select(F.col("first.r").alias("__row")), "stay")
+    return wide.join(stay, "__row", "left_semi").drop("__row", "__set", "__bands")

@@ -217,6 +217,45 @@ def test_near_copies_go_and_others_stay(spark):
     assert got == [*range(30), 90]
 
 
+def _jaccard(a, b):
+    x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def _changed(rng, t, n):
+    """n words, far from each other, changed: five shingles each."""
+    at = rng.sample(range(10, len(t) - 10, 8), n)
+    return [f"new{rng.random()}" if k in at else w for k, w in enumerate(t)]
+
+
+def test_texts_below_the_similarity_stay(spark):
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(400)] for _ in range(30)]
+    less = [_changed(rng, t, 12) for t in base]
+    assert all(0.7 < _jaccard(a, b) < 0.8 for a, b in zip(base, less, strict=True))
+    line = "the same short line of the page again".split()
+    repeats = [line * 60 + [f"x{k}{i}" for i in range(40)] for k in range(4)]
+    assert all(_jaccard(a, b) < 0.2 for a, b in itertools.combinations(repeats, 2))
+    rows = [(i, " ".join(t)) for i, t in enumerate(base + less + repeats)]
+    assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == list(range(len(rows)))
+
+
+@pytest.mark.parametrize("hot", [2, 64])
+def test_groups_by_exact_similarity(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT", hot)
+    rng = random.Random(hot)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(150)] for _ in range(4)]
+    texts = [_changed(rng, base[k % 4], rng.randint(0, 6)) for k in range(80)]
+    least = list(range(80))
+    for _ in range(80):
+        for a, b in itertools.combinations(range(80), 2):
+            if least[a] != least[b] and _jaccard(texts[a], texts[b]) >= 0.8:
+                least[a] = least[b] = min(least[a], least[b])
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [k for k in range(80) if least[k] == k] and 4 < len(got) < 80
+
+
 def test_best_fit_by_brute_force():
     rng = random.Random(5)
     sizes = [rng.randint(1, 60) for _ in range(150)]
