@@ -240,6 +240,15 @@ def test_texts_below_the_similarity_stay(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == list(range(len(rows)))
 
 
+def test_copies_at_the_similarity_go(spark):
+    rng = random.Random(9)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(400)] for _ in range(120)]
+    near = [_changed(rng, t, 5 + k % 4) for k, t in enumerate(base)]
+    assert all(0.8 <= _jaccard(a, b) < 0.9 for a, b in zip(base, near, strict=True))
+    rows = [(i, " ".join(t)) for i, t in enumerate(base + near)]
+    assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == list(range(120))
+
+
 @pytest.mark.parametrize("hot", [2, 64])
 def test_groups_by_exact_similarity(spark, monkeypatch, hot):
     monkeypatch.setattr(simhash, "HOT", hot)
