@@ -103,15 +103,16 @@ def reported_speech() -> Transducer:
 
 
 def patterns() -> Transducer:
-    """State 1: a target was named in the clause. Output: 0, or the kind of the clause that an insult or threat makes."""
+    """State 1: a target was named in the clause; 2: a threat, but no target yet. Output: 0, or the kind of the clause that
+    an insult or threat makes; an open threat makes its clause when the target follows."""
     marked = [c | m for c in (INSULT, THREAT) for m in (0, _NEG, _REP, _NEG | _REP)]
     arcs = {}
-    for s, c in product(range(2), sorted({*range(8), *marked})):
-        kind = 0
+    for s, c in product(range(3), sorted({*range(8), *marked})):
+        kind, nxt = THREATENED if s == 2 and c == TARGET else 0, 0 if c == END else 1 if c == TARGET else 2 if c == THREAT and not s else s
         if c & 7 in (INSULT, THREAT):
-            kind = REPORTED if c & _REP else NEGATED if c & _NEG else TARGETED if c == INSULT and s else PLAIN if c == INSULT else THREATENED if s else 0
-        arcs[s, c] = (0 if c == END else 1 if c == TARGET else s, kind)
-    return Transducer(2, arcs)
+            kind = REPORTED if c & _REP else NEGATED if c & _NEG else TARGETED if c == INSULT and s == 1 else PLAIN if c == INSULT else THREATENED if s == 1 else 0
+        arcs[s, c] = (nxt, kind)
+    return Transducer(3, arcs)
 
 
 def grammar() -> list[list[tuple[int, int]]]:
@@ -142,12 +143,16 @@ class Scorer:
     def __init__(self, model: Model) -> None:
         self.model, self.table = model, grammar()
         self.known: dict[str, tuple[int, float]] = {w: (c, 1.0) for c, words in SEEDS.items() for w in words.split() if c != INSULT}
+        self.known |= {w: (THREAT, self.weight(w) or 1.0) for w in SEEDS[THREAT].split()}
         self.known |= {x: (END, 0.0) for x in _ENDS} | {x: (QUOTE, 0.0) for x in _QUOTES}
         self.fixed = dict(self.known)
 
-    def look_up(self, token: str) -> tuple[int, float]:
+    def weight(self, token: str) -> float | None:
         m = self.model
-        weight = m.words.get(token) or max((m.stems.get(token[:n], 0.0) for n in STEMS if n < len(token)), default=0.0) if m.stems else m.words.get(token)
+        return m.words.get(token) or max((m.stems.get(token[:n], 0.0) for n in STEMS if n < len(token)), default=0.0) if m.stems else m.words.get(token)
+
+    def look_up(self, token: str) -> tuple[int, float]:
+        weight = self.weight(token)
         got = (INSULT, weight) if weight else (WORD, 0.0)
         if len(self.known) > 500_000:  # forms seen, not results: what is dropped is looked up again
             self.known = dict(self.fixed)
@@ -155,7 +160,7 @@ class Scorer:
         return got
 
     def clauses(self, text: str) -> np.ndarray:
-        """Summed weights of the matched clauses of each kind."""
+        """Summed weights of the matched clauses of each kind; a threat whose word was learnt is a plain one if no target comes."""
         out, state, known, hot = [0.0] * (len(KINDS) + 1), 0, self.known, False
         seen = []
         for token in TOKEN.findall(text.lower()):
@@ -163,10 +168,18 @@ class Scorer:
             hot = hot or got[0] == INSULT or got[0] == THREAT
             seen.append(got)
         if hot:
-            for c, weight in seen:
+            waiting = learnt = 0.0
+            for c, weight in [*seen, (END, 0.0)]:
                 state, kind = self.table[state][c]
                 if kind:
-                    out[kind] += weight
+                    out[kind] += waiting if c == TARGET else weight
+                elif c == THREAT:
+                    waiting += weight
+                    learnt += weight if weight > 1 else 0.0
+                if c == END:
+                    out[PLAIN] += learnt
+                if c == END or c == TARGET:
+                    waiting = learnt = 0.0
         return np.log1p(np.array(out[1:]))
 
     def score(self, text: str | None) -> float:

@@ -144,6 +144,17 @@ def test_grammar_marks_negation_and_report():
     assert s.score(None) == s.score("") < 0.2 < 0.7 < s.score("you stupid loser")
 
 
+def test_threats_before_and_after_their_target():
+    s = toxicity.Scorer(toxicity.seed_model())
+    for t in ("you i will kill", "i will kill you", "tuer toi", "matar a ti", "ich will dich töten", "they stab and hurt you"):
+        assert int(np.argmax(s.clauses(t))) + 1 == toxicity.THREATENED and s.score(t) > s.score(""), t
+    assert s.clauses("they stab and hurt you")[toxicity.THREATENED - 1] == s.clauses("you they stab and hurt")[toxicity.THREATENED - 1]
+    assert not s.clauses("they kill time. you wait").any() and s.clauses("i will never kill you")[toxicity.THREATENED - 1] == 0
+    learnt = toxicity.Scorer(toxicity.seed_model()._replace(words={"kill": 4.0}))
+    assert learnt.clauses("i will kill you")[toxicity.THREATENED - 1] > s.clauses("i will kill you")[toxicity.THREATENED - 1]
+    assert learnt.clauses("kill it")[toxicity.PLAIN - 1] > 0 and learnt.clauses("kill you")[toxicity.PLAIN - 1] == 0
+
+
 def test_toxicity_without_labels(spark, odd):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.score_documents(odd, none).count() == len(ODD)
