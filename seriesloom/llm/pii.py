@@ -4,7 +4,8 @@ DataFrame operations only.  A term near an entity is judged by how much of the
 entity's information content it reveals over the corpus: with n(c) word places
 near entity c, n(t) places of term t, n(c, t) places of t near c and N words,
 the ratio of ln(n(c, t) N / (n(c) n(t))) to ln(N / n(c)).  It is 1 for a term
-that is never seen away from the entity.
+that is never seen away from the entity.  At few places n(c, t) / n(t) is
+smoothed by one place as likely as any other, (n(c, t) + n(c) / N) / (n(t) + 1).
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ CONTEXT = 60
 
 
 class Limits(NamedTuple):
-    """Ratios from which a term is generalised or removed, and the places near the entity that it takes to judge it."""
+    """Ratios from which a term is generalised or removed, and the places near the entity below which they are smoothed."""
 
     generalise: float = 0.7
     remove: float = 0.9
@@ -135,11 +136,12 @@ def disclosing_terms(near: DataFrame, texts: DataFrame, limits: Limits = Limits(
     raw = texts.select(F.explode(F.split("t", _SPACES + "+")).alias("w")).groupBy("w").count()
     counts = save(raw.groupBy(term(F.col("w")).alias("term")).agg(F.sum("count").alias("nt")).filter("term <> ''"), "term-counts")
     total = counts.agg(F.sum("nt")).first()[0] or 0
-    some = save(pairs.filter(F.col("nct") >= limits.support), "pairs")
+    some = save(pairs, "pairs")
     joined = some.join(counts, "term").join(save(of_entity, "entities"), "entity")
     n = F.lit(float(max(total, 1)))
     nt = F.greatest("nt", "nct")
-    ratio = F.ln(F.col("nct") * n / (F.col("nc") * nt)) / F.ln(n / F.col("nc"))
+    share = F.when(F.col("nct") >= limits.support, F.col("nct") / nt).otherwise((F.col("nct") + F.col("nc") / n) / (nt + 1))
+    ratio = F.ln(share * n / F.col("nc")) / F.ln(n / F.col("nc"))
     out = joined.filter(F.col("nc") < n).withColumn("ratio", ratio).filter(F.col("ratio") >= limits.generalise)
     out = save(out.select("entity", "term", F.when(F.col("ratio") >= limits.remove, 5).otherwise(4).alias("kind")), "disclosing")
     discard(some)

@@ -130,6 +130,12 @@ def test_disclosing_terms_go(spark):
     assert len(out) == 64 and all("zanzibar" not in t and "jo@ex.org" not in t for t in out.values()) and out[0].startswith("please ask")
 
 
+def test_a_name_beside_the_only_address_goes(spark):
+    rows = [(0, "please ask Quillfeather about it at jo@ex.org today and tomorrow")] + [(k, "please ask about it today and tomorrow at the desk too") for k in range(1, 100)]
+    out = {r.doc_id: r.text for r in pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "Quillfeather" not in out[0] and "jo@ex.org" not in out[0] and out[0].startswith("please ask") and out[0].endswith("today and tomorrow") and out[1] == rows[1][1]
+
+
 def test_toxicity_on_held_out_rows(spark):
     big = SF.replace("0.001", "0.01")
     got = spark.read.parquet(f"{big}/labels.parquet").join(queries.op5_grammar(spark, big), "doc_id").filter("held_out and toxic is not null").collect()
