@@ -148,9 +148,24 @@ def disclosing_terms(near: DataFrame, texts: DataFrame, limits: Limits = Limits(
     return out
 
 
+def _places(text: Column, terms: Column, spans: Column) -> Column:
+    """Array of (kind, start, end) of all words of the text whose term is in the map ``terms``; words that touch a span are left out."""
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+
+    def step(acc: Column, w: Column) -> Column:
+        end = acc["at"] + F.length(w)
+        kind = F.element_at(terms, term(w))
+        hit = F.array(F.struct(kind.alias("kind"), acc["at"].alias("start"), end.alias("end")))
+        return F.struct((end + 1).alias("at"), F.when(kind.isNotNull(), F.concat(acc["out"], hit)).otherwise(acc["out"]).cast(_SPAN).alias("out"))
+
+    found = F.aggregate(F.split(text, _SPACES, -1), begin, step, lambda acc: acc["out"])
+    return F.array_sort(F.filter(found, lambda w: ~F.exists(spans, lambda o: (o["start"] < w["end"]) & (w["start"] < o["end"]))))
+
+
 def find_spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (), limits: Limits = Limits()) -> DataFrame:
     """Columns ``keep`` and ``__spans`` for each row: base spans (kinds 0-3) and disclosing terms (4-5), ordered.
 
+    A term that gives an entity away is hidden at all its places in each row that holds the entity.
     Only contexts of entities, term counts and spans are shuffled, texts are not,
     unless ``keep`` has them: then those of rows with terms to hide.  Rows with
     null or empty texts have no spans; repeated rows have the same ones.
@@ -160,18 +175,20 @@ def find_spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (),
     base = with_base_spans(base, "__t", "__m")
     near = F.when(F.size("__m") > 0, _contexts(F.col("__t"), F.col("__m")))
     spans = F.col("__m").cast("array<struct<kind:int,start:int,end:int,m:string>>")
-    rows = base.select(*[f"`{c}`" for c in keep], "__row", F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("__base"), near.alias("__near"))
+    rows = base.select(*[f"`{c}`" for c in keep], "__row", F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("__base"), near.alias("__near"), F.when(F.size("__m") > 0, F.col("__t")).alias("__t"))
     rows = save(rows, "base-spans")
     words = rows.filter("__near is not null").select("__row", F.explode("__near").alias("n")).select("__row", "n.entity", F.explode("n.words").alias("x"))
-    words = save(words.select("__row", "entity", term(F.col("x.w")).alias("term"), "x.start", "x.end").filter("term <> ''"), "near-words")
+    words = save(words.select("__row", "entity", term(F.col("x.w")).alias("term")).filter("term <> ''"), "near-words")
     reveal = disclosing_terms(words.select("entity", "term"), docs.select(t.alias("t")), limits)
-    hits = words.join(reveal, ["entity", "term"]).groupBy("__row", "start", "end").agg(F.max("kind").alias("kind"))
-    extra = hits.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("__more"))
-    extra = save(extra, "term-spans")
+    held = rows.filter("__near is not null").select("__row", F.explode(F.array_distinct(F.transform("__near", lambda n: n["entity"]))).alias("entity"))
+    own = rows.filter("__near is not null").select("__row", F.explode(F.array_distinct(F.transform(F.split("__t", _SPACES + "+"), term))).alias("term"))
+    hits = own.join(reveal, "term").join(held, ["__row", "entity"], "left_semi").groupBy("__row", "term").agg(F.max("kind").alias("kind"))
+    extra = save(hits.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("__terms")), "row-terms")
     cols = [F.col(f"`{c}`") for c in keep]
     plain = rows.filter("__near is null").select(*cols, F.col("__base").alias("__spans"))
     joined = rows.filter("__near is not null").join(extra, "__row", "left")
-    full = F.concat("__base", F.coalesce("__more", F.array().cast(_SPAN)))
+    more = F.when(F.col("__terms").isNotNull(), _places(F.col("__t"), F.col("__terms"), F.col("__base")))
+    full = F.concat("__base", F.coalesce(more, F.array().cast(_SPAN)))
     return plain.union(joined.select(*cols, full.alias("__spans")))
 
 

@@ -136,6 +136,13 @@ def test_a_name_beside_the_only_address_goes(spark):
     assert "Quillfeather" not in out[0] and "jo@ex.org" not in out[0] and out[0].startswith("please ask") and out[0].endswith("today and tomorrow") and out[1] == rows[1][1]
 
 
+def test_a_disclosing_term_goes_at_all_its_places(spark):
+    far = "please ask about it today and tomorrow at the desk too " * 4
+    rows = [(0, f"ask Quillfeather at jo@ex.org today {far}said Quillfeather, {far}(quillfeather)")] + [(k, far) for k in range(1, 60)]
+    out = {r.doc_id: r.text for r in pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "quillfeather" not in out[0].lower() and "jo@ex.org" not in out[0] and out[0].count(far) == 2 and all(out[k] == far for k in range(1, 60))
+
+
 def test_toxicity_on_held_out_rows(spark):
     big = SF.replace("0.001", "0.01")
     got = spark.read.parquet(f"{big}/labels.parquet").join(queries.op5_grammar(spark, big), "doc_id").filter("held_out and toxic is not null").collect()
