@@ -5,14 +5,15 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import extended, raw
+
 #: Samples (bytes) a second of the 8-bit streams written here, bytes of a packet, and packets of a page at most.
 RATE, PACKET, PAGE_PACKETS = 8000, 4000, 15
 MAGIC = b"u8pcm\x00\x01\x00"
@@ -54,7 +55,8 @@ def _pages(serial: int, packets: list[tuple[bytes, int]], last: bool) -> Iterato
 def mux(payload: bytes) -> bytes:
     """The payload as 8-bit samples in two interleaved logical streams that hold its packets in turn.
 
-    Each stream begins with a header packet (magic, rate, stream number); a data
+    Each stream begins with a header packet (magic, rate, stream number, number of
+    streams, samples of a packet); a data
     packet's granule is the number of samples of the whole payload up to its end.
     Serial numbers come from the payload, so equal payloads give equal files.
     """
@@ -62,7 +64,7 @@ def mux(payload: bytes) -> bytes:
     streams = []
     for s in (0, 1):
         data = [(payload[a : a + PACKET], min(a + PACKET, len(payload))) for a in range(s * PACKET, len(payload), 2 * PACKET)]
-        streams.append(list(_pages((base + s) & 0xFFFFFFFF, [(MAGIC + struct.pack("<II", RATE, s), 0), *data], True)))
+        streams.append(list(_pages((base + s) & 0xFFFFFFFF, [(MAGIC + struct.pack("<IIII", RATE, s, 2, PACKET), 0), *data], True)))
     out = [p[0][1] for p in streams]  # all streams' first pages come before any other page
     rest = sorted(((g, s, k, page) for s, pages in enumerate(streams) for k, (g, page) in enumerate(pages[1:])), key=lambda x: (x[1], x[2]))
     reach = {0: 0, 1: 0}
@@ -154,18 +156,32 @@ def demux(media: bytes | None) -> Container:
     return out
 
 
-def timed(stream: Logical, other_samples: int = PACKET) -> list[tuple[int, bytes]]:
-    """(granule at the end, data) of the data packets: a page gives its last packet's, the others count back from it."""
+def interleaved(header: bytes) -> int:
+    """Samples of the other streams between two packets of a stream, as its header packet says; 0 for other headers."""
+    if not header.startswith(MAGIC) or len(header) < len(MAGIC) + 16:
+        return 0
+    _, _, streams, packet = struct.unpack_from("<IIII", header, len(MAGIC))
+    return (streams - 1) * packet
+
+
+def timed(stream: Logical) -> list[tuple[int, bytes]]:
+    """(granule at the end, data) of the data packets: a page gives its last packet's, the others count back from it.
+
+    A packet of 8-bit samples lasts as long as its bytes; between two of them lies
+    what the stream's header says that other streams send.  A stream without such
+    a header has all samples itself.
+    """
     out: list[tuple[int, bytes]] = []
     pending: list[bytes] = []
+    gap = interleaved(stream.packets[0][1]) if stream.packets else 0
     for granule, data in stream.packets[1:]:
         pending.append(data)
         if granule is not None:
             end = granule
             back = []
-            for k, p in enumerate(reversed(pending)):
+            for p in reversed(pending):
                 back.append((end, p))
-                end -= len(p) + other_samples
+                end -= len(p) + gap
             out += back[::-1]
             pending = []
     return out
@@ -183,16 +199,15 @@ def padded(text: bytes) -> bytes:
 
 
 def store_media(docs: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
-    """Add ``out``, an Ogg file with the whole text (null: empty); other columns pass through."""
+    """Replace the text by ``out``, an Ogg file with the whole text (null: empty); other columns pass through.
+
+    Repeated rows give equal files; an empty table stays empty.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            media = pa.array((mux(padded(x.as_buffer().to_pybytes() if x.is_valid else b"")) for x in b.column(b.num_columns - 1)), pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], media], schema=pa.schema([*list(b.schema)[:-1], pa.field(out, pa.binary())]))
+    def task() -> Callable[[pa.Array], list[pa.Array]]:
+        return lambda texts: [pa.array((mux(padded(raw(x))) for x in texts), pa.binary())]
 
-    kept = [f for f in docs.schema.fields if f.name not in (text, out)]
-    given = docs.select(*[docs[f.name] for f in kept], docs[text].cast("binary").alias("__text"))
-    return given.mapInArrow(run, T.StructType([*kept, T.StructField(out, T.BinaryType())]))
+    return extended(docs, text, [T.StructField(out, T.BinaryType())], task, (text,))
 
 
 FEATURES = "media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, pages long, bad_pages long, streams long, packets long, lost_packets long, duration_ms long, feature string"
@@ -202,11 +217,12 @@ def read_media(stored: DataFrame, media: str = "media") -> DataFrame:
     """Replace the ``media`` column by what its bytes hold: payload digests, pages, packets, streams, duration.
 
     Damaged files give what is whole in them: bad pages and lost packets are
-    counted.  Null media read as empty: no pages, payload of 0 bytes.
+    counted.  Null media read as empty: no pages, payload of 0 bytes.  Repeated
+    rows are read alike; an empty table stays empty.
     """
 
     def features(x: pa.Scalar) -> tuple:
-        data = x.as_buffer().to_pybytes() if x.is_valid else b""
+        data = raw(x)
         found = demux(data)
         payload = payload_of(found)
         streams = sorted(found.streams.values(), key=lambda s: s.packets[0][1] if s.packets else b"")
@@ -218,14 +234,12 @@ def read_media(stored: DataFrame, media: str = "media") -> DataFrame:
         return (len(data), hashlib.sha256(data).hexdigest(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), found.pages, found.bad_pages, len(streams), packets, lost, ms, text)
 
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 7, pa.string()]
-    names = [f.split()[0] for f in FEATURES.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [features(x) for x in b.column(b.num_columns - 1)]
-            cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], schema=pa.schema([*list(b.schema)[:-1], *map(pa.field, names, kinds)]))
+    def task() -> Callable[[pa.Array], list[pa.Array]]:
+        def make(files: pa.Array) -> list[pa.Array]:
+            rows = [features(x) for x in files]
+            return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+
+        return make
 
-    kept = [f for f in stored.schema.fields if f.name not in (media, *names)]
-    given = stored.select(*[F.col(f"`{f.name}`") for f in kept], F.col(media).alias("__media"))
-    return given.mapInArrow(run, T.StructType([*kept, *T._parse_datatype_string(FEATURES).fields]))
+    return extended(stored, media, T._parse_datatype_string(FEATURES).fields, task, (media,))
