@@ -76,7 +76,7 @@ def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every text and what they decode to, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = encode_documents(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    coded = encode_documents(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, keep_text=False)
     return coded.select("doc_id", *digests(coded))
 
 
@@ -90,18 +90,24 @@ def oracle_sql() -> dict[str, str]:
 
 _HOST = "translate(regexp_extract(CASE WHEN contains({u}, '://') THEN substr({u}, instr({u}, '://') + 3) ELSE '' END, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = "regexp_extract(CASE WHEN contains({u}, '://') THEN substr({u}, instr({u}, '://') + 3) ELSE '' END, '^[^/?#]*([^?#]*)', 1)"
-_LINK = r"""regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)"""
-_JUMP = r"""regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1)"""
+_LINKS = r"""list_transform(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), lambda x: regexp_extract(x, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1))"""
+_JUMPS = r"""list_transform(regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), lambda x: regexp_extract(x, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1))"""
+_WALKED = r"""list_reduce(list_concat([''], string_split(regexp_extract(w, '^/([^?]*)', 1), '/')),
+  lambda a, x: CASE WHEN x = '.' THEN a WHEN x = '..' THEN regexp_replace(a, '/[^/]*$', '') ELSE a || '/' || x END)"""
 
 OP2_SQL = f"""
 WITH RECURSIVE rules(verdict, rule, rhost, rpath) AS (VALUES
   ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'),
   ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')
 ), declared AS (
-  SELECT url AS src, t.to AS t FROM pages, (SELECT unnest([{_LINK}, {_JUMP}]) AS to) t
-), links AS (
+  SELECT url AS src, regexp_replace(t.to, '#.*$', '') AS t FROM pages, (SELECT unnest(list_concat({_LINKS}, {_JUMPS})) AS to) t
+), whole AS (
+  SELECT src, t, regexp_extract(src, '^[^:/?#]*://[^/?#]*') AS root, regexp_replace({_PATH.format(u="src")}, '[^/]*$', '') AS folder FROM declared
+), placed AS (SELECT src, t, root, CASE WHEN t LIKE '/%' THEN t ELSE CASE folder WHEN '' THEN '/' ELSE folder END || t END AS w FROM whole),
+links AS (
   SELECT url AS src, {urls.CANONICAL_SQL.format(u="url")} AS dst FROM pages
-  UNION SELECT src, CASE WHEN contains(t, '://') THEN t WHEN t LIKE '/%' THEN regexp_extract(src, '^[^:]*://[^/?#]*') || t END FROM declared
+  UNION SELECT src, CASE WHEN contains(t, '://') THEN t WHEN t LIKE '//%' THEN regexp_extract(src, '^[^:/?#]*:') || t
+    WHEN t = '' OR regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') OR root = '' THEN NULL ELSE root || {_WALKED} || regexp_extract(w, '\\?.*$') END FROM placed
 ), ends AS (SELECT src, dst FROM links WHERE src <> dst),
 edges AS (SELECT * FROM ends UNION SELECT dst, {urls.CANONICAL_SQL.format(u="dst")} FROM ends),
 both_ways AS (SELECT src AS a, dst AS b FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst),

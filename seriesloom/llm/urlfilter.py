@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import named
 from .components import connected_components
 from .scratch import save
 from .urls import canonical, host, path
@@ -41,14 +42,30 @@ def match_rule(host_: Column, path_: Column, rules: tuple[Rule, ...]) -> Column:
     return F.array_max(F.array_compact(F.array(*found)).cast(f"array<{one}>")) if found else F.lit(None).cast(one)
 
 
+def resolved(base: Column, to: Column) -> Column:
+    """A reference against the URL it stands in: absolute, ``//host``, from the root, or relative to the folder, without dot
+    segments, query kept and fragment dropped; null where the base has no ``://`` or the reference is empty, a fragment or of another scheme."""
+    plain = F.regexp_replace(to, "#.*$", "")
+    scheme, root = F.regexp_extract(base, "^[^:/?#]*:", 0), F.regexp_extract(base, "^[^:/?#]*://[^/?#]*", 0)
+    folder = F.regexp_replace(path(base), "[^/]*$", "")
+    whole = F.when(plain.startswith("/"), plain).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), plain))
+    steps = F.split(F.regexp_extract(whole, r"^/([^?]*)", 1), "/", -1)
+    walked = F.aggregate(steps, F.lit(""), lambda a, x: F.when(x == ".", a).when(x == "..", F.regexp_replace(a, "/[^/]*$", "")).otherwise(F.concat(a, F.lit("/"), x)))
+    local = F.concat(root, walked, F.regexp_extract(whole, r"\?.*$", 0))
+    out = F.when(plain.contains("://"), plain).when(plain.startswith("//"), F.concat(scheme, plain))
+    return out.when((plain == "") | plain.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | (root == ""), F.lit(None).cast("string")).otherwise(local)
+
+
 def declared_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst): canonical links and immediate refreshes that the pages declare; absolute and root-relative targets."""
-    tag = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-    link = F.regexp_extract(F.regexp_extract(F.col(html), tag, 0), r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    jump = F.regexp_extract(F.regexp_extract(F.col(html), r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0), r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    to = pages.filter(F.col(html).rlike(r"(?i)\bcanonical\b|\bhttp-equiv\b")).select(F.col(url).alias("src"), F.explode(F.array(link, jump)).alias("to"))
-    root = F.concat(F.regexp_extract("src", "^[^:]*://[^/?#]*", 0), F.col("to"))
-    return to.select("src", F.when(F.instr("to", "://") > 0, F.col("to")).when(F.col("to").startswith("/"), root).alias("dst")).filter("src <> dst")
+    """(src, dst): all canonical links and refreshes that the pages declare, resolved against the page's URL."""
+    links = F.regexp_extract_all(named(html), F.lit(r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"), F.lit(0))
+    jumps = F.regexp_extract_all(named(html), F.lit(r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"), F.lit(0))
+    to = F.concat(
+        F.transform(links, lambda x: F.regexp_extract(x, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)),
+        F.transform(jumps, lambda x: F.regexp_extract(x, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)),
+    )
+    some = pages.filter(named(html).rlike(r"(?i)\bcanonical\b|\bhttp-equiv\b")).select(named(url).alias("src"), F.explode(to).alias("to"))
+    return some.select("src", resolved(F.col("src"), F.col("to")).alias("dst")).filter("src <> dst")
 
 
 def judge_pages(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: DataFrame | None = None, id_col: str = "page_id", url: str = "url", html: str | None = "html") -> DataFrame:
@@ -60,9 +77,9 @@ def judge_pages(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: Da
     (c) ``redirects`` (src, dst): allow if a rule explicitly allows any URL of the
     class, else block if a rule blocks any, else allow.  ``how`` is rule, alias
     or default.  Null and malformed URLs have empty host and path, fit no rule
-    and are allowed.  Repeated rows are judged alike.
+    and are allowed.  Repeated rows are judged alike; an empty table gives an empty result.
     """
-    p = save(pages.select(F.col(id_col).alias("id"), F.col(url).alias("u")), "urls")
+    p = save(pages.select(named(id_col).alias("id"), named(url).alias("u")), "urls")
     judged = p.select("id", "u", host(F.col("u")).alias("host"), path(F.col("u")).alias("path"))
     judged = judged.withColumn("r", match_rule(F.col("host"), F.col("path"), rules))
     links = p.select(F.col("u").alias("src"), canonical(F.col("u")).alias("dst"))
