@@ -16,23 +16,29 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import named, spare
 from .scratch import discard, save
 
-KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
-PLACE = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", "")
-#: The base patterns in forms that Java matches in linear time.  Possessive runs and the look-behinds change no match: all
-#: starts within a run go on alike, and a card is a maximal run of digits, so its number of digits can stand in the pattern.
-_PATTERNS = (
-    r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])",
-    r"\+[0-9][\x20().0-9-]+[0-9]",
-)
+KINDS = ("email", "ip", "card", "phone", "generalise", "remove", "secret")
+GENERALISE, REMOVE, SECRET = 4, 5, 6
+PLACE = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", "", "[SECRET]")
+#: The patterns of kinds 0 to 3 and of secrets in forms that Java matches in linear time.  Possessive runs and the look-behinds change no
+#: match: all starts within a run go on alike, and a card is a maximal run of digits, so its number of digits can stand in the pattern.
+#: A secret is a run of 20 or more letters and digits, three digits and a letter at least: more than a word's information.
+_PATTERNS = {
+    0: r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    1: r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    2: r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])",
+    3: r"\+[0-9][\x20().0-9-]+[0-9]",
+    SECRET: r"(?<![A-Za-z0-9])(?=(?:[A-Za-z]*+[0-9]){3})(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{20,}+",
+}
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _SPACES = r"[\x20\x09-\x0D]"
 _SPAN = "array<struct<kind:int,start:int,end:int>>"
-#: Code points of context on either side of an entity.
-CONTEXT = 60
+#: Code points of context on either side of an entity, and of a piece that texts are cut into.
+CONTEXT, PIECE = 60, 256
+#: Stands for each code point of a span; a word that holds it touches a span (or held it from the start: it is no character).
+_MASK = "\uffff"
 
 
 class Limits(NamedTuple):
@@ -53,9 +59,30 @@ def _valid(kind: int, m: Column) -> Column:
     return F.lit(True)
 
 
-def _starts(lengths: Column) -> Column:
-    """[0, l0, l0 + l1, ...]"""
-    return F.aggregate(lengths, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value``, which is worked out once, wherever and however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _moved(a: Column, k: Column, fill: Column) -> Column:
+    """The array 2 to the power of k places later, with ``fill`` before it."""
+    d = F.call_function("shiftleft", F.lit(1), k)
+    return F.concat(F.array_repeat(fill, d), F.slice(a, 1, F.size(a) - d))
+
+
+def _doubling(a: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """``step`` for 1, 2, 4, ... places below the length of ``a``."""
+    last = F.length(F.bin((F.size(a) - 1).cast("long"))) - 1
+    return F.when(F.size(a) > 1, F.aggregate(F.sequence(F.lit(0), last), start, step)).otherwise(start)
+
+
+def _running(lengths: Column) -> Column:
+    """[l0, l0 + l1, ...] in n log n steps: each pass adds what stands 1, 2, 4, ... places before."""
+
+    def add(acc: Column, k: Column) -> Column:
+        return F.zip_with(acc, _moved(acc, k, F.lit(0)), lambda x, y: x + y)
+
+    return let(lengths, lambda a: _doubling(a, a, add))
 
 
 def _matches(kind: int, text: Column) -> Column:
@@ -65,31 +92,68 @@ def _matches(kind: int, text: Column) -> Column:
 
 
 def _placed(kind: int, text: Column, matches: Column) -> Column:
-    """Array of (kind, start, end, m) of the matches, the failing ones dropped."""
-    between = F.split(text, _PATTERNS[kind], -1)
-    starts = _starts(F.zip_with(between, matches, lambda p, m: F.length(p) + F.coalesce(F.length(m), F.lit(0))))
-    some = F.filter(F.transform(matches, _span(kind, between, starts)), lambda s: _valid(kind, s["m"]))
-    return F.when(F.size(matches) > 0, some).otherwise(F.array().cast("array<struct<kind:int,start:int,end:int,m:string>>"))
+    """Array of (kind, start, end, m) of the matches, the failing ones dropped; what lies between the matches tells their places."""
+    none = F.array().cast("array<struct<kind:int,start:int,end:int,m:string>>")
+
+    def place(m: Column) -> Column:
+        ends = _running(F.zip_with(F.split(text, _PATTERNS[kind], -1), m, lambda p, x: F.length(p) + F.coalesce(F.length(x), F.lit(0))))
+        spans = F.zip_with(m, ends, lambda x, e: F.struct(F.lit(kind).alias("kind"), (e - F.length(x)).alias("start"), e.alias("end"), x.alias("m")))
+        return F.filter(spans, lambda s: s["m"].isNotNull() & _valid(kind, s["m"]))
+
+    return F.when(F.size(matches) > 0, let(matches, place)).otherwise(none)
+
+
+def with_base_spans(df: DataFrame, text: str, out: str, kinds: tuple[int, ...] = (0, 1, 2, 3)) -> DataFrame:
+    """Add all spans of these kinds of a text without nulls as an array of (kind, start, end, m) by kind, then start."""
+    t, names = named(text), spare(df, *[f"{out}{k}" for k in kinds])
+    found = df.withColumns({n: _matches(k, t) for n, k in zip(names, kinds, strict=True)})
+    return found.withColumn(out, F.concat(*[_placed(k, t, F.col(n)) for n, k in zip(names, kinds, strict=True)])).drop(*names)
+
+
+def _pieces(text: Column) -> Column:
+    """The text in pieces of PIECE code points."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def _cut(pieces: Column, start: Column, end: Column) -> Column:
+    """The code points from ``start`` to ``end``, whatever stands before them in the text: only their own pieces are read."""
+    first = F.floor(start / PIECE).cast("int")
+    many = F.floor((end - 1) / PIECE).cast("int") - first + 1
+    return F.when(end > start, F.substring(F.array_join(F.slice(pieces, first + 1, many), ""), start - first * PIECE + 1, end - start)).otherwise("")
+
+
+def _merged(spans: Column) -> Column:
+    """(start, end, kind) of the stretches that the spans cover, in order, of those that overlap as one with the first's kind."""
+    none = F.array().cast("array<struct<start:int,end:int,kind:int>>")
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
+    def reach(a: Column) -> Column:
+        """For each span, how far it and those before it go: a running maximum."""
+        return _doubling(a, F.transform(a, lambda s: s["end"]), lambda acc, k: F.zip_with(acc, _moved(acc, k, F.lit(0)), lambda x, y: F.greatest(x, y)))
 
-def _span(kind: int, between: Column, starts: Column) -> Callable[[Column, Column], Column]:
-    def one(m: Column, i: Column) -> Column:
-        start = F.get(starts, i) + F.length(F.get(between, i))
-        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(m)).alias("end"), m.alias("m"))
+    def stretches(a: Column) -> Column:
+        def join(far: Column) -> Column:
+            before = F.concat(F.array(F.lit(-1)), F.slice(far, 1, F.size(far) - 1))
+            heads = F.filter(F.zip_with(a, before, lambda s, b: F.struct(s.alias("s"), b.alias("b"))), lambda x: x["s"]["start"] >= x["b"])
+            # a stretch ends where the reach before the next head is, the last one where all end
+            ends = F.concat(F.transform(F.slice(heads, 2, F.greatest(F.size(heads) - 1, F.lit(0))), lambda x: x["b"]), F.slice(far, -1, 1))
+            return F.zip_with(heads, ends, lambda x, e: F.struct(x["s"]["start"].alias("start"), e.alias("end"), x["s"]["kind"].alias("kind")))
 
-    return one
+        return let(reach(a), join)
 
+    return F.when(F.size(spans) > 0, let(ordered, stretches)).otherwise(none)
 
-def with_base_spans(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add all base spans of a text without nulls as an array of (kind, start, end, m) by kind, then start."""
-    t = F.col(text)
-    found = df.withColumns({f"{out}{k}": _matches(k, t) for k in range(4)})
-    return found.withColumn(out, F.concat(*[_placed(k, t, F.col(f"{out}{k}")) for k in range(4)])).drop(*[f"{out}{k}" for k in range(4)])
+
+def _woven(pieces: Column, stretches: Column, length: Column, put: Callable[[Column], Column]) -> Column:
+    """The text with ``put`` of each stretch in its stead."""
+    froms = F.concat(F.array(F.lit(0)), F.transform(stretches, lambda s: s["end"]))
+    gaps = F.zip_with(froms, stretches, lambda a, s: F.concat(_cut(pieces, a, F.coalesce(s["start"], length)), F.when(s.isNotNull(), put(s)).otherwise("")))
+    return F.array_join(gaps, "")
 
 
 def _entity(s: Column) -> Column:
     """The protected entity of a span: kind and value without writing variants."""
-    plain = F.when(s["kind"] == 0, F.lower(s["m"])).when(s["kind"] == 1, s["m"]).otherwise(F.regexp_replace(s["m"], "[^0-9]", ""))
+    plain = F.when(s["kind"] == 0, F.lower(s["m"])).when(s["kind"].isin(1, SECRET), s["m"]).otherwise(F.regexp_replace(s["m"], "[^0-9]", ""))
     return F.concat(s["kind"].cast("string"), F.lit(":"), plain)
 
 
@@ -98,30 +162,40 @@ def term(word: Column) -> Column:
     return F.regexp_replace(F.lower(word), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
 
 
-def _words(part: Column, offset: Column, cut_first: Column, cut_last: Column) -> Column:
-    """(w, start, end) of the words of ``part``, which begins at ``offset``; a first or last word that is cut is left out."""
-    words = F.split(part, _SPACES, -1)
-    starts = _starts(F.transform(words, lambda w: F.length(w) + 1))
+def masked(text: Column, spans: Column) -> Column:
+    """The text with each code point of a span replaced by a mark."""
+    return let(_pieces(text), lambda p: let(_merged(spans), lambda m: _woven(p, m, F.length(text), lambda s: F.repeat(F.lit(_MASK), s["end"] - s["start"]))))
+
+
+def _contexts(mask: Column, spans: Column) -> Column:
+    """Array of (entity, terms near it) for all spans of a masked text; words that touch a span or are cut are left out."""
+    length = F.length(mask)
+
+    def terms(part: Column, skip: Column, less: Column) -> Column:
+        whole = let(F.split(part, _SPACES, -1), lambda w: F.slice(w, 1 + skip, F.greatest(F.size(w) - skip - less, F.lit(0))))
+        return F.filter(F.transform(whole, lambda w: F.when(~w.contains(_MASK), term(w)).otherwise("")), lambda w: w != "")
+
+    def near(pieces: Column) -> Column:
+        def one(s: Column) -> Column:
+            low, high = F.greatest(s["start"] - CONTEXT, F.lit(0)), F.least(s["end"] + CONTEXT, length)
+            left = terms(_cut(pieces, low, s["start"]), F.when(low > 0, 1).otherwise(0), F.lit(0))
+            right = terms(_cut(pieces, s["end"], high), F.lit(0), F.when(high < length, 1).otherwise(0))
+            return F.struct(_entity(s).alias("entity"), F.concat(left, right).alias("words"))
 
-    def place(w: Column, i: Column) -> Column:
-        a = offset + F.get(starts, i)
-        whole = ~(cut_first & (i == 0)) & ~(cut_last & (i == F.size(words) - 1))
-        return F.struct(F.when(whole, w).otherwise("").alias("w"), a.alias("start"), (a + F.length(w)).alias("end"))
+        return F.transform(spans, one)
 
-    return F.filter(F.transform(words, place), lambda x: x["w"] != "")
+    return let(_pieces(mask), near)
 
 
-def _contexts(text: Column, spans: Column) -> Column:
-    """Array of (entity, words near it) for all spans; words that touch a base span are left out."""
+def _places(mask: Column) -> Column:
+    """Array of (term, start, end) of the words of a masked text that touch no span."""
 
-    def near(s: Column) -> Column:
-        low = F.greatest(s["start"] - CONTEXT, F.lit(0))
-        left = _words(F.substring(text, low + 1, s["start"] - low), low, low > 0, F.lit(False))
-        right = _words(F.substring(text, s["end"] + 1, F.lit(CONTEXT)), s["end"], F.lit(False), F.length(text) > s["end"] + CONTEXT)
-        free = F.filter(F.concat(left, right), lambda w: ~F.exists(spans, lambda o: (o["start"] < w["end"]) & (w["start"] < o["end"])))
-        return F.struct(_entity(s).alias("entity"), free.alias("words"))
+    def place(words: Column) -> Column:
+        ends = _running(F.transform(words, lambda w: F.length(w) + 1))
+        found = F.zip_with(words, ends, lambda w, e: F.struct(F.when(~w.contains(_MASK), term(w)).otherwise("").alias("term"), (e - 1 - F.length(w)).alias("start"), (e - 1).alias("end")))
+        return F.filter(found, lambda x: x["term"] != "")
 
-    return F.transform(spans, near)
+    return let(F.split(mask, _SPACES, -1), place)
 
 
 def disclosing_terms(near: DataFrame, texts: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -148,48 +222,36 @@ def disclosing_terms(near: DataFrame, texts: DataFrame, limits: Limits = Limits(
     return out
 
 
-def _places(text: Column, terms: Column, spans: Column) -> Column:
-    """Array of (kind, start, end) of all words of the text whose term is in the map ``terms``; words that touch a span are left out."""
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-
-    def step(acc: Column, w: Column) -> Column:
-        end = acc["at"] + F.length(w)
-        kind = F.element_at(terms, term(w))
-        hit = F.array(F.struct(kind.alias("kind"), acc["at"].alias("start"), end.alias("end")))
-        return F.struct((end + 1).alias("at"), F.when(kind.isNotNull(), F.concat(acc["out"], hit)).otherwise(acc["out"]).cast(_SPAN).alias("out"))
-
-    found = F.aggregate(F.split(text, _SPACES, -1), begin, step, lambda acc: acc["out"])
-    return F.array_sort(F.filter(found, lambda w: ~F.exists(spans, lambda o: (o["start"] < w["end"]) & (w["start"] < o["end"]))))
-
-
-def find_spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (), limits: Limits = Limits()) -> DataFrame:
-    """Columns ``keep`` and ``__spans`` for each row: base spans (kinds 0-3) and disclosing terms (4-5), ordered.
+def find_spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (), limits: Limits = Limits(), out: str = "__spans") -> DataFrame:
+    """Columns ``keep`` and ``out`` for each row: base spans (kinds 0-3), disclosing terms (4-5) and secrets (6), ordered.
 
     A term that gives an entity away is hidden at all its places in each row that holds the entity.
-    Only contexts of entities, term counts and spans are shuffled, texts are not,
-    unless ``keep`` has them: then those of rows with terms to hide.  Rows with
-    null or empty texts have no spans; repeated rows have the same ones.
+    Only contexts of entities, words of rows that hold an entity, term counts and
+    spans are shuffled; texts are not, unless ``keep`` has them: then those of rows
+    with spans.  Rows with null or empty texts have no spans; repeated rows have
+    the same ones; an empty table gives an empty result.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(*[F.col(f"`{c}`") for c in keep], t.alias("__t"), F.monotonically_increasing_id().alias("__row"))
-    base = with_base_spans(base, "__t", "__m")
-    near = F.when(F.size("__m") > 0, _contexts(F.col("__t"), F.col("__m")))
-    spans = F.col("__m").cast("array<struct<kind:int,start:int,end:int,m:string>>")
-    rows = base.select(*[f"`{c}`" for c in keep], "__row", F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("__base"), near.alias("__near"), F.when(F.size("__m") > 0, F.col("__t")).alias("__t"))
-    rows = save(rows, "base-spans")
-    words = rows.filter("__near is not null").select("__row", F.explode("__near").alias("n")).select("__row", "n.entity", F.explode("n.words").alias("x"))
-    words = save(words.select("__row", "entity", term(F.col("x.w")).alias("term")).filter("term <> ''"), "near-words")
-    reveal = disclosing_terms(words.select("entity", "term"), docs.select(t.alias("t")), limits)
-    held = rows.filter("__near is not null").select("__row", F.explode(F.array_distinct(F.transform("__near", lambda n: n["entity"]))).alias("entity"))
-    own = rows.filter("__near is not null").select("__row", F.explode(F.array_distinct(F.transform(F.split("__t", _SPACES + "+"), term))).alias("term"))
-    hits = own.join(reveal, "term").join(held, ["__row", "entity"], "left_semi").groupBy("__row", "term").agg(F.max("kind").alias("kind"))
-    extra = save(hits.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("__terms")), "row-terms")
-    cols = [F.col(f"`{c}`") for c in keep]
-    plain = rows.filter("__near is null").select(*cols, F.col("__base").alias("__spans"))
-    joined = rows.filter("__near is not null").join(extra, "__row", "left")
-    more = F.when(F.col("__terms").isNotNull(), _places(F.col("__t"), F.col("__terms"), F.col("__base")))
-    full = F.concat("__base", F.coalesce(more, F.array().cast(_SPAN)))
-    return plain.union(joined.select(*cols, full.alias("__spans")))
+    row, t, m, base, both, near, places, extra = spare(docs, "__row", "__t", "__m", "__base", "__both", "__near", "__places", "__extra")
+    cols = [named(c) for c in keep]
+    whole = F.coalesce(named(text), F.lit(""))
+    found = docs.select(*cols, whole.alias(t), F.monotonically_increasing_id().alias(row))
+    found = with_base_spans(found, t, m, (0, 1, 2, 3, SECRET))
+    some, bare = F.size(m) > 0, F.transform(m, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    around = let(masked(F.col(t), F.col(m)), lambda x: F.struct(_contexts(x, F.col(m)).alias("near"), _places(x).alias("places")))
+    rows = found.select(*cols, row, bare.cast(_SPAN).alias(base), F.when(some, around).alias(both))
+    rows = save(rows.select(*cols, row, base, F.col(f"{both}.near").alias(near), F.col(f"{both}.places").alias(places)), "base-spans")
+    held = rows.filter(F.col(near).isNotNull())
+    words = save(held.select(F.col(row).alias("row"), F.explode(near).alias("n")).select("row", "n.entity", F.explode("n.words").alias("term")), "near-words")
+    reveal = disclosing_terms(words.select("entity", "term"), docs.select(whole.alias("t")), limits)
+    entities = held.select(F.col(row).alias("row"), F.explode(F.array_distinct(F.transform(near, lambda n: n["entity"]))).alias("entity"))
+    own = held.select(F.col(row).alias("row"), F.explode(places).alias("p")).select("row", "p.*")
+    hits = own.join(reveal, "term").join(entities, ["row", "entity"], "left_semi").groupBy("row", "start", "end").agg(F.max("kind").alias("kind"))
+    hits = save(hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias(extra)).withColumnRenamed("row", row), "row-terms")
+    plain = rows.filter(F.col(near).isNull()).select(*cols, F.col(base).alias(out))
+    joined = held.drop(near, places).join(hits, row, "left")
+    full = F.array_sort(F.concat(base, F.coalesce(F.col(extra), F.array().cast(_SPAN))))
+    discard(words)
+    return plain.union(joined.select(*cols, full.alias(out)))
 
 
 def written(spans: Column) -> Column:
@@ -198,37 +260,45 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(name, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def form(word: Column) -> Column:
+    """The class that a term is generalised to: by its form a number, a code, a name or a word."""
+    digit, letter = word.rlike("[0-9]"), word.rlike(r"\p{L}")
+    return F.when(digit & letter, "[CODE]").when(digit, "[NUMBER]").when(word.rlike(r"^\P{L}*\p{Lu}"), "[NAME]").otherwise("[WORD]")
+
+
 def redact(text: Column, spans: Column) -> Column:
-    """The text with each span's place holder in its stead; what spans share is replaced once, by the first."""
-    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
+    """The text with each span's place holder in its stead; spans that overlap are replaced together, by the first's."""
     place = F.array(*[F.lit(p) for p in PLACE])
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["end"] > acc["at"]
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        added = F.concat(acc["out"], F.array(gap, F.when(s["start"] >= acc["at"], F.get(place, s["kind"])).otherwise("")))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, added).otherwise(acc["out"]).alias("out"))
+    def put(pieces: Column) -> Callable[[Column], Column]:
+        return lambda s: F.when(s["kind"] == GENERALISE, form(_cut(pieces, s["start"], s["end"]))).otherwise(F.get(place, s["kind"]))
 
-    done = F.aggregate(by_start, begin, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    done = let(_pieces(text), lambda p: let(_merged(spans), lambda m: _woven(p, m, F.length(text), put(p))))
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
 def pii_report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", limits: Limits = Limits()) -> DataFrame:
-    """id, n_email, n_ip, n_card, n_phone, n_terms, base_sha256, spans for each row."""
+    """id, n_email, n_ip, n_card, n_phone, n_terms, n_secret, base_sha256, spans for each row.
+
+    Null and empty texts have no spans; repeated rows give repeated rows; an empty table gives an empty result.
+    """
     found = find_spans(docs, text, (id_col,), limits)
     s = F.col("__spans")
-    counts = [F.size(F.filter(s, _is_kind(k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
-    base = F.filter(s, lambda x: x["kind"] < 4)
-    return found.select(id_col, *counts, (F.size(s) - F.size(base)).cast("long").alias("n_terms"), F.sha2(written(base), 256).alias("base_sha256"), written(s).alias("spans"))
 
+    def number(*kinds: int) -> Column:
+        return F.size(F.filter(s, lambda x: x["kind"].isin(*kinds))).cast("long")
 
-def _is_kind(k: int) -> Callable[[Column], Column]:
-    return lambda x: x["kind"] == k
+    counts = [number(k).alias(f"n_{KINDS[k]}") for k in range(4)]
+    base = F.filter(s, lambda x: x["kind"] < 4)
+    return found.select(named(id_col).alias(id_col), *counts, number(GENERALISE, REMOVE).alias("n_terms"), number(SECRET).alias("n_secret"), F.sha2(written(base), 256).alias("base_sha256"), written(s).alias("spans"))
 
 
 def sanitised(docs: DataFrame, text: str = "text", limits: Limits = Limits()) -> DataFrame:
-    """All rows and columns with the text sanitised: base spans become place holders, terms are generalised or removed."""
-    found = find_spans(docs, text, tuple(docs.columns), limits)
-    t = F.col(f"`{text}`")
-    return found.select(*[F.when(t.isNotNull(), redact(t, F.col("__spans"))).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    """All rows and columns with the text sanitised: base spans and secrets become place holders, terms are generalised or removed.
+
+    Null texts stay null; repeated rows are sanitised alike; an empty table stays empty.
+    """
+    out = spare(docs, "__spans")[0]
+    found = find_spans(docs, text, tuple(docs.columns), limits, out)
+    t = named(text)
+    return found.select(*[F.when(t.isNotNull(), redact(t, F.col(out))).alias(c) if c == text else named(c) for c in docs.columns])
