@@ -3,10 +3,12 @@
 Tokens get a class from a lexicon (insult, threat, target, negation, reported
 speech, quotes, clause ends).  Three transducers over classes are composed into
 one table: negation marks what stands in its scope, reported speech marks what
-is quoted or told, and the pattern transducer emits the clauses that matched:
-plain or targeted insults and threats, apart from negated and reported ones.
-The lexicon's weights and the weights of the kinds of clause are fitted to a
-bounded sample of labelled rows.
+is quoted or told, and the pattern transducer emits, where a clause ends, the kind
+of clause that it was: a plain or targeted insult, a threat, or one that was only
+negated or reported.  A clause weighs what its marked words add up to, and the
+score comes from the clauses, not from words.  The lexicon, its weights and those
+of the kinds of clause are fitted to a bounded sample of labelled rows; learnt
+words that mostly have a target for an object are threats, the others insults.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import product
 from typing import NamedTuple
@@ -26,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import extended, named, spare
 from .scratch import save
 
 #: Token classes.
@@ -33,6 +36,8 @@ WORD, INSULT, THREAT, TARGET, NEGATION, SAYING, QUOTE, END = range(8)
 #: What clauses the grammar emits.
 KINDS = ("plain", "targeted", "threat", "negated", "reported")
 PLAIN, TARGETED, THREATENED, NEGATED, REPORTED = range(1, 6)
+#: Further outputs: a clause with a threat and no target; a word that counts as it stands, negated, reported.
+OPEN, BARE, UNDER_NEGATION, IN_REPORT = range(6, 10)
 
 # Seed words of the classes in English, German, Spanish and French.
 SEEDS = {
@@ -46,8 +51,8 @@ SEEDS = {
 SCOPE = 3
 #: Labelled rows of each label that fit the grammar, at most (about; chosen by hash).
 SAMPLE = {1: 4000, 0: 8000}
-#: Lengths of the word beginnings that the lexicon may hold beside whole words, and its most entries.
-STEMS, ENTRIES = range(3, 9), 4000
+#: Lengths of the word beginnings that the lexicon may hold beside whole words.
+STEMS = range(3, 9)
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;\n]|[\"“”„«»]")
 _ENDS, _QUOTES = frozenset(".!?;\n"), frozenset("\"“”„«»")
 
@@ -103,16 +108,24 @@ def reported_speech() -> Transducer:
 
 
 def patterns() -> Transducer:
-    """State 1: a target was named in the clause; 2: a threat, but no target yet. Output: 0, or the kind of the clause that
-    an insult or threat makes; an open threat makes its clause when the target follows."""
-    marked = [c | m for c in (INSULT, THREAT) for m in (0, _NEG, _REP, _NEG | _REP)]
+    """States: the gravest kind of clause so far, and whether a target was named.  Words that count are told by their mark;
+    a clause's kind is told at its end.  A target, before or after, makes an insult targeted and an open threat a threat."""
+    grave = [0, NEGATED, REPORTED, PLAIN, OPEN, TARGETED, THREATENED]
+    marks = [0, _NEG, _REP, _NEG | _REP]
     arcs = {}
-    for s, c in product(range(3), sorted({*range(8), *marked})):
-        kind, nxt = THREATENED if s == 2 and c == TARGET else 0, 0 if c == END else 1 if c == TARGET else 2 if c == THREAT and not s else s
-        if c & 7 in (INSULT, THREAT):
-            kind = REPORTED if c & _REP else NEGATED if c & _NEG else TARGETED if c == INSULT and s == 1 else PLAIN if c == INSULT else THREATENED if s == 1 else 0
-        arcs[s, c] = (nxt, kind)
-    return Transducer(3, arcs)
+    for kind, aimed, c in product(grave, (0, 1), [*range(8), *[w | m for w in (INSULT, THREAT) for m in marks[1:]]]):
+        out, nxt, aim = 0, kind, aimed
+        if c == END:
+            out, nxt, aim = kind, 0, 0
+        elif c == TARGET:
+            nxt, aim = {PLAIN: TARGETED, OPEN: THREATENED}.get(kind, kind), 1
+        elif c & 7 in (INSULT, THREAT):
+            out = IN_REPORT if c & _REP else UNDER_NEGATION if c & _NEG else BARE
+            bare = (TARGETED if aimed else PLAIN) if c == INSULT else (THREATENED if aimed else OPEN)
+            own = REPORTED if c & _REP else NEGATED if c & _NEG else bare
+            nxt = max(kind, own, key=grave.index)
+        arcs[2 * kind + aimed, c] = (2 * nxt + aim, out)
+    return Transducer(14, arcs)
 
 
 def grammar() -> list[list[tuple[int, int]]]:
@@ -122,11 +135,12 @@ def grammar() -> list[list[tuple[int, int]]]:
 
 
 class Model(NamedTuple):
-    """words, stems: lexicon of insults with weights; coef: bias and a weight for each kind of clause."""
+    """words, stems: lexicon with weights; coef: bias and a weight for each kind of clause; threats: entries that aren't insults."""
 
     words: dict[str, float]
     stems: dict[str, float]
     coef: tuple[float, ...]
+    threats: frozenset[str] = frozenset()
 
 
 #: Where the fit of the clause weights starts from and is drawn to: bias, plain, targeted, threat, negated, reported.
@@ -143,24 +157,28 @@ class Scorer:
     def __init__(self, model: Model) -> None:
         self.model, self.table = model, grammar()
         self.known: dict[str, tuple[int, float]] = {w: (c, 1.0) for c, words in SEEDS.items() for w in words.split() if c != INSULT}
-        self.known |= {w: (THREAT, self.weight(w) or 1.0) for w in SEEDS[THREAT].split()}
+        self.known |= {w: (THREAT, self.entry(w)[1] or 1.0) for w in SEEDS[THREAT].split()}
         self.known |= {x: (END, 0.0) for x in _ENDS} | {x: (QUOTE, 0.0) for x in _QUOTES}
         self.fixed = dict(self.known)
 
-    def weight(self, token: str) -> float | None:
+    def entry(self, token: str) -> tuple[int, float]:
+        """Class and weight of a token by the lexicon: as a whole word, else by the strongest of its beginnings."""
         m = self.model
-        return m.words.get(token) or max((m.stems.get(token[:n], 0.0) for n in STEMS if n < len(token)), default=0.0) if m.stems else m.words.get(token)
+        found = [(m.words[token], token)] if m.words.get(token) else [(m.stems[token[:n]], token[:n]) for n in STEMS if n < len(token) and token[:n] in m.stems]
+        if not found:
+            return WORD, 0.0
+        weight, of = max(found)
+        return (THREAT if of in m.threats else INSULT), weight
 
     def look_up(self, token: str) -> tuple[int, float]:
-        weight = self.weight(token)
-        got = (INSULT, weight) if weight else (WORD, 0.0)
         if len(self.known) > 500_000:  # forms seen, not results: what is dropped is looked up again
             self.known = dict(self.fixed)
-        self.known[token] = got
+        got = self.known[token] = self.entry(token)
         return got
 
     def clauses(self, text: str) -> np.ndarray:
-        """Summed weights of the matched clauses of each kind; a threat whose word was learnt is a plain one if no target comes."""
+        """Summed weights of the matched clauses of each kind.  A clause with a threat but no target counts as a plain one by
+        its insults and by threats that the labels taught; the seeds among them mean nothing without a target."""
         out, state, known, hot = [0.0] * (len(KINDS) + 1), 0, self.known, False
         seen = []
         for token in TOKEN.findall(text.lower()):
@@ -168,18 +186,16 @@ class Scorer:
             hot = hot or got[0] == INSULT or got[0] == THREAT
             seen.append(got)
         if hot:
-            waiting = learnt = 0.0
+            sums, unaimed = [0.0, 0.0, 0.0], 0.0
             for c, weight in [*seen, (END, 0.0)]:
-                state, kind = self.table[state][c]
-                if kind:
-                    out[kind] += waiting if c == TARGET else weight
-                elif c == THREAT:
-                    waiting += weight
-                    learnt += weight if weight > 1 else 0.0
+                state, told = self.table[state][c]
+                if told >= BARE:
+                    sums[told - BARE] += weight
+                    unaimed += weight if told == BARE and (c == INSULT or weight > 1) else 0.0
+                elif told:
+                    out[PLAIN if told == OPEN else told] += unaimed if told == OPEN else sums[{NEGATED: 1, REPORTED: 2}.get(told, 0)]
                 if c == END:
-                    out[PLAIN] += learnt
-                if c == END or c == TARGET:
-                    waiting = learnt = 0.0
+                    sums, unaimed = [0.0, 0.0, 0.0], 0.0
         return np.log1p(np.array(out[1:]))
 
     def score(self, text: str | None) -> float:
@@ -197,6 +213,21 @@ def _forms(words: Iterable[str]) -> set[str]:
     return {f for w in set(words) for f in (w + "$", *(w[:n] for n in STEMS if n < len(w)))}
 
 
+def _directed(tokens: list[str]) -> set[str]:
+    """The forms of words that a target follows within SCOPE words of the same clause."""
+    targets, out, reach = frozenset(SEEDS[TARGET].split()), set(), 0
+    for w in reversed(tokens):
+        if w in _ENDS:
+            reach = 0
+        elif w in targets:
+            reach = SCOPE
+        elif w not in _QUOTES:
+            if reach:
+                out.add(w)
+            reach = max(reach - 1, 0)
+    return _forms(out)
+
+
 def choose_entries(toxic: Counter[str], clean: Counter[str], n_toxic: int, n_clean: int) -> tuple[dict[str, float], dict[str, float]]:
     """Whole words and stems that tell toxic from clean documents, with log odds as weights.
 
@@ -216,7 +247,7 @@ def choose_entries(toxic: Counter[str], clean: Counter[str], n_toxic: int, n_cle
     words, stems = {}, {}
     for f in sorted(good, key=lambda f: (len(f), f)):
         bare = f.rstrip("$")
-        if any(bare[:n] in stems for n in STEMS if n <= len(bare)) or len(words) + len(stems) >= ENTRIES:
+        if any(bare[:n] in stems for n in STEMS if n <= len(bare)):
             continue
         if f[-1] == "$":
             words[bare] = odds[f]
@@ -247,13 +278,13 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
     them.  Without labelled rows of both kinds the seed lexicon is the model.
     """
     sample = sample or SAMPLE
-    given = labels.filter(F.col(label).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("__y"))
+    given = labels.filter(named(label).isin(0, 1)).select(named(id_col).alias("__id"), named(label).cast("int").alias("__y"))
     sizes = dict(given.groupBy("__y").count().collect())
     if not sizes.get(0) or not sizes.get(1):
         return seed_model()
     place = F.pmod(F.xxhash64("__id", F.lit(17)), F.lit(1 << 20))
     some = given.filter(F.when(F.col("__y") == 1, place < int((1 << 20) * min(1.0, sample[1] / sizes[1]))).otherwise(place < int((1 << 20) * min(1.0, sample[0] / sizes[0]))))
-    chosen = docs.filter(F.col(text).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text).alias("__t")).join(F.broadcast(some), "__id").select("__y", "__t")
+    chosen = docs.filter(named(text).isNotNull()).select(named(id_col).alias("__id"), named(text).alias("__t")).join(F.broadcast(some), "__id").select("__y", "__t")
 
     def prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -275,21 +306,25 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
     rows = save(rows.join(F.broadcast(once), ["y", "k"]).dropDuplicates(["y", "k"]).select("y", "t"), "toxicity-distinct")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+        seen: tuple[Counter[str], Counter[str], Counter[str]] = (Counter(), Counter(), Counter())
         for b in batches:
             for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen[y].update(_forms(w for w in TOKEN.findall(t.lower()) if w[0] not in _ENDS and w[0] not in _QUOTES))
+                tokens = TOKEN.findall(t.lower())
+                seen[y].update(_forms(w for w in tokens if w[0] not in _ENDS and w[0] not in _QUOTES))
+                if y:
+                    seen[2].update(_directed(tokens))
         forms = sorted(seen[0].keys() | seen[1].keys())
         for k in range(0, len(forms), 10_000):
             part = forms[k : k + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *[pa.array([seen[y][f] for f in part], pa.int64()) for y in (0, 1)]], names=["f", "clean", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *[pa.array([s[f] for f in part], pa.int64()) for s in seen]], names=["f", "clean", "toxic", "aimed"])
 
     n = dict(rows.groupBy("y").count().collect())
     least = max(3, n.get(1, 0) // 100)
-    tally = rows.mapInArrow(counted, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    tally = rows.mapInArrow(counted, "f string, clean long, toxic long, aimed long").groupBy("f").agg(*[F.sum(c).alias(c) for c in ("clean", "toxic", "aimed")])
     strong = tally.filter((F.col("toxic") >= least) & (F.col("toxic") * max(n.get(0, 0), 1) >= 10 * F.col("clean") * max(n.get(1, 0), 1))).collect()
     words, stems = choose_entries(Counter({r.f: r.toxic for r in strong}), Counter({r.f: r.clean for r in strong}), n.get(1, 0), n.get(0, 0))
-    model = Model({**seed_model().words, **words}, stems, PRIOR)
+    threats = frozenset(r.f.rstrip("$") for r in strong if 2 * r.aimed >= r.toxic and r.f.rstrip("$") in (words if r.f[-1] == "$" else stems))
+    model = Model({**seed_model().words, **words}, stems, PRIOR, threats - frozenset(SEEDS[INSULT].split()))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
@@ -304,15 +339,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
 def with_score(docs: DataFrame, model: Model, text: str = "text", out: str = "score", keep_text: bool = True) -> DataFrame:
     """Add the score from 0 to 1; null and empty texts get the bias's. All other columns pass through untouched."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def task() -> Callable[[pa.Array], list[pa.Array]]:
         scorer = Scorer(model)
-        for b in batches:
-            score = pa.array([scorer.score(t) for t in b.column(b.num_columns - 1).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], score], schema=pa.schema([*list(b.schema)[:-1], pa.field(out, pa.float64())]))
+        return lambda texts: [pa.array([scorer.score(x.as_py()) for x in texts], pa.float64())]
 
-    kept = [f for f in docs.schema.fields if f.name != out and (keep_text or f.name != text)]
-    given = docs.select(*[docs[f.name] for f in kept], docs[text].alias("__text"))
-    return given.mapInArrow(run, T.StructType([*kept, T.StructField(out, T.DoubleType())]))
+    return extended(docs, text, [T.StructField(out, T.DoubleType())], task, () if keep_text else (text,))
 
 
 def held_out(id_: Column) -> Column:
@@ -332,6 +363,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, all columns as they were."""
+    """The rows of ``docs`` that score below the threshold, all columns as they were.
+
+    Null and empty texts stay; repeated rows are judged alike; an empty table stays empty.
+    """
     model = fit(docs, labels.filter(~held_out(F.col("doc_id"))))
-    return with_score(docs, model, out="__score").filter(F.col("__score") < threshold).drop("__score")
+    score = spare(docs, "__score")[0]
+    return with_score(docs, model, out=score).filter(F.col(score) < threshold).drop(score)
