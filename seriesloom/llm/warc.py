@@ -10,8 +10,8 @@ from .urls import canonical
 
 #: Header fields of a 304 answer that replace those of the stored response (RFC 9110, 15.4.5, and Last-Modified).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
-#: Slices of the whole time span: a URL with a third of all records is spread over them.
-SLICES = 4096
+#: Slices of time, each with about as many records: a URL with a third of all records is spread over them.
+SLICES = 1024
 
 
 def _field(headers: str, name: str) -> Column:
@@ -19,6 +19,15 @@ def _field(headers: str, name: str) -> Column:
     return F.try_element_at(F.filter(F.col(headers), lambda h: h["name"] == name), F.lit(1))["value"]
 
 
+def _slice(ts: Column, bounds: list[int]) -> Column:
+    """How many of the ascending ``bounds`` the time has reached, by halving."""
+    if not bounds:
+        return F.lit(0)
+    steps = [1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)]
+    held = F.array(*[F.lit(b).cast("long") for b in bounds])
+    return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), lambda acc, x: F.when(F.get(held, acc + x - 1) <= ts, acc + x).otherwise(acc))
+
+
 def _strong(etag: Column) -> Column:
     return F.regexp_replace(etag, "^W/", "")
 
@@ -40,17 +49,20 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     nothing, null times are never earlier or later than anything.
 
     As-of by two windows: within (URL, slice of time), and over the last response
-    of each slice; so the records of one URL don't meet in one task.
+    of each slice; so the records of one URL don't meet in one task.  The slices
+    are bounded by quantiles of all times, so single times far away from the
+    others change nothing.  Repeated records are resolved alike; an empty table
+    gives an empty result.
     """
     lower = F.transform(F.map_entries("headers"), lambda e: F.struct(F.lower(e["key"]).alias("name"), e["value"].alias("value")))
     heads = F.array_sort(F.coalesce(lower, F.array().cast("array<struct<name:string,value:string>>")))
     r = records.select("record_id", "uri", canonical(F.col("uri")).alias("site"), "ts", "warc_type", "status", heads.alias("heads"), "payload_digest", "payload_bytes")
     r = save(r, "records")
-    low, high = r.agg(F.min("ts"), F.max("ts")).first()
-    width = max(1, ((high or 0) - (low or 0)) // SLICES + 1)
+    cuts = r.agg(F.percentile_approx("ts", [k / SLICES for k in range(1, SLICES)], 10 * SLICES)).first()[0]
+    bounds = sorted(set(cuts or []))
     full = (F.col("warc_type") == "response") & (F.col("status") == 200) & F.col("site").isNotNull() & F.col("ts").isNotNull()
     me = F.when(full, F.struct("ts", "record_id", "heads", "payload_digest", "payload_bytes"))
-    r = r.withColumn("slice", F.floor((F.col("ts") - F.lit(low or 0)) / width)).withColumn("me", me)
+    r = r.withColumn("slice", F.when(F.col("ts").isNotNull(), _slice(F.col("ts"), bounds))).withColumn("me", me)
     within = Window.partitionBy("site", "slice").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     ends = r.groupBy("site", "slice").agg(F.max("me").alias("end"))
     before = Window.partitionBy("site").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
