@@ -11,14 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import named
 from .components import connected_components
 from .scratch import save
 from .simhash import _forest
 
 #: Vectors in a tile: what is compared with one matrix product.
 TILE = 512
-#: Vectors a block is meant to hold, and the most blocks there are (their pairs are listed on the driver).
-BLOCK, MOST_BLOCKS = 4096, 2048
+#: Numbers that a block is meant to hold (the vectors of a block are as many fewer as they are longer), and the leaves of the
+#: tree at most, whose pairs are listed on the driver; a leaf with more vectors than a block has is cut into blocks by hash.
+BLOCK, LEAVES = 1 << 20, 512
 #: Vectors that lay out the blocks. Every vector is compared, whichever block it falls in.
 SAMPLE = 20_000
 #: Leading dimensions after which a pair may be given up.
@@ -41,7 +43,7 @@ def _packed(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack(x) for x in b.column(1)], pa.binary())], names=["id", "raw"])
 
-    return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).mapInArrow(run, "id long, raw binary")
+    return vectors.select(named(id_col).cast("long").alias("id"), named(vec_col).cast("array<double>").alias("v")).mapInArrow(run, "id long, raw binary")
 
 
 def _moments(reps: DataFrame) -> dict[int, np.ndarray]:
@@ -100,6 +102,11 @@ def _leaf(tree: list | int, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def block_of(d: int) -> int:
+    """Vectors of length d in a block."""
+    return max(TILE, BLOCK // d)
+
+
 def close_pairs(a: np.ndarray, b: np.ndarray, raw_a: np.ndarray, raw_b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs with cosine >= threshold. a, b: unit vectors in PCA order; raw: as given, for the final value.
 
@@ -131,10 +138,13 @@ def vector_links(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     """One row for each row of ``vectors``: id, n_links, component_id, kept.
 
     Exactly equal vectors become one with a weight first.  The rest are rotated
-    to the principal axes of all vectors and dealt to blocks of a k-d tree over
-    the leading axes; only pairs of blocks whose boxes come within
-    sqrt(2 - 2 * threshold) are compared, each in a task of its own, tile by
-    tile.  A task returns link counts and spanning links, never pairs.
+    to the principal axes of all vectors and dealt to leaves of a k-d tree over
+    the leading axes and blocks of bounded size within them; only pairs of blocks
+    whose leaves' boxes come within sqrt(2 - 2 * threshold) are compared, each in
+    a task of its own, tile by tile.  A task returns link counts and spanning
+    links, never pairs.  Where the leading axes tell nothing apart (vectors spread
+    evenly over many dimensions) all blocks meet: what a vector costs then grows
+    with the number of blocks, as exact comparison must.
 
     Null, empty, zero and non-finite vectors link with nothing (n_links 0, their
     own id as component); vectors of different lengths don't link; repeated rows
@@ -145,7 +155,6 @@ def vector_links(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     reps = save(reps.withColumn("rep", F.monotonically_increasing_id()), "distinct-vectors")
     n = reps.count()
     spin, trees, boxes_of = {}, {}, {}
-    blocks = min(max(1, ceil(n / BLOCK)), MOST_BLOCKS)
     for d, m in _moments(reps).items():
         spin[d] = np.linalg.eigh(m)[1][:, ::-1].copy()
     part = min(1.0, 2 * SAMPLE / max(n, 1))
@@ -153,7 +162,7 @@ def vector_links(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     for d in spin:
         x = some.get(d, np.zeros((0, d)))
         lead = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ spin[d][:, :8]
-        trees[d] = _layout(lead, blocks)
+        trees[d] = _layout(lead, min(max(1, ceil(n / block_of(d))), LEAVES))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -169,20 +178,32 @@ def vector_links(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     box = [f(F.col("lead")[k]).alias(f"{g}{k}") for k in range(8) for f, g in ((F.min, "lo"), (F.max, "hi"))]
     boxes = dealt.groupBy("d", "leaf").agg(F.count("*").alias("n"), *box).orderBy("d", "leaf").collect()
     reach = sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
-    near: list[tuple[int, int, int, int]] = []
+    near: list[tuple[int, int, int, int, bool, int, int]] = []
     for d in spin:
         own = [r for r in boxes if r.d == d]
         lo, hi = (np.array([[r[f"{g}{k}"] for k in range(8)] for r in own]) for g in ("lo", "hi"))
+        parts = [ceil(r.n / block_of(d)) for r in own]
         for k, r in enumerate(own):
             gap = np.maximum(0, np.maximum(lo[k:] - hi[k], lo[k] - hi[k:]))
-            for o in np.nonzero((gap**2).sum(1) <= reach**2)[0]:
-                near.append((d, r.leaf, own[k + o].leaf, len(near)))
-    pairs = dealt.sparkSession.createDataFrame([(d, i, p) for d, i, _, p in near] + [(d, j, p) for d, i, j, p in near if i != j], "d long, leaf long, pair long")
+            for o in np.nonzero((gap**2).sum(1) <= reach**2)[0].tolist():
+                pair = len(near)
+                near.append((d, r.leaf, pair, 0, o == 0, parts[k], parts[k + o]))
+                if o:
+                    near.append((d, own[k + o].leaf, pair, 1, False, parts[k + o], parts[k]))
+    pairs = dealt.sparkSession.createDataFrame(near, "d long, leaf long, pair long, side int, same boolean, mine int, others int")
+    met = dealt.drop("lead").join(pairs, ["d", "leaf"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("mine")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    first = F.when(F.col("same"), F.least("own", "other")).otherwise(F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")))
+    second = F.when(F.col("same"), F.greatest("own", "other")).otherwise(F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own")))
+    side = F.when(F.col("same"), (F.col("own") > F.col("other")).cast("int")).otherwise(F.col("side"))
+    met = met.select("raw", "rep", "weight", "d", "pair", first.alias("a"), second.alias("b"), side.alias("side"), (F.col("same") & (F.col("own") == F.col("other"))).alias("self"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         d = int(pdf["d"].iloc[0])
+        if not pdf["self"].iloc[0] and pdf["side"].nunique() == 1:  # the other block is empty
+            return pd.DataFrame({"rep": [], "links": [], "dst": []}).astype({"rep": "int64", "links": "int64", "dst": "Int64"})
         sides = []
-        for _, side in pdf.groupby("leaf", sort=True):
+        for _, side in pdf.groupby("side", sort=True):
             raw = np.frombuffer(b"".join(side["raw"])).reshape(-1, d)
             u = (raw / np.linalg.norm(raw, axis=1, keepdims=True)) @ spin[d]
             order = np.argsort(u[:, 0], kind="stable")
@@ -207,7 +228,7 @@ def vector_links(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
         out.append(pd.DataFrame({"rep": [f[0] for f in forest], "links": 0, "dst": [f[1] for f in forest]}))
         return pd.concat(out).astype({"rep": "int64", "links": "int64", "dst": "Int64"})
 
-    found = save(dealt.drop("lead").join(pairs, ["d", "leaf"]).groupBy("pair").applyInPandas(compare, "rep long, links long, dst long"), "vector-links")
+    found = save(met.groupBy("pair", "a", "b").applyInPandas(compare, "rep long, links long, dst long"), "vector-links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = connected_components(found.filter("dst is not null").select(F.col("rep").alias("src"), "dst"))
     of = reps.join(counts, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left")
