@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .columns import named
 from .scratch import running_total, save
 
+#: Leading bits of a group's size that packing looks at.
+BITS = 16
+
 
 @dataclass(slots=True)
 class _Node:
@@ -155,6 +159,13 @@ def pack_evenly(sizes: list[tuple[int, int]], bins: int) -> list[tuple[int, int,
     return runs
 
 
+def size_class(size: Column) -> Column:
+    """The size rounded up to BITS leading bits: at most one part in 32,768 more, and as it is up to 65,536."""
+    more = F.greatest(F.length(F.bin(size)) - BITS, F.lit(0))
+    below = F.call_function("shiftleft", F.lit(1).cast("long"), more) - 1
+    return F.call_function("shiftleft", F.call_function("shiftright", size + below, more), more)
+
+
 def shard_documents(docs: DataFrame, shards: int = 40, capacity: int | None = None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row for each row of ``docs``: id, size, text_crc32, shard, slot.
 
@@ -163,18 +174,19 @@ def shard_documents(docs: DataFrame, shards: int = 40, capacity: int | None = No
     ``capacity`` the shards have that fixed capacity and are as few as best fit
     needs; without it there are ``shards`` of near equal sizes.  Slots count the
     rows of a shard from 0 without gaps.  What reaches the driver is the number
-    of groups of each size: at most the square root of twice all bytes many
-    rows.  Groups are numbered within their size, and rows within their shard,
+    of groups of each size, rounded up to 16 leading bits (:func:`size_class`), so
+    no capacity is exceeded: at most 32,768 rows for each doubling of size above
+    65,536 bytes, whatever the corpus, and few where the sizes are large.  Groups are numbered within their size, and rows within their shard,
     by running totals over hash buckets, so no size, group or shard meets in one
     task.  Ties and repeated rows get slots in any order; an empty table gives
     an empty result.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(F.col(id_col).cast("long").alias("id"), (F.octet_length(t) + 16).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("crc"), F.xxhash64(t).alias("hash"))
+    t = F.coalesce(named(text), F.lit(""))
+    base = docs.select(named(id_col).cast("long").alias("id"), (F.octet_length(t) + 16).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("crc"), F.xxhash64(t).alias("hash"))
     base = save(base, "sizes")
     key = ["hash", "crc", "size"]
     groups = base.groupBy(*key).agg(F.count("*").alias("n"))
-    groups = save(groups.select(*key, (F.col("size") * F.col("n")).alias("bytes"), F.shiftright("hash", 52).alias("bucket"), F.lit(1).alias("one")), "groups")
+    groups = save(groups.select(*key, size_class(F.col("size") * F.col("n")).alias("bytes"), F.shiftright("hash", 52).alias("bucket"), F.lit(1).alias("one")), "groups")
     sizes = [(s, n) for s, n in groups.groupBy("bytes").agg(F.count("*").alias("n")).collect()]
     runs = pack_evenly(sizes, shards) if capacity is None else best_fit_decreasing(sizes, capacity)
     whole = {s: n for s, n in sizes}
