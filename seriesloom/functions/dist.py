@@ -7,8 +7,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.functions.stats import sample_quantile, z_of
-from seriesloom.meta import ForecastTable, Interval, SeriesFrame, quoted
+from seriesloom.functions.stats import box_cox, sample_quantile, z_of
+from seriesloom.meta import ForecastTable, Interval, SeriesFrame
 
 
 def quantile(fc: ForecastTable, p: float) -> Column:
@@ -50,11 +50,11 @@ def as_forecasts(df: DataFrame, key: Sequence[str], index: str, response: str, m
     return ForecastTable(out, tuple(key), index, interval, response)
 
 
-def from_interval(df: DataFrame, lower: str, upper: str, level: float) -> DataFrame:
-    """mu, sigma of the normal distribution whose central interval is given; without one sigma is 0."""
-    half = (F.col(f"`{upper}`") - F.col(f"`{lower}`")) / 2
-    return df.withColumns({"mu": F.col(f"`{lower}`") + half, "sigma": F.coalesce(half / z_of((1 + level / 100) / 2), F.lit(0.0))})
+def from_interval(df: DataFrame, lower: str, upper: str, level: float, lam: float | None = None) -> DataFrame:
+    """mu, sigma of the normal distribution whose central interval is given; without one sigma is 0.
 
-
-def as_table(fc: ForecastTable) -> DataFrame:
-    return fc.df.select(*quoted(fc.df.columns))
+    With ``lam`` the distribution is normal after the Box-Cox transformation, and mu and sigma are on that scale.
+    """
+    low, high = (F.col(f"`{c}`") if lam is None else box_cox(F.col(f"`{c}`"), lam) for c in (lower, upper))
+    half = (high - low) / 2
+    return df.withColumns({"mu": low + half, "sigma": F.coalesce(half / z_of((1 + level / 100) / 2), F.lit(0.0))})

@@ -15,7 +15,7 @@ from functools import partial
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .stats import clean, divide, normal_cdf, normal_pdf, sample_quantile, z_of
+from .stats import clean, divide, normal_cdf, normal_pdf, sample_quantile, sorted_quantile, z_of
 
 
 @dataclass(frozen=True)
@@ -34,6 +34,19 @@ class Inputs:
     abs_scale: Column
     sq_scale: Column
     back: Callable[[Column], Column]
+    #: Whether the row's distribution is a transformed one, and not normal on the response scale.
+    moved: Column | None = None
+    #: Gets the options of the scales that measures ask for beside the two above.
+    asked: set[tuple[bool, int | None, int | None]] | None = None
+
+    def scale(self, kind: str, demean: bool = False, d: int | None = None, D: int | None = None) -> Column:
+        """Mean absolute (``abs``) or squared (``sq``) value of the training series after D seasonal and d first
+        differences, ``demean`` less its mean; by default one difference, seasonal where the period is over 1."""
+        if (demean, d, D) == (False, None, None):
+            return self.abs_scale if kind == "abs" else self.sq_scale
+        if self.asked is not None:
+            self.asked.add((demean, d, D))
+        return F.col(f"{kind}_scale_{int(demean)}_{d}_{D}")
 
     def quantile(self, p: float) -> Column:
         normal = self.back(self.mu + z_of(p) * self.sigma)
@@ -77,12 +90,12 @@ def MAAPE(i: Inputs) -> Column:
     return _mean(F.when((i.y == 0) & (i.e != 0), math.pi / 2).otherwise(F.atan(F.abs(100 * divide(i.e, i.y)))))
 
 
-def MASE(i: Inputs) -> Column:
-    return _mean(F.abs(divide(i.e, i.abs_scale)))
+def MASE(i: Inputs, demean: bool = False, d: int | None = None, D: int | None = None) -> Column:
+    return _mean(F.abs(divide(i.e, i.scale("abs", demean, d, D))))
 
 
-def RMSSE(i: Inputs) -> Column:
-    return F.sqrt(_mean(divide(i.e * i.e, i.sq_scale)))
+def RMSSE(i: Inputs, demean: bool = False, d: int | None = None, D: int | None = None) -> Column:
+    return F.sqrt(_mean(divide(i.e * i.e, i.scale("sq", demean, d, D))))
 
 
 def ACF1(i: Inputs) -> Column:
@@ -126,30 +139,42 @@ def pinball_loss(i: Inputs, level: float = 95) -> Column:
     return 2 * _mean(_pinball(i, level / 100))
 
 
-def scaled_pinball_loss(i: Inputs, level: float = 95) -> Column:
-    return _mean(divide(_pinball(i, level / 100), i.abs_scale))
+def scaled_pinball_loss(i: Inputs, level: float = 95, demean: bool = False, d: int | None = None, D: int | None = None) -> Column:
+    return _mean(divide(_pinball(i, level / 100), i.scale("abs", demean, d, D)))
 
 
 def quantile_score(i: Inputs, probs: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> Column:
     return 2 * sum((_mean(_pinball(i, p)) for p in probs), F.lit(0.0)) / len(probs)
 
 
-def percentile_score(i: Inputs) -> Column:
-    """Mean pinball loss over 99 levels: levels are an array, so that the plan stays small."""
-    z = F.array(*[F.struct(F.lit(k / 100).alias("p"), F.lit(z_of(k / 100)).alias("z")) for k in range(1, 100)])
+def _mean_pinball(i: Inputs, levels: list[float], quantile: Callable[[Column], Column]) -> Column:
+    """Twice the mean pinball loss of a row over levels; they are an array of (p, z), so that the plan stays small."""
+    z = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(z_of(p)).alias("z")) for p in levels])
 
     def add(acc: Column, x: Column) -> Column:
-        q = i.back(i.mu + x["z"] * i.sigma)
+        q = quantile(x)
         return acc + F.when(i.y >= q, x["p"] * (i.y - q)).otherwise((1 - x["p"]) * (q - i.y))
 
-    return 2 * _mean(F.aggregate(z, F.lit(0.0), add) / 99)
+    return 2 * F.aggregate(z, F.lit(0.0), add) / len(levels)
 
 
-def CRPS(i: Inputs) -> Column:
-    """Normal: closed form (transformed models by their mean and sigma's first-order image); sample: sorted draws."""
-    half = (i.back(i.mu + i.sigma) - i.back(i.mu - i.sigma)) / 2
-    z = divide(i.y - i.back(i.mu), half)
-    closed = F.when(half > 0, half * (z * (2 * normal_cdf(z) - 1) + 2 * normal_pdf(z) - 1 / math.sqrt(math.pi))).otherwise(F.abs(i.y - i.fc))
+def percentile_score(i: Inputs) -> Column:
+    """Mean pinball loss over 99 levels."""
+    levels = [k / 100 for k in range(1, 100)]
+    normal = _mean_pinball(i, levels, lambda x: i.back(i.mu + x["z"] * i.sigma))
+    if i.sample is None:
+        return _mean(normal)
+    drawn = F.element_at(F.transform(F.array(F.array_sort(i.sample)), lambda s: _mean_pinball(i, levels, lambda x: sorted_quantile(s, x["p"]))), 1)
+    return _mean(F.when(i.sample.isNotNull(), drawn).otherwise(normal))
+
+
+def CRPS(i: Inputs, n_quantiles: int = 1000) -> Column:
+    """Normal: closed form; sample: sorted draws; transformed: the mean quantile score over ``n_quantiles`` even levels."""
+    z = divide(i.y - i.mu, i.sigma)
+    closed = F.when(i.sigma > 0, i.sigma * (z * (2 * normal_cdf(z) - 1) + 2 * normal_pdf(z) - 1 / math.sqrt(math.pi))).otherwise(F.abs(i.y - i.fc))
+    if i.moved is not None:
+        levels = [k / (n_quantiles + 1) for k in range(1, n_quantiles + 1)]
+        closed = F.when(i.moved, _mean_pinball(i, levels, lambda x: i.back(i.mu + x["z"] * i.sigma))).otherwise(closed)
     if i.sample is None:
         return _mean(closed)
     m = F.size(i.sample)

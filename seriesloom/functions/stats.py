@@ -46,15 +46,19 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x > 7, 1.0).when(x < -7, 0.0).otherwise(0.5 + normal_pdf(x) * total)
 
 
-def sample_quantile(sample: Column, p: float) -> Column:
-    """Interpolated quantile (type 7) of an array."""
-    s = F.array_sort(sample)
-    at = (F.size(sample) - 1) * p
+def sorted_quantile(s: Column, p: float | Column) -> Column:
+    """Interpolated quantile (type 7) of a sorted array."""
+    at = (F.size(s) - 1) * p
     low = F.floor(at).cast("int")
-    a, b = F.get(s, low), F.get(s, F.least(low + 1, F.size(sample) - 1))
+    a, b = F.get(s, low), F.get(s, F.least(low + 1, F.size(s) - 1))
     return a + (at - low) * (b - a)
 
 
+def sample_quantile(sample: Column, p: float) -> Column:
+    """Interpolated quantile (type 7) of an array."""
+    return sorted_quantile(F.array_sort(sample), p)
+
+
 def sample_mean(sample: Column) -> Column:
     return F.aggregate(sample, F.lit(0.0), lambda acc, x: acc + x) / F.size(sample)
 

@@ -62,6 +62,7 @@ class SeriesFrame:
     key: tuple[str, ...]
     index: str
     interval: Interval = Interval()
+    groups: tuple[str, ...] = field(default=(), kw_only=True)
 
     def window(self, *more: str) -> WindowSpec:
         return Window.partitionBy(*quoted((*self.key, *more))).orderBy(*quoted([self.index]))
@@ -70,9 +71,13 @@ class SeriesFrame:
     def measured(self) -> list[str]:
         return [c for c in self.df.columns if c not in self.key and c != self.index]
 
+    def duplicates(self) -> DataFrame:
+        """(key, index, count) that do not identify a row."""
+        return self.df.groupBy(*quoted((*self.key, self.index))).count().filter("count > 1")
+
     def check(self) -> SeriesFrame:
         """Raise if a (key, index) occurs twice."""
-        if not self.df.groupBy(*quoted((*self.key, self.index))).count().filter("count > 1").isEmpty():
+        if not self.duplicates().isEmpty():
             raise ValueError("key and index do not identify each row")
         return self
 
@@ -90,6 +95,28 @@ class SeriesFrame:
     def with_columns(self, cols: Mapping[str, Column]) -> Any:
         return self._with(self.df.withColumns(dict(cols)))
 
+    def transmute(self, cols: Mapping[str, Column]) -> Any:
+        """Keys, index and the columns given; a response or distribution that isn't among them is lost."""
+        return self._with(self.df.select(*quoted([*self.key, self.index]), *[c.alias(k) for k, c in cols.items()]))
+
+    def group_by(self, *keys: str) -> Any:
+        """The same table with groups, which :meth:`summarise` keeps; no names end the grouping."""
+        if unknown := {*keys} - {*self.df.columns}:
+            raise ValueError(f"no columns: {sorted(unknown)}")
+        return replace(self, groups=tuple(keys))
+
+    def summarise(self, **aggs: Column) -> Any:
+        """One row for each group and index.  Forecasts stay forecasts while their distribution is among the columns."""
+        by = list(dict.fromkeys([*self.groups, self.index]))
+        out = self.df.groupBy(*quoted(by)).agg(*[c.alias(k) for k, c in aggs.items()])
+        return replace(self, key=self.groups, groups=())._with(out)
+
+    def longer(self, columns: Sequence[str], names_to: str = "response", values_to: str = "value") -> SeriesFrame:
+        """Several measured columns as series of one, told apart by ``names_to``, which ends the key."""
+        ids = [c for c in self.df.columns if c not in columns]
+        numbers = self.df.select(*quoted(ids), *[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
+        return SeriesFrame(numbers.unpivot(quoted(ids), quoted(columns), names_to, values_to), (*self.key, names_to), self.index, self.interval)
+
     def renamed(self, names: Mapping[str, str]) -> Any:
         out = self.df.withColumnsRenamed(dict(names))
         return replace(self, df=out, key=tuple(names.get(k, k) for k in self.key), index=names.get(self.index, self.index))
@@ -154,6 +181,13 @@ class ModelTable:
             raise ValueError("model tables of another response or key")
         return replace(self, df=self.df.unionByName(other.df), defs={**self.defs, **other.defs}, plans={**self.plans, **other.plans})
 
+    def formatted(self) -> DataFrame:
+        """One row a series and a column a model, each cell with the model's class in angle brackets, as tables are shown."""
+        cell = F.lit("<NULL model>")
+        for name, d in self.defs.items():
+            cell = F.when((F.col("model") == name) & F.col("ok"), F.lit(f"<{type(d).__name__}>")).otherwise(cell)
+        return self.df.groupBy(*quoted(self.key)).pivot("model", [*self.defs]).agg(F.first(cell))
+
     def null_models(self) -> DataFrame:
         """The series and models that could not be fitted."""
         return self.df.filter(~F.col("ok")).select(*self.key, "model", "error")
@@ -236,3 +270,55 @@ def scenarios(names_to: str = "scenario", **tables: SeriesFrame) -> SeriesFrame:
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     return replace(first, df=out, key=(names_to, *first.key))
+
+
+def response_vars(table: Any) -> tuple[str, ...]:
+    return (table.response,)
+
+
+def distribution_vars(table: Any) -> tuple[str, ...]:
+    """The columns that hold the distribution of forecasts."""
+    return tuple(c for c in ("mu", "sigma", "sample") if c in table.df.columns)
+
+
+def is_forecasts(x: Any) -> bool:
+    return isinstance(x, ForecastTable)
+
+
+def is_models(x: Any) -> bool:
+    return isinstance(x, ModelTable)
+
+
+def is_decomposition(x: Any) -> bool:
+    return isinstance(x, DecompTable)
+
+
+def is_null_model(table: ModelTable) -> DataFrame:
+    """(key, model, null): which fitted models are null models."""
+    return table.df.select(*quoted(table.key), "model", (~F.col("ok")).alias("null"))
+
+
+def _distinct(df: DataFrame, by: Sequence[str], what: str) -> None:
+    if missing := {*by} - {*df.columns}:
+        raise ValueError(f"{what} lack columns: {sorted(missing)}")
+    if not df.groupBy(*quoted(by)).count().filter("count > 1").isEmpty():
+        raise ValueError(f"{what}: {', '.join(by)} do not identify each row")
+
+
+def as_models(df: DataFrame, key: Sequence[str], index: str, interval: Interval, response: str, defs: Mapping[str, Any], data: SeriesFrame | None = None) -> ModelTable:
+    """A model table of stored rows (key, model, n, last, state, ok, error); each series has a model once, and all models are defined."""
+    _distinct(df, [*key, "model"], "models")
+    if missing := {"n", "last", "state", "ok", "error"} - {*df.columns}:
+        raise ValueError(f"models lack columns: {sorted(missing)}")
+    if not df.filter(~F.col("model").isin(*defs)).isEmpty():
+        raise ValueError("models without a definition")
+    return ModelTable(df, tuple(key), index, interval, response, dict(defs), data)
+
+
+def as_decomposition(df: DataFrame, key: Sequence[str], index: str, interval: Interval, response: str, aliases: Mapping[str, str], method: str = "", seasons: Mapping[str, float] | None = None) -> DecompTable:
+    """A decomposition of stored rows; (key, index) identify them and every alias can be worked out from the columns."""
+    _distinct(df, [*key, index], "components")
+    if response not in aliases:
+        raise ValueError("it takes an expression for the response")
+    df.select(*[F.expr(e).alias(k) for k, e in aliases.items()])
+    return DecompTable(df, tuple(key), index, interval, response, method, dict(seasons or {}), dict(aliases))

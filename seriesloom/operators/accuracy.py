@@ -31,20 +31,36 @@ def _flat(measures: Any) -> dict[str, Measure]:
     return reduce(lambda a, b: a | _flat(b), measures, {})
 
 
-def _scales(train: DataFrame, by: Sequence[str], y: str, index: str, m: int, demean: bool = False) -> DataFrame:
-    """(by, abs_scale, sq_scale): mean absolute and squared difference, seasonal if m > 1, of each training series."""
-    d = clean(F.col(y)) - F.lag(clean(F.col(y)), m).over(Window.partitionBy(*quoted(by)).orderBy(F.col(f"`{index}`")))
-    rows = train.withColumn("__d", d)
-    if demean:
-        rows = rows.withColumn("__d", F.col("__d") - F.avg("__d").over(Window.partitionBy(*quoted(by))))
-    return rows.groupBy(*quoted(by)).agg(F.avg(F.abs("__d")).alias("abs_scale"), F.avg(F.col("__d") * F.col("__d")).alias("sq_scale"))
-
-
-def _score(rows: DataFrame, by: Sequence[str], index: str, measures: Mapping[str, Measure], back: Callable[[Column], Column], kind: str, python: Mapping[str, Any] | None = None, order: Sequence[str] = ()) -> DataFrame:
+def _asked(measures: Mapping[str, Measure]) -> set[tuple[bool, int | None, int | None]]:
+    """The options of the scales that the measures divide by, beside the default ones: each is tried on columns that stand for none."""
+    found: set[tuple[bool, int | None, int | None]] = set()
+    none = F.lit(None).cast("double")
+    for f in measures.values():
+        f(Inputs(none, none, none, none, none, none, none, None, none, none, lambda x: x, None, found))
+    return found
+
+
+def _scales(train: DataFrame, by: Sequence[str], y: str, index: str, m: int, asked: set[tuple[bool, int | None, int | None]]) -> DataFrame:
+    """(by, abs_scale, sq_scale, ...): mean absolute and squared difference of each training series, seasonal if m > 1 or as asked."""
+    w, rows, aggs = Window.partitionBy(*quoted(by)), train, []
+    for k, (demean, d, D) in enumerate([(False, None, None), *sorted(asked, key=repr)]):
+        x = f"__d{k}"
+        rows = rows.withColumn(x, clean(F.col(y)))
+        for lag, times in ((m, int(m > 1) if D is None else D), (1, int(m == 1) if d is None else d)):
+            for _ in range(times):
+                rows = rows.withColumn(x, F.col(x) - F.lag(x, lag).over(w.orderBy(F.col(f"`{index}`"))))
+        if demean:
+            rows = rows.withColumn(x, F.col(x) - F.avg(x).over(w))
+        end = "" if not k else f"_{int(demean)}_{d}_{D}"
+        aggs += [F.avg(F.abs(x)).alias(f"abs_scale{end}"), F.avg(F.col(x) * F.col(x)).alias(f"sq_scale{end}")]
+    return rows.groupBy(*quoted(by)).agg(*aggs)
+
+
+def _score(rows: DataFrame, by: Sequence[str], index: str, measures: Mapping[str, Measure], back: Callable[[Column], Column], kind: str, python: Mapping[str, Any] | None = None, order: Sequence[str] = (), moved: Sequence[str] = ()) -> DataFrame:
     w = Window.partitionBy(*quoted(by)).orderBy(*quoted([*order, index]))
     rows = rows.withColumns({"__dy": F.col("__y") - F.lag("__y").over(w), "__eb": F.lag("__e").over(w)})
     sample = F.col("sample") if "sample" in rows.columns else None
-    i = Inputs(F.col("__e"), F.col("__y"), F.col("__fc"), F.col("__dy"), F.col("__eb"), F.col("mu"), F.col("sigma"), sample, F.col("abs_scale"), F.col("sq_scale"), back)
+    i = Inputs(F.col("__e"), F.col("__y"), F.col("__fc"), F.col("__dy"), F.col("__eb"), F.col("mu"), F.col("sigma"), sample, F.col("abs_scale"), F.col("sq_scale"), back, F.col("model").isin(*moved) if moved else None)
     out = rows.groupBy(*quoted(by)).agg(F.lit(kind).alias("type"), *[f(i).alias(k) for k, f in measures.items()])
     for name, f in (python or {}).items():
         out = join_on(out, _python_measure(rows, by, index, name, f), by)
@@ -72,7 +88,7 @@ def accuracy_training(table: ModelTable, measures: Any = point_accuracy_measures
     a = augment(table)
     m = seasonal_lag(period, table.interval)
     y = F.col(f"`{table.response}`")
-    scale = _scales(table.data.df.withColumn("__y", y.cast("double")), table.key, "__y", table.index, m)
+    scale = _scales(table.data.df.withColumn("__y", y.cast("double")), table.key, "__y", table.index, m, _asked(_flat(measures)))
     rows = a.df.withColumns({"__e": clean(F.col("resid")), "__y": clean(y), "__fc": F.col("fitted"), "mu": F.col("fitted"), "sigma": F.lit(0.0)})
     rows = join_on(rows, scale, table.key, "left")
     return _score(rows, [*table.key, "model"], table.index, _flat(measures), lambda x: x, "Training", python)
@@ -103,9 +119,9 @@ def accuracy(fc: ForecastTable, data: SeriesFrame, measures: Any = point_accurac
         on &= F.col(f"`{k}`").eqNullSafe(F.col(f"`__g_{k}`"))
     train = actual.join(named, on)
     group = [f"__g_{c}" if c in key else c for c in by]
-    scale = _scales(train, group, "__y", index, m).withColumnsRenamed({f"__g_{c}": c for c in key})
+    scale = _scales(train, group, "__y", index, m, _asked(_flat(measures))).withColumnsRenamed({f"__g_{c}": c for c in key})
     rows = join_on(rows, scale, by, "left")
-    return _score(rows, by, index, _flat(measures), fc.back, "Test", python, [c for c in fc.key if c not in by])
+    return _score(rows, by, index, _flat(measures), fc.back, "Test", python, [c for c in fc.key if c not in by], [k for k in fc.inverse if "model" in fc.key])
 
 
 def missing_future(fc: ForecastTable, data: SeriesFrame) -> DataFrame:

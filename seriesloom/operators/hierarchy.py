@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Mapping, Sequence
-from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +15,7 @@ from seriesloom.meta import SeriesFrame, quoted
 
 AGGREGATED = "<aggregated>"
 #: Nodes of a hierarchy that the driver may hold as a matrix.
-MOST_NODES = 5000
+MOST_NODES = 2000
 
 
 def flag(key: str) -> str:
@@ -155,34 +154,32 @@ def nodes(frame: SeriesFrame) -> DataFrame:
     return frame.df.select(*quoted(frame.key)).distinct().withColumn("node", node_key(keys))
 
 
-def leaves(frame: SeriesFrame) -> DataFrame:
-    """Nodes that no other node refines; in a hierarchy that isn't balanced they may have aggregated keys."""
-    keys, n = base_keys(frame), nodes(frame)
-    child = n.select(F.col("node").alias("__child"), *[F.col(f"`{c}`").alias(f"c__{c}") for c in frame.key])
-    return n.join(child, _refines(keys, "", "c__") & (F.col("node") != F.col("__child")), "left_anti")
+def _ancestors(frame: SeriesFrame, own: DataFrame, name: str) -> DataFrame:
+    """(``name``, node): each node of ``own`` with itself and all keys that it could be summed into.
 
-
-def _refines(keys: Sequence[str], node: str, leaf: str) -> Column:
-    on = F.lit(True)
-    for k in keys:
-        on &= F.col(f"`{node}{flag(k)}`") | (~F.col(f"`{leaf}{flag(k)}`") & F.col(f"`{node}{k}`").eqNullSafe(F.col(f"`{leaf}{k}`")))
-    return on
-
-
-def coherent_smat(frame: SeriesFrame, with_bottom: bool = True) -> DataFrame:
-    """(node, leaf, value): 1 where the leaf is summed into the node.
-
-    A leaf meets only the nodes it could belong to: it is exploded into its
-    ancestors' keys (2 to the number of keys, whatever the number of nodes), so
-    the join has an equality.
+    A node has 2 to the number of keys of them at most, whatever the number of
+    nodes, so what is joined to them is joined by equality.
     """
     keys = base_keys(frame)
-    own = leaves(frame)
-    up = own.select(F.col("node").alias("leaf"), *quoted(frame.key))
+    up = own.select(F.col("node").alias(name), *quoted(frame.key))
     for k in keys:
         rows = F.array(F.struct(F.col(f"`{k}`").alias("x"), F.col(f"`{flag(k)}`").alias("g")), F.struct(F.lit(None).cast(frame.df.schema[k].dataType).alias("x"), F.lit(True).alias("g")))
         up = up.withColumn("__e", F.explode(F.array_distinct(rows))).withColumn(k, F.col("__e.x")).withColumn(flag(k), F.col("__e.g")).drop("__e")
-    out = up.withColumn("node", node_key(keys)).select("node", "leaf").join(nodes(frame).select("node"), "node", "left_semi").withColumn("value", F.lit(1))
+    return up.select(name, node_key(keys).alias("node"))
+
+
+def leaves(frame: SeriesFrame, all_nodes: DataFrame | None = None) -> DataFrame:
+    """Nodes that no other node refines: nobody's ancestor but their own.  In a hierarchy that isn't balanced they may have aggregated keys."""
+    n = nodes(frame) if all_nodes is None else all_nodes
+    above = _ancestors(frame, n, "below").filter("below <> node").select("node").distinct()
+    return n.join(above, "node", "left_anti")
+
+
+def coherent_smat(frame: SeriesFrame, with_bottom: bool = True, all_nodes: DataFrame | None = None) -> DataFrame:
+    """(node, leaf, value): 1 where the leaf is summed into the node; ``all_nodes`` is a saved result of :func:`nodes`."""
+    n = nodes(frame) if all_nodes is None else all_nodes
+    own = leaves(frame, n)
+    out = _ancestors(frame, own, "leaf").join(n.select("node"), "node", "left_semi").select("node", "leaf", F.lit(1).alias("value"))
     return out if with_bottom else out.join(own.select("node"), "node", "left_anti")
 
 
@@ -199,7 +196,3 @@ def incoherence(frame: SeriesFrame, value: str) -> DataFrame:
     c = coherent_cmat(frame).withColumnRenamed("value", "__c")
     rows = frame.df.withColumn("node", node_key(base_keys(frame)))
     return rows.join(c, "node").groupBy("constraint", frame.index).agg(F.sum(F.col(f"`{value}`") * F.col("__c")).alias("gap"))
-
-
-def as_hierarchy(frame: SeriesFrame, df: DataFrame) -> SeriesFrame:
-    return replace(frame, df=df)

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from seriesloom.meta import ForecastTable, ModelTable, SeriesFrame, quoted
 from seriesloom.plans.lifecycle import augment
+from seriesloom.sources.saved import saved
 
 from .hierarchy import MOST_NODES, base_keys, coherent_smat, flag, leaves, node_key, nodes
 
@@ -60,30 +61,34 @@ def _frame(table: ModelTable) -> SeriesFrame:
     return SeriesFrame(table.df.select(*quoted(table.key), F.lit(0).alias(table.index)).distinct(), table.key, table.index, table.interval)
 
 
+def _nodes(table: ModelTable) -> DataFrame:
+    """The nodes, saved: the relations between them are worked out from this table."""
+    return saved(nodes(_frame(table)), "nodes")
+
+
 def _cols(table: ModelTable, fc: ForecastTable) -> list[str]:
     return [table.index] + (["h"] if "h" in fc.df.columns else [])
 
 
-def _shape(table: ModelTable, fc: ForecastTable, df: DataFrame) -> DataFrame:
+def _shape(table: ModelTable, fc: ForecastTable, df: DataFrame, n: DataFrame) -> DataFrame:
     """(node, index, h, mu, sigma) with the node's keys again."""
-    n = nodes(_frame(table))
     return df.join(n, "node").select(*quoted([*table.key, *_cols(table, fc)]), "mu", "sigma", F.col("mu").alias("mean"))
 
 
 def _bottom_up(table: ModelTable, fc: ForecastTable, source: str) -> DataFrame:
     """Leaf forecasts summed; variances add up. Only leaves' forecasts are read."""
     keys = base_keys(_frame(table))
-    s = coherent_smat(_frame(table))
+    n = _nodes(table)
+    s = coherent_smat(_frame(table), all_nodes=n)
     rows = fc.df.withColumn("leaf", node_key(keys)).select("leaf", *_cols(table, fc), F.col("mean").alias("m"), "sigma")
     got = rows.join(s, "leaf").groupBy("node", *_cols(table, fc)).agg(F.sum("m").alias("mu"), F.sqrt(F.sum(F.col("sigma") * F.col("sigma"))).alias("sigma"))
-    return _shape(table, fc, got)
+    return _shape(table, fc, got, n)
 
 
-def _levels(table: ModelTable) -> list[str]:
+def _levels(table: ModelTable, n: DataFrame) -> list[str]:
     """Keys from the top of a strict hierarchy down; raises if it isn't strict."""
     keys = base_keys(_frame(table))
     open_ = [F.sum((~F.col(f"`{flag(k)}`")).cast("long")).alias(k) for k in keys]
-    n = nodes(_frame(table))
     first = n.agg(*open_).first()
     order = sorted(keys, key=lambda k: -(first[k] or 0))
     sets = {tuple(sorted(k for k in keys if not r[flag(k)])) for r in n.select(*[F.col(f"`{flag(k)}`") for k in keys]).distinct().collect()}
@@ -127,9 +132,10 @@ def _split_down(table: ModelTable, fc: ForecastTable, order: list[str], start: i
 
 def _top_down(table: ModelTable, fc: ForecastTable, source: str, method: str) -> DataFrame:
     """The top forecast shared out: by forecasts, by mean historical proportions or by proportions of historical means."""
-    order = _levels(table)
+    n = _nodes(table)
+    order = _levels(table, n)
     if method == "forecast_proportions":
-        return _shape(table, fc, _split_down(table, fc, order, 0))
+        return _shape(table, fc, _split_down(table, fc, order, 0), n)
     if method not in ("average_proportions", "proportion_averages"):
         raise ValueError(f"no such method: {method}")
     keys, at = base_keys(_frame(table)), _cols(table, fc)
@@ -139,25 +145,26 @@ def _top_down(table: ModelTable, fc: ForecastTable, source: str, method: str) ->
     both = rows.join(top, "__t", "left")
     bad = F.count(F.when(F.col("y").isNull() | F.isnan("y") | F.col("top").isNull(), 1))
     p = F.avg(F.when(F.col("top") != 0, F.col("y") / F.col("top"))) if method == "average_proportions" else F.when(F.avg("top") != 0, F.avg("y") / F.avg("top"))
-    shares = both.groupBy("node").agg(F.when(bad == 0, p).alias("p")).join(leaves(_frame(table)).select("node"), "node")
-    s = coherent_smat(_frame(table))
+    shares = both.groupBy("node").agg(F.when(bad == 0, p).alias("p")).join(leaves(_frame(table), n).select("node"), "node")
+    s = coherent_smat(_frame(table), all_nodes=n)
     total = s.join(shares.withColumnRenamed("node", "leaf"), "leaf").groupBy("node").agg(F.sum("p").alias("p"))
     tops = fc.df.filter(_depth(keys) == 0).select(*at, F.col("mean").alias("m"), F.col("sigma").alias("s"))
     got = total.crossJoin(F.broadcast(tops)).select("node", *at, (F.col("p") * F.col("m")).alias("mu"), (F.abs("p") * F.col("s")).alias("sigma"))  # tops: one row a horizon
-    return _shape(table, fc, got)
+    return _shape(table, fc, got, n)
 
 
 def _middle_out(table: ModelTable, fc: ForecastTable, source: str, split: int | str) -> DataFrame:
     """Shared out below the split level, summed above it."""
-    order, at = _levels(table), _cols(table, fc)
+    n = _nodes(table)
+    order, at = _levels(table, n), _cols(table, fc)
     depth = order.index(split) + 1 if isinstance(split, str) else int(split)
     down = _split_down(table, fc, order, depth)
-    keyed = down.filter(F.col("depth") == depth).join(nodes(_frame(table)), "node")
+    keyed = down.filter(F.col("depth") == depth).join(n, "node")
     keys = base_keys(_frame(table))
     for d in range(depth):
         up = keyed.groupBy(_parent(keys, order, d).alias("node"), *quoted(at)).agg(F.sum("mu").alias("mu"), F.sqrt(F.sum(F.col("sigma") * F.col("sigma"))).alias("sigma")).withColumn("depth", F.lit(d))
         down = down.unionByName(up)
-    return _shape(table, fc, down)
+    return _shape(table, fc, down, n)
 
 
 def residual_matrix(table: ModelTable, source: str, names: list[str]) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
@@ -202,13 +209,19 @@ def residual_matrix(table: ModelTable, source: str, names: list[str]) -> tuple[n
 
 
 def weights(table: ModelTable, source: str, names: list[str], s: np.ndarray, method: str) -> np.ndarray:
-    """The weight matrix W of minimum trace reconciliation."""
+    """The weight matrix W of minimum trace reconciliation.
+
+    Covariances are sums over the times at which all nodes have residuals,
+    divided by the number of all times.  Shrinkage draws them to the nodes' own
+    mean squares, by the ratio of the correlations' estimated variances to their
+    squared distances from the target's.
+    """
     n = len(names)
     if method == "ols":
         return np.eye(n)
     if method == "wls_struct":
         return np.diag(s.sum(1))
-    xx, xx2, full, own = residual_matrix(table, source, names)
+    xx, xx2, _, own = residual_matrix(table, source, names)
     rows = int(own[3, 0])
     cov = xx / max(rows, 1)
     if method == "wls_var":
@@ -217,11 +230,11 @@ def weights(table: ModelTable, source: str, names: list[str], s: np.ndarray, met
         return cov
     if method != "mint_shrink":
         raise ValueError(f"no such method: {method}")
-    var = (own[2] - own[1] ** 2 / own[0]) / (own[0] - 1)
+    var = own[2] / rows
     sd = np.sqrt(np.diag(cov))
     corr = cov / np.outer(sd, sd)
     xs, xs2 = xx / np.outer(sd, sd), xx2 / np.outer(sd, sd) ** 2
-    v = (xs2 - xs**2 / full) / (full * (full - 1))
+    v = (xs2 - xs**2 / rows) / (rows * (rows - 1))
     np.fill_diagonal(v, 0)
     d = (corr - np.eye(n)) ** 2
     lam = float(np.clip(v.sum() / d.sum(), 0, 1)) if d.sum() else 1.0
@@ -247,11 +260,12 @@ def projection(s: np.ndarray, w: np.ndarray, bottom: Sequence[int]) -> np.ndarra
 def _min_trace(table: ModelTable, fc: ForecastTable, source: str, method: str) -> DataFrame:
     """Least total variance among linear coherent forecasts. Needs the nodes' matrices on the driver, so at most MOST_NODES nodes."""
     keys, at = base_keys(_frame(table)), _cols(table, fc)
-    triples = coherent_smat(_frame(table)).select("node", "leaf").limit((MOST_NODES + 1) * MOST_NODES).collect()
+    n = _nodes(table)
+    if n.count() > MOST_NODES:
+        raise ValueError(f"more than {MOST_NODES} nodes")
+    triples = coherent_smat(_frame(table), all_nodes=n).select("node", "leaf").collect()
     low = sorted({r.leaf for r in triples})
     names = sorted({r.node for r in triples})
-    if len(names) > MOST_NODES:
-        raise ValueError(f"more than {MOST_NODES} nodes")
     row, col = {k: i for i, k in enumerate(names)}, {k: i for i, k in enumerate(low)}
     s = np.zeros((len(names), len(low)))
     for r in triples:
@@ -274,7 +288,7 @@ def _min_trace(table: ModelTable, fc: ForecastTable, source: str, method: str) -
         return out
 
     schema = T.StructType([rows.schema["node"], *[rows.schema[c] for c in at], T.StructField("mu", T.DoubleType()), T.StructField("sigma", T.DoubleType())])
-    return _shape(table, fc, rows.groupBy(*quoted(at)).applyInPandas(apply, schema))
+    return _shape(table, fc, rows.groupBy(*quoted(at)).applyInPandas(apply, schema), n)
 
 
 _METHODS = {"bottom_up": _bottom_up, "top_down": _top_down, "middle_out": _middle_out, "min_trace": _min_trace}

@@ -115,6 +115,16 @@ class Combination:
         return replace(rows, df=rows.df.unionByName(got))
 
 
+    def paths(self, name: str, table: ModelTable, rows: DataFrame, key: Sequence[str]) -> DataFrame:
+        """Simulated paths: of each repetition the weighted sum of the parts' paths."""
+        var = self._residuals(table).groupBy(*quoted(table.key), "model").agg(F.var_samp("resid").alias("__v")) if self.rule != "fixed" else None
+        mine = self.weighted(rows.filter(F.col("model").isin(*self.parts)), list(table.key), var)
+        at = [*key, "rep", table.index, "h"]
+        got = mine.groupBy(*quoted(at)).agg(F.sum(F.col("__w") * F.col("sim")).alias("sim"), F.count("sim").alias("__n"))
+        sim = F.when(F.col("__n") == len(self.parts), F.col("sim"))
+        return got.select(*quoted(key), F.lit(name).alias("model"), "rep", F.col(f"`{table.index}`"), "h", sim.alias("sim"), sim.alias("sim_link"))
+
+
 def combination_ensemble(*defs: Any, weights: str = "equal") -> Combination:
     if weights not in ("equal", "inv_var"):
         raise ValueError("weights are equal or inv_var")
@@ -135,10 +145,3 @@ def combination_model(*defs: Any, combine: Any = combination_ensemble, **args: A
         raise ValueError("a combination needs one response")
     return combine(*defs, **args)
 
-
-def model_sum_of(*defs: Any) -> Combination:
-    return Combination(defs, (1.0,) * len(defs))
-
-
-def model_mean(*defs: Any) -> Combination:
-    return combination_ensemble(*defs)

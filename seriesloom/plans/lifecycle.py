@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesloom.functions.calendar import seasonal_lag
-from seriesloom.functions.stats import clean, sample_mean
+from seriesloom.functions.stats import clean, divide, sample_mean
 from seriesloom.meta import DecompTable, ForecastTable, Interval, ModelTable, SeriesFrame, join_on, quoted
 from seriesloom.operators.temporal import future
+from seriesloom.sources.saved import saved
 
 from . import models as M
 from .combination import Combination
@@ -54,12 +55,17 @@ def model(frame: SeriesFrame, safely: bool = True, **defs: Any) -> ModelTable:
     Closed-form models with the same response share one window and one
     aggregation by key.  Series that are too short, and Python models that
     raise, give a null model (``ok`` false) with the error; ``safely=False``
-    raises instead.
+    raises instead.  Formulas for ``vars(a, b)`` fit each of the columns: the
+    table is made longer, ``response`` ends the key and the response is ``value``.
     """
     if not defs:
         raise ValueError("a model table needs a model")
     plans = {k: d for k, d in defs.items() if isinstance(d, Combination)}
     plain = {k: d for k, d in defs.items() if k not in plans}
+    if several := {M.parse_responses(d.formula) for d in plain.values()} - {()}:
+        if len(several) > 1 or plans or not all(M.parse_responses(d.formula) for d in plain.values()):
+            raise ValueError("models of several responses take the same ones, and no combinations")
+        return model(frame.longer(several.pop()), safely, **{k: replace(d, formula=f"value ~ {d.rhs}") for k, d in plain.items()})
     for k, c in plans.items():
         plain |= {f"{k}__{i}": d for i, d in enumerate(c.defs)}
     responses = {d.response for d in plain.values()}
@@ -91,8 +97,8 @@ def _finish(df: DataFrame, frame: SeriesFrame, name: Column, least: Column | int
 
 def _fit_closed(frame: SeriesFrame, response: str, defs: Mapping[str, M.ClosedForm]) -> DataFrame:
     w = frame.window()
-    back = Window.partitionBy(*quoted(frame.key)).orderBy(F.col(f"`{frame.index}`").desc())
-    df = frame.df.withColumn("__t", F.row_number().over(w)).withColumn("__r", F.row_number().over(back))
+    size = F.count("*").over(Window.partitionBy(*quoted(frame.key)))
+    df = frame.df.withColumn("__t", F.row_number().over(w)).withColumn("__r", size - F.col("__t") + 1)
     states = []
     for k, (name, d) in enumerate(defs.items()):
         m, y = lag_of(d, frame.interval), f"__y{k}"
@@ -203,8 +209,9 @@ def forecast(table: ModelTable, h: int | str | None = None, new_data: SeriesFram
     place of normal distributions.  ``point`` names functions of (mean,
     median) columns; default is the mean.
     """
+    if table.plans:
+        table = saved(table, "models")  # fitted once, whatever the plans read of it
     key = list(table.key)
-    frame = SeriesFrame(table.df, table.key, table.index, table.interval)
     if new_data is not None:
         extra = tuple(k for k in new_data.key if k not in key)
         w = Window.partitionBy(*quoted([*extra, *key])).orderBy(F.col(f"`{table.index}`"))
@@ -283,7 +290,7 @@ def _python_forecast(table: ModelTable, rows: DataFrame, key: list[str]) -> Data
 def _plans(table: ModelTable, fc: ForecastTable) -> ForecastTable:
     """Combinations and reconciliations become further models; component models with generated names go."""
     hidden = {m for p in table.plans.values() for m in getattr(p, "hidden", ())}
-    out = fc
+    out = saved(fc, "forecasts") if table.plans else fc
     for name, plan in table.plans.items():
         out = plan.apply(name, table, out)
     if hidden:
@@ -348,7 +355,7 @@ def _python_fitted(table: ModelTable, df: DataFrame, names: list[str]) -> DataFr
 
 
 def fitted(table: ModelTable, h: int = 1) -> SeriesFrame:
-    """Fitted values; for h > 1 (MEAN, NAIVE, DRIFT, SNAIVE) the forecasts made h rows earlier from what was known then."""
+    """Fitted values; for h > 1 the forecasts made h rows earlier from what was known then (models without such a form are fitted to every beginning of a series)."""
     if h == 1:
         a = augment(table)
         return replace(a, df=a.df.select(*quoted(a.key), F.col(f"`{a.index}`"), "fitted"))
@@ -369,12 +376,58 @@ def fitted(table: ModelTable, h: int = 1) -> SeriesFrame:
             f = F.lag(y, h).over(w) + h * F.when(n > 1, (F.lag(y, h).over(w) - first) / (n - 1))
         elif isinstance(d, M.SNAIVE):
             f = F.lag(y, m * math.ceil(h / m)).over(w)
+        elif isinstance(d, M.SMEAN):
+            season = Window.partitionBy(*quoted(frame.key), ((F.col("__t") - 1) % m)).orderBy("__t").rangeBetween(Window.unboundedPreceding, -h)
+            f = F.avg(y).over(season)
+        elif isinstance(d, M.TREND):
+            x = F.when(y.isNotNull(), F.col("__t").cast("double"))
+            n, sx, sy, sxx, sxy = (c.over(known) for c in (F.count(y), F.sum(x), F.sum(y), F.sum(x * x), F.sum(x * y)))
+            slope = divide(n * sxy - sx * sy, n * sxx - sx * sx)
+            f = F.when(n > 1, (sy - slope * sx) / n + slope * F.col("__t"))
+        elif isinstance(d, M.NULL):
+            f = F.lit(None).cast("double")
         else:
-            raise ValueError(f"fitted values {h} rows ahead are not known for {type(d).__name__}")
+            parts.append(_refitted(table, df.withColumn("__y", clean(y)), name, d, h))
+            continue
         parts.append(df.select(*quoted(frame.key), F.lit(name).alias("model"), F.col(f"`{frame.index}`"), d.transformation.inverse(f).alias("fitted")))
     return SeriesFrame(reduce(DataFrame.unionByName, parts), (*frame.key, "model"), frame.index, frame.interval)
 
 
+def _refitted(table: ModelTable, df: DataFrame, name: str, d: Any, h: int) -> DataFrame:
+    """Forecasts h rows ahead from fits to every beginning of a series, a series in a task; null where a fit fails."""
+    frame, key, index = table.data, list(table.key), table.index
+    if isinstance(d, M.TSLM):
+        terms = d.terms(F.col("__t"), _steps(frame, F.col(f"`{index}`")), float(lag_of(d, table.interval)))
+        df = _lagged_columns(df, frame, d).withColumn("__x", F.array(*terms.values()))
+    else:
+        df = df.withColumn("__x", F.array().cast("array<double>"))
+    train, period = getattr(d, "train", None), lag_of(d, table.interval)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__t")
+        y, out = pdf["__y"].to_numpy(float), np.full(len(pdf), np.nan)
+        if train is None:
+            x = np.array([[np.nan if v is None else v for v in r] for r in pdf["__x"]], float)
+            whole = ~np.isnan(y) & ~np.isnan(x).any(1)
+            for i in range(x.shape[1], len(y) - h + 1):
+                a, b = x[:i][whole[:i]], y[:i][whole[:i]]
+                if len(b) >= x.shape[1] and np.linalg.matrix_rank(a) == x.shape[1]:
+                    out[i + h - 1] = x[i + h - 1] @ np.linalg.lstsq(a, b, rcond=None)[0]
+        else:
+            for i in range(1, len(y) - h + 1):
+                try:
+                    out[i + h - 1] = train(y[:i], period=period, index=pdf[index].to_numpy()[:i]).forecast(h)[0][h - 1]
+                except Exception:  # a beginning without a model
+                    continue
+        pdf["fitted"] = out
+        return pdf[[*key, index, "fitted"]]
+
+    cols = df.select(*quoted([*key, index]), "__t", "__y", "__x")
+    schema = T.StructType([*[cols.schema[c] for c in [*key, index]], T.StructField("fitted", T.DoubleType())])
+    got = cols.groupBy(*quoted(key)).applyInPandas(run, schema)
+    return got.select(*quoted(key), F.lit(name).alias("model"), F.col(f"`{index}`"), d.transformation.inverse(clean(F.col("fitted"))).alias("fitted"))
+
+
 def residuals(table: ModelTable, type: str = "innovation") -> SeriesFrame:
     a = augment(table)
     return replace(a, df=a.df.select(*quoted(a.key), F.col(f"`{a.index}`"), F.col("innov" if type == "innovation" else "resid").alias("resid")))
@@ -428,16 +481,19 @@ def interpolate(table: ModelTable, data: SeriesFrame | None = None) -> SeriesFra
     return replace(frame, df=join_on(frame.df.select(*quoted(other)), filled, [*frame.key, frame.index]).select(*quoted(frame.df.columns)))
 
 
-def generate(table: ModelTable, h: int | str | None = None, times: int = 1, seed: int = 0, bootstrap: bool = False, block: int = 1) -> SeriesFrame:
+def generate(table: ModelTable, h: int | str | None = None, times: int = 1, seed: int = 0, bootstrap: bool = False, block: int = 1, new_data: SeriesFrame | None = None) -> SeriesFrame:
     """Simulated paths: key, model, rep, index, sim. Reruns with a seed agree.
 
     Paths of NAIVE, DRIFT and SNAIVE add up innovations within each season;
-    others scatter around the mean.  ``bootstrap`` draws centred residuals,
+    others scatter around the mean; Python models may give their own.
+    ``bootstrap`` draws centred residuals,
     in blocks of ``block`` rows, in place of normal innovations; residuals are
-    numbered by series and joined by number, none are gathered.
+    numbered by series and joined by number, none are gathered.  ``new_data``
+    gives the rows to simulate.  A combination's paths are its weighted parts'.
     """
     plain = replace(table, plans={})
-    fc = forecast(plain, h)
+    fc = forecast(plain, h, new_data)
+    key = [k for k in fc.key if k != "model"]
     rows = join_on(fc.df, table.df.select(*quoted(table.key), "model", "n", F.col("state.s2").alias("__s2")), [*table.key, "model"])
     rows = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(times))))
     m = F.lit(1)
@@ -447,7 +503,7 @@ def generate(table: ModelTable, h: int | str | None = None, times: int = 1, seed
             walks = walks | (F.col("model") == name)
             if isinstance(d, M.SNAIVE):
                 m = F.when(F.col("model") == name, lag_of(d, table.interval)).otherwise(m)
-    ids = [*quoted(table.key), F.col("model"), F.col("rep")]
+    ids = [*quoted(key), F.col("model"), F.col("rep")]
     if bootstrap:
         res = residuals(plain).df.filter("resid is not null")
         w = Window.partitionBy(*quoted(table.key), "model")
@@ -462,10 +518,35 @@ def generate(table: ModelTable, h: int | str | None = None, times: int = 1, seed
         normal = F.sqrt(-2 * F.ln(u[0])) * F.cos(2 * math.pi * u[1])
         rows = rows.withColumn("e", normal * F.when(walks, F.sqrt("__s2")).otherwise(F.col("sigma")))
     season = (F.col("h") - 1) % m
-    run = Window.partitionBy(*quoted(table.key), "model", "rep", season).orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy(*quoted(key), "model", "rep", season).orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
     path = F.col("mu") + F.when(walks, F.sum("e").over(run)).otherwise(F.col("e"))
-    out = rows.withColumn("__sim", path).withColumn("sim", fc.back(F.col("__sim")))
-    return SeriesFrame(out.select(*quoted(table.key), "model", "rep", F.col(f"`{table.index}`"), "h", "sim", F.col("__sim").alias("sim_link")), (*table.key, "model", "rep"), table.index, table.interval)
+    out = rows.withColumn("__sim", path).select(*quoted(key), "model", "rep", F.col(f"`{table.index}`"), "h", "__sim")
+    own = [k for k, d in table.defs.items() if isinstance(d, M.PythonModel)]
+    if own and not bootstrap:
+        out = _python_paths(table, out, own, key, seed)
+    out = out.select(*quoted(key), "model", "rep", F.col(f"`{table.index}`"), "h", fc.back(F.col("__sim")).alias("sim"), F.col("__sim").alias("sim_link"))
+    for name, plan in table.plans.items():
+        if isinstance(plan, Combination):
+            out = out.unionByName(plan.paths(name, table, out, key))
+    hidden = {x for p in table.plans.values() for x in getattr(p, "hidden", ())}
+    out = out.filter(~F.col("model").isin(*hidden)) if hidden else out
+    return SeriesFrame(out, (*key, "model", "rep"), table.index, table.interval)
+
+
+def _python_paths(table: ModelTable, rows: DataFrame, names: list[str], key: list[str], seed: int) -> DataFrame:
+    """Paths of models with a ``simulate(h, rng)``; the generator is seeded by the row's identity."""
+    mine, rest = rows.filter(F.col("model").isin(*names)), rows.filter(~F.col("model").isin(*names))
+    flat = join_on(mine, table.df.select(*quoted(table.key), "model", F.col("state.blob").alias("__blob")), [*table.key, "model"])
+    flat = flat.withColumn("__seed", F.pmod(F.xxhash64(F.lit(seed), *quoted(key), "model", "rep"), F.lit(1 << 52)))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("h")
+        fit = M.load(pdf["__blob"].iloc[0]) if pdf["__blob"].iloc[0] is not None else None
+        if hasattr(fit, "simulate"):
+            pdf["__sim"] = np.asarray(fit.simulate(len(pdf), np.random.default_rng(int(pdf["__seed"].iloc[0]))), float)
+        return pdf[rows.columns]
+
+    return rest.unionByName(flat.groupBy(*quoted(key), "model", "rep").applyInPandas(run, rows.schema))
 
 
 def _sampled(table: ModelTable, fc: ForecastTable, times: int, seed: int, bootstrap: bool) -> ForecastTable:
@@ -488,10 +569,30 @@ def components(table: ModelTable) -> DecompTable:
         label = "season" if isinstance(d, M.SMEAN | M.SNAIVE) else "level"
         other = "level" if label == "season" else "season"
         parts.append(a.df.filter(F.col("model") == name).select(*quoted(a.key), F.col(f"`{a.index}`"), F.col(table.response), F.col("fitted").alias(label), F.lit(0.0).alias(other), F.col("resid").alias("remainder")))
+    if names := [k for k, d in table.defs.items() if isinstance(d, M.PythonModel)]:
+        parts.append(_python_components(table, a, names))
     out = reduce(DataFrame.unionByName, parts)
     return DecompTable(out, a.key, a.index, a.interval, table.response, "fitted", {}, {table.response: "level + season + remainder"})
 
 
+def _python_components(table: ModelTable, a: SeriesFrame, names: list[str]) -> DataFrame:
+    """What the models' ``components()`` give of level and season, one value a row; the level is the fitted value without it."""
+    cols = [*a.key, a.index, table.response, "fitted"]
+    rows = join_on(a.df.filter(F.col("model").isin(*names)).select(*quoted(cols)), table.df.select(*quoted(table.key), "model", F.col("state.blob").alias("__blob")), [*table.key, "model"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(a.index)
+        fit = M.load(pdf["__blob"].iloc[0]) if pdf["__blob"].iloc[0] is not None else None
+        given = dict(fit.components()) if hasattr(fit, "components") else {}
+        pdf["level"], pdf["season"] = given.get("level", pdf["fitted"]), given.get("season", 0.0)
+        pdf["remainder"] = pdf[table.response] - pdf["level"] - pdf["season"]
+        return pdf.drop(columns=["fitted", "__blob"])
+
+    number = T.DoubleType()
+    schema = T.StructType([*[rows.schema[c] for c in cols[:-1]], *[T.StructField(c, number) for c in ("level", "season", "remainder")]])
+    return rows.groupBy(*quoted(a.key)).applyInPandas(run, schema)
+
+
 def outliers(table: ModelTable, limit: float = 3.0) -> DataFrame:
     """Rows whose innovation is over ``limit`` standard deviations of the model's innovations."""
     a = augment(table)
@@ -534,7 +635,24 @@ def irf(table: ModelTable, h: int = 10) -> DataFrame:
             return 1 / F.col("n")
         return None
 
-    return rows.select(*quoted(table.key), "model", "h", _by_model(table, one).alias("response"))
+    out = rows.select(*quoted(table.key), "model", "h", _by_model(table, one).alias("response"))
+    own = [k for k, d in table.defs.items() if isinstance(d, M.PythonModel)]
+    if not own:
+        return out
+    blobs = table.df.filter("ok").filter(F.col("model").isin(*own)).select(*quoted(table.key), "model", F.col("state.blob").alias("__blob"))
+    key = list(table.key)
+
+    def impulses(batches):
+        for pdf in batches:
+            parts = []
+            for r in pdf.to_dict("records"):
+                fit = M.load(r["__blob"])
+                if hasattr(fit, "irf"):
+                    parts += [[*[r[k] for k in key], r["model"], k + 1, float(v)] for k, v in enumerate(fit.irf(h))]
+            yield pd.DataFrame(parts, columns=[*key, "model", "h", "response"])
+
+    schema = T.StructType([*[blobs.schema[c] for c in [*key, "model"]], T.StructField("h", T.IntegerType()), T.StructField("response", T.DoubleType())])
+    return out.filter(~F.col("model").isin(*own)).unionByName(blobs.mapInPandas(impulses, schema))
 
 
 def report(table: ModelTable) -> str:

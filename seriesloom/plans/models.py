@@ -106,7 +106,7 @@ class MEAN(ClosedForm):
     """The mean of all values."""
 
     def fit(self, y, t, lag, last_rank, m):
-        return state(a=F.avg(y), s2=F.var_samp(y))
+        return state(a=F.avg(y), s2=F.var_samp(y), spread=F.count(y))
 
     def fitted(self, s, t, lag, m):
         return s["a"]
@@ -125,7 +125,7 @@ class NAIVE(ClosedForm):
         return [1]
 
     def fit(self, y, t, lag, last_rank, m):
-        return state(tail=_tail(y, t, last_rank, 1), s2=F.avg((y - lag(1)) * (y - lag(1))))
+        return state(tail=_tail(y, t, last_rank, 1), s2=F.avg((y - lag(1)) * (y - lag(1))), spread=F.count(y - lag(1)))
 
     def fitted(self, s, t, lag, m):
         return lag(1)
@@ -142,7 +142,7 @@ class DRIFT(ClosedForm):
 
     def fit(self, y, t, lag, last_rank, m):
         d = y - lag(1)
-        return state(tail=_tail(y, t, last_rank, 1), b=F.avg(d), s2=F.var_samp(d))
+        return state(tail=_tail(y, t, last_rank, 1), b=F.avg(d), s2=F.var_samp(d), spread=F.count(d))
 
     def fitted(self, s, t, lag, m):
         return lag(1) + s["b"]
@@ -161,7 +161,7 @@ class SNAIVE(ClosedForm):
         return [m]
 
     def fit(self, y, t, lag, last_rank, m):
-        return state(tail=_tail(y, t, last_rank, m), s2=F.avg((y - lag(m)) * (y - lag(m))))
+        return state(tail=_tail(y, t, last_rank, m), s2=F.avg((y - lag(m)) * (y - lag(m))), spread=F.count(y - lag(m)))
 
     def fitted(self, s, t, lag, m):
         return lag(m)
@@ -259,8 +259,11 @@ class Fit(Protocol):
 
 @dataclass(frozen=True)
 class PythonModel(ModelDef):
-    """A model class of the user's: ``train(y, period, index)`` returns an object with the methods of :class:`Fit`;
-    ``components``, ``outliers``, ``update``, ``irf`` and ``simulate`` are optional."""
+    """A model class of the user's: ``train(y, period, index)`` returns an object with the methods of :class:`Fit`.
+
+    Optional are ``components()`` (level and season, one value a row), ``update(y)`` (the fit after more values; else it
+    is trained again), ``irf(h)`` and ``simulate(h, rng)`` (a path; else draws around the forecasts).
+    """
 
     train: Callable[..., Any] = field(default=None)
     options: Mapping[str, Any] = field(default_factory=dict)
@@ -368,6 +371,22 @@ def parse_response(formula: str) -> tuple[str, Transformation]:
     return response, got if isinstance(got, Transformation) else IDENTITY
 
 
+def parse_responses(formula: str) -> tuple[str, ...]:
+    """The names in ``vars(a, b)`` on the left of a formula; none for other formulas."""
+    node = ast.parse(formula.partition("~")[0].strip(), mode="eval").body
+    if not (isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id == "vars"):
+        return ()
+    if not node.args or not all(isinstance(a, ast.Name) for a in node.args):
+        raise ValueError("vars() takes names of columns")
+    return tuple(a.id for a in node.args)
+
+
+def traverse(node: ast.AST, leaf: Callable[[ast.AST], Any], join: Callable[[ast.AST, list[Any]], Any]) -> Any:
+    """Fold a formula's tree from its leaves: ``leaf`` of names and constants, ``join`` of a node and what its parts gave."""
+    kids = [k for k in ast.iter_child_nodes(node) if isinstance(k, ast.expr | ast.keyword)]
+    return join(node, [traverse(k, leaf, join) for k in kids]) if kids else leaf(node)
+
+
 def model_lhs(d: ModelDef) -> str:
     return d.formula.partition("~")[0].strip()
 

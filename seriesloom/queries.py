@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import measures as ms
-from .functions.dist import from_interval, hilo, quantile, unpack_hilo
+from .functions.dist import from_interval, hilo, point_forecasts, quantile, unpack_hilo
 from .functions.regressors import fourier, season, trend
-from .functions.stats import box_cox, inv_box_cox
+from .functions.stats import box_cox, inv_box_cox, z_of
 from .functions.transform import Transformation
-from .meta import Interval, SeriesFrame, scenarios
+from .meta import Interval, SeriesFrame, is_null_model, scenarios
 from .operators import accuracy as acc
 from .operators import features as feat
 from .operators import hierarchy as hi
@@ -23,7 +23,8 @@ from .plans import lifecycle as lc
 from .plans import models as M
 from .plans.combination import combination_ensemble, combination_weighted
 from .plans.decomposition import decompose, decomposition_model
-from .sources.tables import events_daily, orders_monthly, read_table
+from .sources.saved import saved
+from .sources.tables import as_series, events_daily, orders_monthly, read_table
 from .streaming.update import stream
 
 #: The events cover 2024-01-01 to 2024-01-30: the last seven days are the test set.
@@ -123,7 +124,7 @@ def _tree(spark: SparkSession, sf: str) -> SeriesFrame:
     whole = tm.fill_gaps(SeriesFrame(base, ("region", "nation"), "month", Interval("month")), full=True)
     whole = whole.with_columns({"price": F.coalesce("price", F.lit(0.0))})
     out = hi.aggregate_key(whole, "region / nation", partial={"price": "sum"})
-    return replace(out, df=out.df.withColumn("y", F.round("sum_price", 2)).drop("sum_price"))
+    return saved(replace(out, df=out.df.withColumn("y", F.round("sum_price", 2)).drop("sum_price")), "tree")
 
 
 TREE = f"""{ORDERS}, cells AS (SELECT region, nation, month, round(sum(price), 2) AS price FROM o GROUP BY ALL),
@@ -367,14 +368,15 @@ def refit_mean(spark, sf):
 
 
 @query(
-    f"""WITH {EV}, w AS (SELECT *, value - lag(value) OVER v AS d1, value - lag(value, 7) OVER v AS d7 FROM ev WINDOW v AS (PARTITION BY event_type ORDER BY day)),
-s AS (SELECT event_type, count(*) AS n, [var_samp(value), avg(d1 * d1), var_samp(d1), avg(d7 * d7)] AS v FROM w GROUP BY 1)
-SELECT event_type, model, n, round(x, 4) AS sigma2, true AS ok FROM (SELECT event_type, n, unnest(['mean', 'naive', 'drift', 'snaive']) AS model, unnest(v) AS x FROM s)"""
+    f"""WITH {EV}, hs AS (SELECT CAST(unnest(range(1, {H + 1})) AS INT) AS h), w AS (SELECT *, value - lag(value) OVER v AS d1, value - lag(value, 7) OVER v AS d7 FROM ev WINDOW v AS (PARTITION BY event_type ORDER BY day)),
+s AS (SELECT event_type, max(day) AS last, count(*) AS n, avg(value) AS m, var_samp(value) AS vm, arg_max(value, day) AS y, avg(d1 * d1) AS v1, avg(d1) AS b, var_samp(d1) AS vd, list(value ORDER BY day)[-7:] AS tail, avg(d7 * d7) AS v7 FROM w GROUP BY 1),
+f AS (SELECT event_type, last, h, unnest(['mean', 'naive', 'drift', 'snaive']) AS model, unnest([m, y, y + b * h, tail[(h - 1) % 7 + 1]]) AS mu, unnest([sqrt(vm * (1 + 1.0 / n)), sqrt(v1 * h), sqrt(vd * h * (1 + h / (n - 1.0))), sqrt(v7 * ((h - 1) // 7 + 1))]) AS sigma FROM s, hs)
+SELECT event_type, model, last + h AS day, h, round(mu, 4) + 0.0 AS mu, round(sigma, 4) AS sigma FROM f"""
 )
 def stream_update(spark, sf):
     defs = {"mean": M.MEAN("value"), "naive": M.NAIVE("value"), "drift": M.DRIFT("value"), "snaive": M.SNAIVE("value", 7)}
     mt = stream(lc.model(_train(spark, sf), **defs), events_daily(spark, sf).filter(F.col("day") >= SPLIT))
-    return rounded(lc.glance(mt), "sigma2")
+    return rounded(lc.forecast(mt, H).df.drop("mean"), "mu", "sigma")
 
 
 @query()
@@ -464,11 +466,11 @@ def decomposed(spark, sf):
 x AS (SELECT *, CASE WHEN t > 3 AND t <= size - 3 THEN ma END AS trend, (t - 1) % 7 AS s FROM w), p AS (SELECT event_type, s, avg(value - trend) AS m FROM x GROUP BY ALL),
 q AS (SELECT *, m - avg(m) OVER (PARTITION BY event_type) AS season FROM p), a AS (SELECT x.*, season, value - season AS adj FROM x JOIN q USING (event_type, s)),
 b AS (SELECT *, adj - lag(adj) OVER (PARTITION BY event_type ORDER BY day) AS d FROM a), l AS (SELECT event_type, arg_max(adj, day) AS y, avg(d * d) AS s2, max(day) AS last, max(t) AS n FROM b GROUP BY 1)
-SELECT l.event_type, last + h AS day, h, 'decomposition' AS model, round(y + season, 4) AS mean FROM l JOIN hs ON true JOIN q ON q.event_type = l.event_type AND q.s = (n + h - 1) % 7"""
+SELECT l.event_type, last + h AS day, h, 'decomposition' AS model, round(y + season, 4) AS mean, round(sqrt(s2 * h), 4) AS sigma FROM l JOIN hs ON true JOIN q ON q.event_type = l.event_type AND q.s = (n + h - 1) % 7"""
 )
 def fc_decomposition(spark, sf):
     fit = decomposition_model("value", 7).fit(_train(spark, sf))
-    return rounded(fit.forecast(H).df, "mean").select("event_type", "day", "h", "model", "mean")
+    return rounded(fit.forecast(H).df, "mean", "sigma").select("event_type", "day", "h", "model", "mean", "sigma")
 
 
 # ---------------------------------------------------------------- distributions and accuracy
@@ -566,7 +568,10 @@ def acc_crps(spark, sf):
     return _scored(spark, sf, {"CRPS": ms.CRPS})
 
 
-@query()
+@query(
+    f"""WITH {SCORE}, p AS (SELECT sl.*, p, mu + z * sd AS q FROM sl, (VALUES {", ".join(f"({k / 100}::DOUBLE, {z_of(k / 100)!r}::DOUBLE)" for k in range(1, 100))}) v(p, z))
+SELECT model, event_type, 'Test' AS type, round(2 * avg(CASE WHEN a >= q THEN p * (a - q) ELSE (1 - p) * (q - a) END), 4) AS percentile FROM p GROUP BY 1, 2"""
+)
 def acc_percentile(spark, sf):
     return _scored(spark, sf, {"percentile": ms.percentile_score})
 
@@ -706,11 +711,10 @@ rs AS (SELECT node, any_value(region) AS region, any_value(ra) AS ra, any_value(
 rf AS (SELECT rs.*, h, CAST(last + to_months(h) AS DATE) AS month, tail[h] AS f, sqrt(s2) AS sd FROM rs, rh)"""
 
 
-def _reconciled(spark: SparkSession, sf: str, plan: rec.Reconcile, variance: bool = True) -> DataFrame:
+def _reconciled(spark: SparkSession, sf: str, plan: rec.Reconcile) -> DataFrame:
     mt = lc.model(_tree(spark, sf), base=M.SNAIVE("y", 12))
     fc = lc.forecast(rec.reconcile(mt, rec=plan), 3).df.filter("model = 'rec'")
-    out = fc.select("region", "region__agg", "nation", "nation__agg", "month", "h", F.round("mean", 3).alias("mean"), F.round("sigma", 3).alias("sigma"))
-    return out if variance else out.drop("sigma")
+    return fc.select("region", "region__agg", "nation", "nation__agg", "month", "h", r("mean", 3).alias("mean"), r("sigma", 3).alias("sigma"))
 
 
 @query(
@@ -761,21 +765,243 @@ def rec_middle_out(spark, sf):
     return _reconciled(spark, sf, rec.middle_out("base", "region"))
 
 
-@query()
+def _mint(w: str) -> str:
+    """Minimum trace reconciliation in SQL: the constraint form, with a Gauss-Jordan elimination over lists.  ``w`` gives (i, j, w)."""
+    return f"""WITH RECURSIVE {RTRAIN}, s AS ({_SMAT}), e AS (SELECT node, month, y - l12 AS e FROM rt), t AS (SELECT count(DISTINCT month) AS n FROM e),
+full_months AS (SELECT month FROM e GROUP BY month HAVING count(e) = count(*)),
+cv AS (SELECT a.node AS i, b.node AS j, sum(a.e * b.e) / n AS c, sum(a.e ** 2 * b.e ** 2) AS q, n FROM e a JOIN e b USING (month) JOIN full_months USING (month), t GROUP BY a.node, b.node, n),
+own AS (SELECT node, sum(e * e) / n AS tar FROM e, t GROUP BY node, n),
+co AS (SELECT cv.*, a.c AS ci, b.c AS cj, cv.c / sqrt(a.c * b.c) AS r FROM cv JOIN cv a ON a.i = cv.i AND a.j = cv.i JOIN cv b ON b.i = cv.j AND b.j = cv.j),
+lam AS (SELECT greatest(least(sum((q / (ci * cj) - n * r * r) / (n * (n - 1))) / sum(r * r), 1), 0) AS lam FROM co WHERE i <> j),
+w AS ({w}), up AS (SELECT node, row_number() OVER (ORDER BY node) AS k FROM rs WHERE na), nd AS (SELECT node, na, row_number() OVER (ORDER BY node) AS k FROM rs),
+u AS (SELECT node AS a, node AS j, 1 AS u FROM up UNION ALL SELECT s.node, leaf, -1 FROM s JOIN up USING (node)),
+wu AS (SELECT w.i, u.a, sum(w.w * u.u) AS x FROM w JOIN u ON w.j = u.j GROUP BY ALL), m AS (SELECT u.a, wu.a AS b, sum(u.u * wu.x) AS x FROM u JOIN wu ON u.j = wu.i GROUP BY ALL),
+ls AS (SELECT up.k AS k, 0 AS side, b.k AS c, coalesce(x, 0)::DOUBLE AS x FROM up, up b LEFT JOIN m ON m.a = up.node AND m.b = b.node
+  UNION ALL SELECT up.k, 1, nd.k, coalesce(u, 0)::DOUBLE FROM up, nd LEFT JOIN u ON u.a = up.node AND u.j = nd.node),
+g0 AS (SELECT list(r ORDER BY k) AS g FROM (SELECT k, list(x ORDER BY side, c) AS r FROM ls GROUP BY k)),
+gj(k, g) AS (SELECT 0, g FROM g0 UNION ALL SELECT k + 1, list_transform(g, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda v: v / r[k + 1])
+  ELSE list_transform(r, lambda v, c: v - r[k + 1] / g[k + 1][k + 1] * g[k + 1][c]) END) FROM gj WHERE k < len(g)),
+x AS (SELECT up.node AS a, nd.node AS j, g[up.k][len(g) + nd.k] AS x FROM gj, up, nd WHERE gj.k = len(g)),
+wx AS (SELECT wu.i AS leaf, x.j, sum(wu.x * x.x) AS x FROM wu JOIN x USING (a) GROUP BY ALL),
+p AS (SELECT l.node AS leaf, j.node AS j, (l.node = j.node)::INT - coalesce(x, 0) AS p FROM nd l, nd j LEFT JOIN wx ON wx.leaf = l.node AND wx.j = j.node WHERE NOT l.na),
+sp AS (SELECT s.node AS i, p.j, sum(p.p) AS x FROM s JOIN p USING (leaf) GROUP BY ALL),
+wr AS (SELECT w.i, w.j, w.w / sqrt(a.w * b.w) AS r FROM w JOIN w a ON a.i = w.i AND a.j = w.i JOIN w b ON b.i = w.j AND b.j = w.j),
+mu AS (SELECT sp.i, rf.month, h, sum(x * f) AS mean FROM sp JOIN rf ON rf.node = sp.j GROUP BY ALL),
+sg AS (SELECT a.i, f.h, sqrt(sum(a.x * b.x * r * f.sd * o.sd)) AS sigma FROM sp a JOIN sp b ON a.i = b.i JOIN wr ON wr.i = a.j AND wr.j = b.j JOIN rf f ON f.node = a.j JOIN rf o ON o.node = b.j AND o.h = f.h GROUP BY ALL)
+SELECT rs.region, rs.ra AS region__agg, rs.nation, rs.na AS nation__agg, mu.month, mu.h, round(mean, 3) + 0.0 AS mean, round(sigma, 3) + 0.0 AS sigma FROM mu JOIN sg ON sg.i = mu.i AND sg.h = mu.h JOIN rs ON rs.node = mu.i"""
+
+
+@query(_mint("SELECT node AS i, node AS j, 1.0::DOUBLE AS w FROM rs"))
 def rec_ols(spark, sf):
     return _reconciled(spark, sf, rec.min_trace("base", "ols"))
 
 
-@query()
+@query(_mint("SELECT node AS i, node AS j, count(*)::DOUBLE AS w FROM s GROUP BY node"))
 def rec_wls_struct(spark, sf):
     return _reconciled(spark, sf, rec.min_trace("base", "wls_struct"))
 
 
-@query()
+@query(_mint("SELECT i, j, c AS w FROM cv WHERE i = j"))
 def rec_wls_var(spark, sf):
     return _reconciled(spark, sf, rec.min_trace("base", "wls_var"))
 
 
-@query()
+@query(_mint("SELECT i, j, (1 - lam) * c + CASE WHEN i = j THEN lam * tar ELSE 0 END AS w FROM cv JOIN own ON own.node = i, lam"))
 def rec_mint_shrink(spark, sf):
     return _reconciled(spark, sf, rec.min_trace("base", "mint_shrink"))
+
+
+_LOGS = f"""{RTRAIN.replace("rf AS (SELECT rs.*, h, CAST(last + to_months(h) AS DATE) AS month, tail[h] AS f, sqrt(s2) AS sd FROM rs, rh)", "rf AS (SELECT rs.*, h, CAST(last + to_months(h) AS DATE) AS month, (tail[h] + 1) * (1 + v2 / 2) - 1 AS f, sqrt(s2) AS sd FROM rs JOIN rv USING (node), rh)").replace("rs AS (SELECT", "rv AS (SELECT node, avg((ln(y + 1) - ln(l12 + 1)) ** 2) AS v2 FROM rt GROUP BY node), rs AS (SELECT")}"""
+
+
+@query(_mint("SELECT i, j, (1 - lam) * c + CASE WHEN i = j THEN lam * tar ELSE 0 END AS w FROM cv JOIN own ON own.node = i, lam").replace(RTRAIN, _LOGS).replace(", round(sigma, 3) + 0.0 AS sigma", ""))
+def rec_mint_shrink_log(spark, sf):
+    """Forecasts that do not add up before: a transformed model's means."""
+    mt = lc.model(_tree(spark, sf), base=M.SNAIVE("log(y + 1)", 12))
+    fc = lc.forecast(rec.reconcile(mt, rec=rec.min_trace("base", "mint_shrink")), 3).df.filter("model = 'rec'")
+    return fc.select("region", "region__agg", "nation", "nation__agg", "month", "h", r("mean", 3).alias("mean"))
+
+
+# ---------------------------------------------------------------- tables with roles
+
+
+@query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS count FROM events GROUP BY ALL HAVING count(*) > 1")
+def duplicate_rows(spark, sf):
+    df = read_table(spark, sf, "events").select("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "value")
+    return as_series(df, ("event_type",), "hour", Interval("hour"), check=False).duplicates()
+
+
+@query(
+    """SELECT r_name AS region, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS nation, n_nationkey % 2 = 1 AS nation__agg, CASE WHEN n_nationkey % 2 = 1 THEN '<aggregated>' ELSE n_name END AS text
+FROM nation JOIN region ON n_regionkey = r_regionkey"""
+)
+def agg_vec_by_hand(spark, sf):
+    df = read_table(spark, sf, "nation").join(read_table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    out = hi.agg_vec(df.select(F.col("r_name").alias("region"), F.col("n_name").alias("nation"), "n_nationkey"), "nation", F.col("n_nationkey") % 2 == 1)
+    return out.select("region", "nation", "nation__agg", hi.format_key(out, "nation").alias("text"))
+
+
+@query(
+    f"""WITH {ORDERS}, t AS (SELECT region, grouping(region) = 1 AS agg, round(sum(price), 2) AS total FROM (SELECT CASE WHEN region <> 'ASIA' THEN region END AS region, price FROM o) GROUP BY GROUPING SETS ((), (region)))
+SELECT CASE region WHEN 'EUROPE' THEN 'EU' ELSE region END AS region, agg AS region__agg, total, region IS NULL AND NOT agg AS missing, row_number() OVER (ORDER BY agg, CASE region WHEN 'EUROPE' THEN 'EU' ELSE region END NULLS FIRST) AS place FROM t"""
+)
+def agg_missing_recoded(spark, sf):
+    cells = orders_monthly(spark, sf)
+    gone = cells.with_columns({"region": F.when(F.col("region") != "ASIA", F.col("region")), "month": F.lit(1)})
+    out = hi.recode(hi.aggregate_key(gone, "region", partial={"price": "sum"}).df, "region", {"EUROPE": "EU"})
+    place = F.row_number().over(Window.orderBy(*hi.key_order(["region"])))  # seven rows
+    return out.select("region", "region__agg", F.round("sum_price", 2).alias("total"), hi.is_missing(out, "region").alias("missing"), place.alias("place"))
+
+
+_BOTH = f"""{EV}, lg AS (SELECT event_type, day, unnest(['n', 'value']) AS response, unnest([n::DOUBLE, value]) AS value FROM ev),
+tr AS (SELECT *, lag(value, 7) OVER (PARTITION BY event_type, response ORDER BY day) AS l7 FROM lg WHERE day < DATE '{SPLIT}'), hs AS (SELECT CAST(unnest(range(1, {H + 1})) AS INT) AS h)"""
+
+
+@query(
+    f"""WITH {_BOTH}, st AS (SELECT event_type, response, max(day) AS last, list(value ORDER BY day)[-7:] AS tail, avg((value - l7) ** 2) AS s2 FROM tr GROUP BY ALL)
+SELECT event_type, response, last + h AS day, h, 'm' AS model, round(tail[(h - 1) % 7 + 1], 4) AS mu, round(sqrt(s2 * ((h - 1) // 7 + 1)), 4) AS sigma, round(tail[(h - 1) % 7 + 1], 4) AS mean FROM st, hs"""
+)
+def multi_forecast(spark, sf):
+    return _fc(spark, sf, M.SNAIVE("vars(value, n)", 7))
+
+
+@query(f"WITH {_BOTH} SELECT event_type, response, 'm' AS model, day, value, l7 AS fitted, round(value - l7, 4) + 0.0 AS resid, round(value - l7, 4) + 0.0 AS innov FROM tr")
+def multi_augment(spark, sf):
+    return rounded(lc.augment(lc.model(_train(spark, sf), m=M.SNAIVE("vars(value, n)", 7))).df, "resid", "innov")
+
+
+@query(
+    f"""WITH {_BOTH}, st AS (SELECT event_type, response, max(day) AS last, list(value ORDER BY day)[-7:] AS tail FROM tr GROUP BY ALL), e AS (SELECT event_type, response, lg.value - tail[(h - 1) % 7 + 1] AS e FROM st JOIN hs ON true JOIN lg USING (event_type, response) WHERE lg.day = last + h)
+SELECT 'm' AS model, event_type, response, 'Test' AS type, round(avg(e), 4) + 0.0 AS ME, round(avg(abs(e)), 4) AS MAE FROM e GROUP BY ALL"""
+)
+def multi_accuracy(spark, sf):
+    fc = lc.forecast(lc.model(_train(spark, sf), m=M.SNAIVE("vars(value, n)", 7)), H)
+    return rounded(acc.accuracy(fc, events_daily(spark, sf).longer(["value", "n"]), {"ME": ms.ME, "MAE": ms.MAE}, period=7), "ME", "MAE")
+
+
+@query(
+    f"""WITH {TRAIN}, st AS (SELECT event_type, max(day) AS last, arg_max(value, day) AS y, avg((value - l1) ** 2) AS s2 FROM tr GROUP BY 1)
+SELECT 'm' AS model, last + h AS day, round(sum(y), 4) AS mu, round(sqrt(sum(s2 * h)), 4) AS sigma, count(*) AS n FROM st, hs GROUP BY last, h"""
+)
+def fc_summarised(spark, sf):
+    fc = lc.forecast(lc.model(_train(spark, sf), m=M.NAIVE("value")), H)
+    return rounded(fc.group_by("model").summarise(mu=F.sum("mu"), sigma=F.sqrt(F.sum(F.col("sigma") * F.col("sigma"))), n=F.count("*")).df, "mu", "sigma")
+
+
+@query(
+    f"""WITH {TRAIN}, st AS (SELECT event_type, max(day) AS last, ln(arg_max(value, day)) AS y, avg(ln(value / l1)) AS b FROM tr GROUP BY 1)
+SELECT event_type, last + h AS day, round(exp(y + b * h), 4) AS median FROM st, hs"""
+)
+def fc_median(spark, sf):
+    fc = lc.forecast(lc.model(_train(spark, sf), m=M.DRIFT("log(value)")), H)
+    return rounded(point_forecasts(fc, {"median": lambda mean, median: median}).df.select("event_type", "day", "median"), "median")
+
+
+@query(f"WITH {TRAIN} SELECT DISTINCT event_type, '<NAIVE>' AS naive, '<NULL model>' AS long FROM tr")
+def models_formatted(spark, sf):
+    return lc.model(_train(spark, sf), naive=M.NAIVE("value"), long=M.SNAIVE("value", 100)).formatted()
+
+
+@query(f"WITH {TRAIN}, k AS (SELECT DISTINCT event_type FROM tr) SELECT event_type, model, model = 'long' AS \"null\" FROM k, (VALUES ('naive'), ('long')) m(model)")
+def null_flags(spark, sf):
+    return is_null_model(lc.model(_train(spark, sf), naive=M.NAIVE("value"), long=M.SNAIVE("value", 100)))
+
+
+@query(f"WITH {TRAIN} SELECT 'long' AS model, 'too few values' AS error, count(DISTINCT event_type) AS count FROM tr")
+def error_tally(spark, sf):
+    return lc.model(_train(spark, sf), naive=M.NAIVE("value"), long=M.SNAIVE("value", 100)).errors()
+
+
+@query(f"WITH {TRAIN}, st AS (SELECT event_type, max(day) AS last, avg(value) AS m, arg_max(value, day) AS y FROM tr GROUP BY 1) SELECT event_type, last + h AS day, h, unnest(['mean', 'naive']) AS model, round(unnest([m, y]), 4) AS mean FROM st, hs")
+def bound_models(spark, sf):
+    t = _train(spark, sf)
+    fc = lc.forecast(lc.model(t, mean=M.MEAN("value")).union(lc.model(t, naive=M.NAIVE("value"))), H)
+    return rounded(fc.df, "mean").select("event_type", "day", "h", "model", "mean")
+
+
+@query(f"WITH {TRAIN}, st AS (SELECT event_type, max(day) AS last, avg(value) AS m, arg_max(value, day) AS y FROM tr GROUP BY 1) SELECT event_type, last + h AS day, h, unnest(['mean', 'naive']) AS model, round(unnest([m, y]), 4) AS mean FROM st, hs")
+def bound_forecasts(spark, sf):
+    t = _train(spark, sf)
+    one, two = lc.forecast(lc.model(t, mean=M.MEAN("value")), H), lc.forecast(lc.model(t, naive=M.NAIVE("value")), H)
+    return rounded(one.union(two).df, "mean").select("event_type", "day", "h", "model", "mean")
+
+
+@query(f"WITH {TRAIN} SELECT event_type, day, 'm' AS model, round(ln(value / l1), 6) + 0.0 AS innov, round(value - l1, 4) + 0.0 AS resid, value AS response FROM tr")
+def residual_kinds(spark, sf):
+    mt = lc.model(_train(spark, sf), m=M.NAIVE("log(value)"))
+    a = lc.residuals(mt).df.withColumnRenamed("resid", "innov").join(lc.residuals(mt, "response").df, ["event_type", "model", "day"])
+    out = a.join(lc.response(mt).df, ["event_type", "day"])
+    return out.withColumns({"innov": r("innov", 6), "resid": r("resid")}).select("event_type", "day", "model", "innov", "resid", "response")
+
+
+@query(
+    f"""WITH {TRAIN}, s AS (SELECT *, avg(value) OVER (PARTITION BY event_type, (t - 1) % 7) AS m FROM tr)
+SELECT event_type, 'season' AS model, day, value, 0.0::DOUBLE AS level, round(m, 4) AS season, round(value - m, 4) + 0.0 AS remainder FROM s UNION ALL
+SELECT event_type, 'trend', day, value, round(regr_intercept(value, t) OVER w + t * regr_slope(value, t) OVER w, 4), 0.0, round(value - regr_intercept(value, t) OVER w - t * regr_slope(value, t) OVER w, 4) + 0.0 FROM tr WINDOW w AS (PARTITION BY event_type)"""
+)
+def model_components(spark, sf):
+    d = lc.components(lc.model(_train(spark, sf), season=M.SMEAN("value", 7), trend=M.TREND("value")))
+    return rounded(d.df, "level", "season", "remainder")
+
+
+@query(
+    f"""WITH {TRAIN}, x AS (SELECT event_type, day, t, avg(value) OVER s AS smean, regr_intercept(value, t) OVER w + t * regr_slope(value, t) OVER w AS trend FROM tr
+  WINDOW w AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING), s AS (PARTITION BY event_type, (t - 1) % 7 ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING))
+SELECT event_type, model, day, round(CASE WHEN model = 'smean' OR t > 3 THEN fitted END, 6) AS fitted FROM (SELECT event_type, t, day, unnest(['smean', 'trend', 'tslm']) AS model, unnest([smean, trend, trend]) AS fitted FROM x)"""
+)
+def hfitted_refits(spark, sf):
+    mt = lc.model(_train(spark, sf), smean=M.SMEAN("value", 7), trend=M.TREND("value"), tslm=M.TSLM("value ~ trend()"))
+    return lc.fitted(mt, 2).df.withColumn("fitted", r("fitted", 6))
+
+
+@query(
+    f"""WITH {TRAIN}, x AS (SELECT *, lag(n) OVER (PARTITION BY event_type ORDER BY day) AS x FROM tr), s AS (SELECT event_type, max(day) AS last, arg_max(n, day) AS x1, regr_slope(value, x) AS b, regr_intercept(value, x) AS a, regr_avgx(value, x) AS c, regr_sxx(value, x) AS sxx, regr_count(value, x) AS k,
+ (regr_syy(value, x) - regr_slope(value, x) * regr_sxy(value, x)) / (regr_count(value, x) - 2) AS s2 FROM x GROUP BY 1)
+SELECT event_type, last + h AS day, h, 'm' AS model, CASE WHEN h = 1 THEN round(a + b * x1, 4) END AS mu, CASE WHEN h = 1 THEN round(sqrt(s2 * (1 + 1.0 / k + (x1 - c) ** 2 / sxx)), 4) END AS sigma, CASE WHEN h = 1 THEN round(a + b * x1, 4) END AS mean FROM s, hs"""
+)
+def fc_tslm_lag(spark, sf):
+    return _fc(spark, sf, M.TSLM("value ~ lag(n)"))
+
+
+@query(
+    f"""WITH {EV}, hs AS (SELECT CAST(unnest(range(1, {H + 1})) AS INT) AS h), hl AS (SELECT event_type, day, CASE WHEN row_number() OVER (PARTITION BY event_type ORDER BY day) % 5 <> 2 THEN value END AS v FROM ev),
+w AS (SELECT *, v - lag(v) OVER p AS d1, v - lag(v, 7) OVER p AS d7 FROM hl WINDOW p AS (PARTITION BY event_type ORDER BY day)),
+s AS (SELECT event_type, count(*) AS n, [var_samp(v), avg(d1 * d1), var_samp(d1), avg(d7 * d7)] AS s FROM w GROUP BY 1)
+SELECT event_type, model, n, round(x, 4) AS sigma2, true AS ok FROM (SELECT event_type, n, unnest(['mean', 'naive', 'drift', 'snaive']) AS model, unnest(s) AS x FROM s)"""
+)
+def stream_missing(spark, sf):
+    both = events_daily(spark, sf)
+    holes = both.with_columns({"value": F.when(F.row_number().over(both.window()) % 5 != 2, F.col("value"))})
+    defs = {"mean": M.MEAN("value"), "naive": M.NAIVE("value"), "drift": M.DRIFT("value"), "snaive": M.SNAIVE("value", 7)}
+    mt = stream(lc.model(holes.filter(F.col("day") < SPLIT), **defs), holes.filter(F.col("day") >= SPLIT))
+    return rounded(lc.glance(mt), "sigma2")
+
+
+@query(
+    f"""WITH {SCORE.replace("fc AS (SELECT", "tq AS (SELECT event_type, avg(abs(d)) AS da, avg((l1v - m) ** 2) AS dm FROM (SELECT event_type, l1v, avg(l1v) OVER (PARTITION BY event_type) AS m, l7v - lag(l7v) OVER (PARTITION BY event_type ORDER BY day) AS d FROM (SELECT event_type, day, value - l1 AS l1v, value - l7 AS l7v FROM tr)) GROUP BY 1), fc AS (SELECT", 1)}
+SELECT model, event_type, 'Test' AS type, round(avg(abs(e / da)), 4) AS both, round(sqrt(avg(e * e / dm)), 4) AS centred FROM sl JOIN tq USING (event_type) GROUP BY 1, 2"""
+)
+def acc_scales(spark, sf):
+    return _scored(spark, sf, {"both": ms.with_args(ms.MASE, d=1, D=1), "centred": ms.with_args(ms.RMSSE, demean=True, d=1, D=0)})
+
+
+@query(
+    f"""WITH {TRAIN}, st AS (SELECT event_type, max(day) AS last, count(*) AS n, ln(arg_max(value, day)) AS y, avg(ln(value / l1)) AS b, var_samp(ln(value / l1)) AS s2 FROM tr GROUP BY 1),
+f AS (SELECT event_type, value AS a, y + b * h AS mu, sqrt(s2 * h * (1 + h / (st.n - 1.0))) AS sd FROM st JOIN hs ON true JOIN ev USING (event_type) WHERE ev.day = last + h),
+q AS (SELECT *, exp(mu + z * sd) AS q FROM f, (VALUES {", ".join(f"({k / 100}::DOUBLE, {z_of(k / 100)!r}::DOUBLE)" for k in range(1, 100))}) v(p, z))
+SELECT 'm' AS model, event_type, 'Test' AS type, round(2 * avg(CASE WHEN a >= q THEN p * (a - q) ELSE (1 - p) * (q - a) END), 4) AS CRPS FROM q GROUP BY event_type"""
+)
+def acc_crps_transformed(spark, sf):
+    fc = lc.forecast(lc.model(_train(spark, sf), m=M.DRIFT("log(value)")), H)
+    return rounded(acc.accuracy(fc, events_daily(spark, sf), {"CRPS": ms.with_args(ms.CRPS, n_quantiles=99)}, period=7), "CRPS")
+
+
+@query(_feat_sql("count(quantity) AS quantity_n, round(avg(quantity), 4) AS quantity_mean, round(stddev_samp(quantity), 4) AS quantity_sd, min(quantity) AS quantity_min, max(quantity) AS quantity_max"))
+def feat_if_double(spark, sf):
+    return rounded(feat.features_if(_shipped(spark, sf), lambda f: f.dataType.typeName() == "double", [feat.basic]), "quantity_mean", "quantity_sd")
+
+
+@query(f"WITH {EV} SELECT event_type, day, round((ln(value) + ln(value + n)) / 2, 4) AS mu, round((ln(value + n) - ln(value)) / 2 / {_Z[95]}, 4) AS sigma FROM ev WHERE value > 0")
+def dist_from_interval_log(spark, sf):
+    df = events_daily(spark, sf).df.filter("value > 0").select("event_type", "day", F.col("value").alias("lo"), (F.col("value") + F.col("n")).alias("hi"))
+    return rounded(from_interval(df, "lo", "hi", 95, 0), "mu", "sigma").select("event_type", "day", "mu", "sigma")

@@ -31,7 +31,7 @@ def stream(table: ModelTable, new: SeriesFrame) -> ModelTable:
     """The models after the rows of ``new``, which follow the training rows of their series.
 
     MEAN, NAIVE, DRIFT and SNAIVE are updated from their state and the new rows
-    alone and then equal a fit to all rows (of series without missing values);
+    alone and then equal a fit to all rows, missing values among them;
     other models are fitted again to old and new rows.  Null models only count
     rows.  Series without new rows, and models of series without old ones, stay.
     """
@@ -40,7 +40,10 @@ def stream(table: ModelTable, new: SeriesFrame) -> ModelTable:
     parts: list[DataFrame] = []
     for name, d in quick.items():
         parts.append(_updated(table, new, name, d, key, index))
-    slow = {k: d for k, d in table.defs.items() if k not in quick}
+    own = {k: d for k, d in table.defs.items() if isinstance(d, M.PythonModel)}
+    for name, d in own.items():
+        parts.append(_python_update(table, new, name, d, key, index))
+    slow = {k: d for k, d in table.defs.items() if k not in quick and k not in own}
     data = table.data.union(new) if table.data is not None else None
     if slow:
         if data is None:
@@ -57,9 +60,9 @@ def _updated(table: ModelTable, new: SeriesFrame, name: str, d: Any, key: list[s
     if isinstance(d, M.MEAN | M.NULL):
         got = rows.groupBy(*quoted(key)).agg(F.count("*").alias("k"), F.max(index).alias("end"), F.count("y").alias("c"), F.avg("y").alias("m1"), F.var_pop("y").alias("v1"))
         j = join_on(old, got, key, "left")
-        n0 = F.col("n").cast("double")
+        n0 = F.coalesce("state.spread", F.lit(0.0))
         mean, ss = _merged(n0, F.col("state.a"), F.col("state.s2") * (n0 - 1), F.col("c"), F.col("m1"), F.col("v1") * F.col("c"))
-        s = M.state() if isinstance(d, M.NULL) else M.state(a=mean, s2=F.when(F.col("n") + F.col("c") > 1, ss / (n0 + F.col("c") - 1)))
+        s = M.state() if isinstance(d, M.NULL) else M.state(a=mean, s2=F.when(n0 + F.col("c") > 1, ss / (n0 + F.col("c") - 1)), spread=n0 + F.col("c"))
     else:
         back = Window.partitionBy(*quoted(key)).orderBy(F.col("__o").desc())
         w = Window.partitionBy(*quoted(key)).orderBy("__o")
@@ -69,18 +72,51 @@ def _updated(table: ModelTable, new: SeriesFrame, name: str, d: Any, key: list[s
         last = F.array_sort(F.collect_list(F.when(F.col("__r") <= m, F.struct((-F.col("__r")).alias("r"), F.col("y").alias("y")))))
         got = both.groupBy(*quoted(key)).agg(F.sum(F.col("__new").cast("long")).alias("k"), F.max("__o.i").alias("end"), last.alias("__tail"), F.count("__d").alias("c"), F.avg("__d").alias("m1"), F.var_pop("__d").alias("v1"), F.avg(F.col("__d") * F.col("__d")).alias("q1"))
         j = join_on(old, got, key, "left")
-        n0 = (F.col("n") - m).cast("double")
+        n0 = F.coalesce("state.spread", F.lit(0.0))
         new_tail = F.transform("__tail", lambda x: x["y"])
         if isinstance(d, M.DRIFT):
             mean, ss = _merged(n0, F.col("state.b"), F.col("state.s2") * (n0 - 1), F.col("c"), F.col("m1"), F.col("v1") * F.col("c"))
-            s = M.state(tail=new_tail, b=mean, s2=F.when(n0 + F.col("c") > 1, ss / (n0 + F.col("c") - 1)))
+            s = M.state(tail=new_tail, b=mean, s2=F.when(n0 + F.col("c") > 1, ss / (n0 + F.col("c") - 1)), spread=n0 + F.col("c"))
         else:
             total = F.coalesce(F.col("state.s2") * n0, F.lit(0.0)) + F.coalesce(F.col("q1") * F.col("c"), F.lit(0.0))
-            s = M.state(tail=new_tail, s2=F.when(n0 + F.col("c") > 0, total / (n0 + F.col("c"))))
+            s = M.state(tail=new_tail, s2=F.when(n0 + F.col("c") > 0, total / (n0 + F.col("c"))), spread=n0 + F.col("c"))
     fresh = F.col("k") > 0
     return j.select(*quoted(key), "model", (F.col("n") + F.coalesce("k", F.lit(0))).cast("long").alias("n"), F.greatest("last", "end").alias("last"), F.when(fresh & F.col("ok"), s.cast(M.STATE)).otherwise(F.col("state")).alias("state"), "ok", "error")
 
 
+def _python_update(table: ModelTable, new: SeriesFrame, name: str, d: M.PythonModel, key: list[str], index: str) -> DataFrame:
+    """Models of the user's by their ``update(y)``; those without one are trained again on old and new rows."""
+    y = clean(d.transformation(clean(F.col(f"`{table.response}`").cast("double")))).alias("y")
+    rows = new.df.select(*quoted([*key, index]), y, F.lit(True).alias("fresh"))
+    if table.data is not None:
+        rows = rows.unionByName(table.data.df.select(*quoted([*key, index]), y, F.lit(False).alias("fresh")))
+    old = table.df.filter(F.col("model") == name)
+    flat = join_on(rows, old.select(*quoted(key), "ok", F.col("state.blob").alias("blob")), key)
+    train, period, keep = d.train, lag_of(d, table.interval), table.data is not None
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(index)
+        blob, fresh, why = pdf["blob"].iloc[0], pdf[pdf["fresh"]], None
+        if len(fresh):
+            try:
+                fit = M.load(blob) if blob is not None else None
+                if hasattr(fit, "update"):
+                    blob = M.dump(fit.update(fresh["y"].to_numpy(float)))
+                elif keep:
+                    blob = M.dump(train(pdf["y"].to_numpy(float), period=period, index=pdf[index].to_numpy()))
+                else:
+                    raise ValueError("these models have no update() and need the old rows")
+            except Exception as e:  # a series without a model
+                blob, why = None, str(e) or type(e).__name__
+        return pd.DataFrame([[*pdf[key].iloc[0], len(fresh), pdf[index].iloc[-1], blob, why]], columns=[*key, "k", "end", "fit", "why"])
+
+    schema = T.StructType([*[flat.schema[k] for k in key], T.StructField("k", T.LongType()), T.StructField("end", flat.schema[index].dataType), T.StructField("fit", T.BinaryType()), T.StructField("why", T.StringType())])
+    j = join_on(old, flat.groupBy(*quoted(key)).applyInPandas(run, schema), key, "left")
+    ok = F.when(F.col("k").isNull(), F.col("ok")).otherwise(F.col("fit").isNotNull())
+    fitted_state = F.when(F.col("fit").isNotNull(), M.state(blob=F.col("fit")).cast(M.STATE))
+    return j.select(*quoted(key), "model", (F.col("n") + F.coalesce("k", F.lit(0))).cast("long").alias("n"), F.greatest("last", "end").alias("last"), F.when(F.col("k").isNull(), F.col("state")).otherwise(fitted_state).alias("state"), ok.alias("ok"), F.coalesce("why", "error").alias("error"))
+
+
 def seasonal_state(rows: DataFrame, key: list[str], index: str, value: str, period: int, epoch: str = "1970-01-01") -> DataFrame:
     """Seasonal means of a stream of daily rows: (key, n, sums, squares, means) of each series that a batch changed.
 
