@@ -539,12 +539,14 @@ def _python_paths(table: ModelTable, rows: DataFrame, names: list[str], key: lis
     flat = join_on(mine, table.df.select(*quoted(table.key), "model", F.col("state.blob").alias("__blob")), [*table.key, "model"])
     flat = flat.withColumn("__seed", F.pmod(F.xxhash64(F.lit(seed), *quoted(key), "model", "rep"), F.lit(1 << 52)))
 
+    cols = rows.columns
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("h")
         fit = M.load(pdf["__blob"].iloc[0]) if pdf["__blob"].iloc[0] is not None else None
         if hasattr(fit, "simulate"):
             pdf["__sim"] = np.asarray(fit.simulate(len(pdf), np.random.default_rng(int(pdf["__seed"].iloc[0]))), float)
-        return pdf[rows.columns]
+        return pdf[cols]
 
     return rest.unionByName(flat.groupBy(*quoted(key), "model", "rep").applyInPandas(run, rows.schema))
 
@@ -577,15 +579,16 @@ def components(table: ModelTable) -> DecompTable:
 
 def _python_components(table: ModelTable, a: SeriesFrame, names: list[str]) -> DataFrame:
     """What the models' ``components()`` give of level and season, one value a row; the level is the fitted value without it."""
-    cols = [*a.key, a.index, table.response, "fitted"]
+    index, response_ = a.index, table.response
+    cols = [*a.key, index, response_, "fitted"]
     rows = join_on(a.df.filter(F.col("model").isin(*names)).select(*quoted(cols)), table.df.select(*quoted(table.key), "model", F.col("state.blob").alias("__blob")), [*table.key, "model"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(a.index)
+        pdf = pdf.sort_values(index)
         fit = M.load(pdf["__blob"].iloc[0]) if pdf["__blob"].iloc[0] is not None else None
         given = dict(fit.components()) if hasattr(fit, "components") else {}
         pdf["level"], pdf["season"] = given.get("level", pdf["fitted"]), given.get("season", 0.0)
-        pdf["remainder"] = pdf[table.response] - pdf["level"] - pdf["season"]
+        pdf["remainder"] = pdf[response_] - pdf["level"] - pdf["season"]
         return pdf.drop(columns=["fitted", "__blob"])
 
     number = T.DoubleType()

@@ -87,16 +87,16 @@ def _updated(table: ModelTable, new: SeriesFrame, name: str, d: Any, key: list[s
 def _python_update(table: ModelTable, new: SeriesFrame, name: str, d: M.PythonModel, key: list[str], index: str) -> DataFrame:
     """Models of the user's by their ``update(y)``; those without one are trained again on old and new rows."""
     y = clean(d.transformation(clean(F.col(f"`{table.response}`").cast("double")))).alias("y")
-    rows = new.df.select(*quoted([*key, index]), y, F.lit(True).alias("fresh"))
+    rows = new.df.select(*quoted([*key, index]), y, F.lit(True).alias("__fresh"))
     if table.data is not None:
-        rows = rows.unionByName(table.data.df.select(*quoted([*key, index]), y, F.lit(False).alias("fresh")))
+        rows = rows.unionByName(table.data.df.select(*quoted([*key, index]), y, F.lit(False).alias("__fresh")))
     old = table.df.filter(F.col("model") == name)
     flat = join_on(rows, old.select(*quoted(key), "ok", F.col("state.blob").alias("blob")), key)
     train, period, keep = d.train, lag_of(d, table.interval), table.data is not None
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(index)
-        blob, fresh, why = pdf["blob"].iloc[0], pdf[pdf["fresh"]], None
+        blob, fresh, why = pdf["blob"].iloc[0], pdf[pdf["__fresh"]], None
         if len(fresh):
             try:
                 fit = M.load(blob) if blob is not None else None
@@ -108,13 +108,13 @@ def _python_update(table: ModelTable, new: SeriesFrame, name: str, d: M.PythonMo
                     raise ValueError("these models have no update() and need the old rows")
             except Exception as e:  # a series without a model
                 blob, why = None, str(e) or type(e).__name__
-        return pd.DataFrame([[*pdf[key].iloc[0], len(fresh), pdf[index].iloc[-1], blob, why]], columns=[*key, "k", "end", "fit", "why"])
+        return pd.DataFrame([[*pdf[key].iloc[0], len(fresh), pdf[index].iloc[-1], blob, why]], columns=[*key, "__k", "__end", "__fit", "__why"])
 
-    schema = T.StructType([*[flat.schema[k] for k in key], T.StructField("k", T.LongType()), T.StructField("end", flat.schema[index].dataType), T.StructField("fit", T.BinaryType()), T.StructField("why", T.StringType())])
+    schema = T.StructType([*[flat.schema[k] for k in key], T.StructField("__k", T.LongType()), T.StructField("__end", flat.schema[index].dataType), T.StructField("__fit", T.BinaryType()), T.StructField("__why", T.StringType())])
     j = join_on(old, flat.groupBy(*quoted(key)).applyInPandas(run, schema), key, "left")
-    ok = F.when(F.col("k").isNull(), F.col("ok")).otherwise(F.col("fit").isNotNull())
-    fitted_state = F.when(F.col("fit").isNotNull(), M.state(blob=F.col("fit")).cast(M.STATE))
-    return j.select(*quoted(key), "model", (F.col("n") + F.coalesce("k", F.lit(0))).cast("long").alias("n"), F.greatest("last", "end").alias("last"), F.when(F.col("k").isNull(), F.col("state")).otherwise(fitted_state).alias("state"), ok.alias("ok"), F.coalesce("why", "error").alias("error"))
+    ok = F.when(F.col("__k").isNull(), F.col("ok")).otherwise(F.col("__fit").isNotNull())
+    fitted_state = F.when(F.col("__fit").isNotNull(), M.state(blob=F.col("__fit")).cast(M.STATE))
+    return j.select(*quoted(key), "model", (F.col("n") + F.coalesce("__k", F.lit(0))).cast("long").alias("n"), F.greatest("last", "__end").alias("last"), F.when(F.col("__k").isNull(), F.col("state")).otherwise(fitted_state).alias("state"), ok.alias("ok"), F.coalesce("__why", "error").alias("error"))
 
 
 def seasonal_state(rows: DataFrame, key: list[str], index: str, value: str, period: int, epoch: str = "1970-01-01") -> DataFrame:

@@ -1,5 +1,6 @@
 """Small hand-made cases of the series engine."""
 
+import ast
 import datetime as dt
 import math
 
@@ -12,13 +13,13 @@ from seriesloom.functions.calendar import common_periods, get_frequencies
 from seriesloom.functions.regressors import fourier
 from seriesloom.functions.stats import box_cox, inv_box_cox, normal_cdf, sample_quantile
 from seriesloom.functions.transform import Transformation
-from seriesloom.meta import Interval, SeriesFrame
+from seriesloom.meta import Interval, SeriesFrame, as_decomposition, as_models, distribution_vars, is_decomposition, is_forecasts, is_models, response_vars
 from seriesloom.operators import accuracy as acc
 from seriesloom.operators import hierarchy as hi
 from seriesloom.operators import reconcile as rec
 from seriesloom.plans import lifecycle as lc
 from seriesloom.plans import models as M
-from seriesloom.streaming.update import seasonal_state, seasonal_sums
+from seriesloom.streaming.update import seasonal_state, seasonal_sums, stream
 
 
 def series(spark, values, key="a", n=1):
@@ -157,6 +158,38 @@ def test_min_trace_is_coherent(spark, method):
     assert all((r.sigma is None) == (method == "mint_cov") for r in rows)
 
 
+def test_weights_as_published(spark):
+    """Shrinkage and covariance by numpy over the residual matrix, with incomplete rows."""
+    frame = _two_level(spark)
+    holes = SeriesFrame(frame.df.withColumn("v", F.when((F.col("k") != "x") | F.col("k").isNull() | (F.month("month") != 5), F.col("v"))), frame.key, frame.index, frame.interval)
+    table = lc.model(holes, b=M.SNAIVE("v", 12))
+    rows = lc.augment(table).df.withColumn("node", hi.node_key(["k"])).collect()
+    names, months = sorted({r.node for r in rows}), sorted({r.month for r in rows})
+    res = np.full((len(months), len(names)), np.nan)
+    for r in rows:
+        res[months.index(r.month), names.index(r.node)] = np.nan if r.resid is None else r.resid
+    n, full = len(res), res[~np.isnan(res).any(1)]
+    assert 3 < len(full) < n - 12
+    cov, tar = full.T @ full / n, np.diag(np.nansum(res**2, 0) / n)
+    xs = full / np.sqrt(np.diag(cov))
+    v = ((xs**2).T @ xs**2 - (xs.T @ xs) ** 2 / n) / (n * (n - 1))
+    np.fill_diagonal(v, 0)
+    d = (cov / np.sqrt(np.outer(np.diag(cov), np.diag(cov))) - np.eye(4)) ** 2
+    lam = min(max(v.sum() / d.sum(), 0), 1)
+    s = np.array([[1, 1, 1], [1, 0, 0], [0, 1, 0], [0, 0, 1.0]])
+    assert np.allclose(rec.weights(table, "b", names, s, "mint_cov"), cov)
+    assert np.allclose(rec.weights(table, "b", names, s, "wls_var"), np.diag(np.diag(cov)))
+    assert 0 < lam <= 1 and np.allclose(rec.weights(table, "b", names, s, "mint_shrink"), lam * tar + (1 - lam) * cov)
+
+
+def test_leaves_of_a_hierarchy_that_is_not_balanced(spark):
+    df = spark.createDataFrame([("A", False, "x", False), ("A", False, "y", False), ("A", False, None, True), ("B", False, None, True), (None, True, None, True)], "a string, a__agg boolean, b string, b__agg boolean")
+    frame = SeriesFrame(df.withColumns({"t": F.lit(1), "v": F.lit(1.0)}), ("a", "a__agg", "b", "b__agg"), "t", Interval("unit"))
+    assert {r.node for r in hi.leaves(frame).collect()} == {"=A|=x", "=A|=y", "=B|*"}
+    assert {(r.node, r.leaf) for r in hi.coherent_smat(frame).collect()} == {("*|*", x) for x in ("=A|=x", "=A|=y", "=B|*")} | {("=A|*", "=A|=x"), ("=A|*", "=A|=y"), ("=A|=x", "=A|=x"), ("=A|=y", "=A|=y"), ("=B|*", "=B|*")}
+    assert "NestedLoop" not in hi.coherent_smat(frame)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_projection_forms_agree():
     s = np.array([[1, 1, 1], [1, 1, 0], [1, 0, 0], [0, 1, 0], [0, 0, 1.0]])
     a = np.random.default_rng(1).standard_normal((5, 5))
@@ -187,3 +220,104 @@ def test_generated_paths_agree_between_runs(spark):
     t = lc.model(series(spark, [3, 1, 4, 1, 5, 9, 2, 6]), a=M.NAIVE("y"))
     one, two = (lc.generate(t, 4, times=3, seed=9).df.orderBy("rep", "h").collect() for _ in range(2))
     assert one == two and len(one) == 12
+
+
+class _Level:
+    def __init__(self, y):
+        self.y = list(y)
+
+    def forecast(self, h):
+        return [self.y[-1]] * h, [1.0] * h
+
+    def fitted(self):
+        return [None, *self.y[:-1]]
+
+    def components(self):
+        return {"level": [v - 1 for v in self.y], "season": [1.0] * len(self.y)}
+
+    def update(self, y):
+        return _Level([*self.y, *y])
+
+    def irf(self, h):
+        return [1 / (k + 1) for k in range(h)]
+
+    def simulate(self, h, rng):
+        return self.y[-1] + rng.integers(0, 2, h)
+
+
+def test_hooks_of_python_models(spark):
+    own = M.new_model_class("LEVEL", lambda y, period, index: _Level(y))
+    s = series(spark, [3, 1, 4, 1, 5, 9], n=2)
+    t = lc.model(s, a=own("y"))
+    parts = lc.components(t).df.collect()
+    assert len(parts) == 12 and all(r.level == r.y - 1 and r.season == 1 and r.remainder == 0 for r in parts)
+    assert {(r.k, r.h): r.response for r in lc.irf(t, 3).collect()} == {(f"a{k}", h): 1 / h for k in range(2) for h in (1, 2, 3)}
+    one, two = (lc.generate(t, 3, times=2, seed=4).df.orderBy("k", "rep", "h").collect() for _ in range(2))
+    assert one == two and {r.sim - (9 if r.k == "a0" else 10) for r in one} <= {0.0, 1.0}
+    new = SeriesFrame(spark.createDataFrame([("a0", dt.date(2024, 1, 7), 2.0)], "k string, day date, y double"), ("k",), "day")
+    after = stream(t, new)
+    assert {r.k: (r.mean, r.day) for r in lc.forecast(after, 1).df.collect()} == {"a0": (2.0, dt.date(2024, 1, 8)), "a1": (10.0, dt.date(2024, 1, 7))}
+    assert {r.day: r.fitted for r in lc.fitted(t, 2).df.filter("k = 'a0'").collect()} == {dt.date(2024, 1, d): v for d, v in ((1, None), (2, None), (3, 3.0), (4, 1.0), (5, 4.0), (6, 1.0))}
+
+
+def test_paths_of_combinations_and_new_data(spark):
+    s = series(spark, [3, 1, 4, 1, 5, 9, 2, 6])
+    t = lc.model(s, a=M.NAIVE("y"), b=M.MEAN("y"), c=2 * M.NAIVE("y") - M.MEAN("y"))
+    new = SeriesFrame(spark.createDataFrame([("a0", dt.date(2024, 2, d)) for d in (1, 2, 3)], "k string, day date"), ("k",), "day")
+    paths = lc.generate(t, times=2, seed=3, new_data=new).df.collect()
+    assert {r.model for r in paths} == {"a", "b", "c"} and len(paths) == 18 and {r.day for r in paths} == {dt.date(2024, 2, d) for d in (1, 2, 3)}
+    draws = [r.sim for r in lc.generate(lc.model(s, b=M.MEAN("y")), 1, times=4000, seed=5).df.collect()]
+    fc = lc.forecast(lc.model(s, b=M.MEAN("y")), 1).df.first()
+    assert np.mean(draws) == pytest.approx(fc.mu, abs=4 * fc.sigma / 60) and np.std(draws) == pytest.approx(fc.sigma, rel=0.05)
+    walk = [r.sim for r in lc.generate(lc.model(s, a=M.NAIVE("y")), 4, times=4000, seed=6).df.filter("h = 4").collect()]
+    end = lc.forecast(lc.model(s, a=M.NAIVE("y")), 4).df.filter("h = 4").first()
+    assert np.mean(walk) == pytest.approx(end.mu, abs=4 * end.sigma / 60) and np.std(walk) == pytest.approx(end.sigma, rel=0.05)
+    left = {float(r.resid) for r in lc.residuals(lc.model(s, a=M.NAIVE("y"))).df.filter("resid is not null").collect()}
+    centred = {round(x - np.mean(list(left)), 6) for x in left} | {round(x - sum([-2, 3, -3, 4, 4, -7, 4]) / 7, 6) for x in left}
+    steps = lc.generate(lc.model(s, a=M.NAIVE("y")), 1, times=50, seed=7, bootstrap=True).df.collect()
+    assert {round(r.sim - 6, 6) for r in steps} <= centred
+
+
+def test_sample_percentiles(spark):
+    y, x = 1.3, [0.2, 4.0, 1.0, 1.9]
+    df = spark.createDataFrame([(y, x)], "y double, sample array<double>")
+    i = ms.Inputs(F.lit(0.0), F.col("y"), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0), F.col("sample"), F.lit(1.0), F.lit(1.0), lambda c: c)
+    p = np.arange(1, 100) / 100
+    q = np.quantile(x, p)
+    want = 2 * np.mean(np.where(y >= q, p * (y - q), (1 - p) * (q - y)))
+    assert df.select(ms.percentile_score(i)).first()[0] == pytest.approx(want)
+
+
+def test_constructors_check_their_rows(spark):
+    s = series(spark, [3, 1, 4, 1, 5])
+    t = lc.model(s, a=M.NAIVE("y"))
+    again = as_models(t.df, t.key, t.index, t.interval, "y", {"a": M.NAIVE("y")}, s)
+    assert lc.forecast(again, 1).df.first().mean == 5.0 and is_models(again) and not is_forecasts(again)
+    for rows, defs in ((t.df.union(t.df), {"a": M.NAIVE("y")}), (t.df, {"b": M.NAIVE("y")}), (t.df.drop("state"), {"a": M.NAIVE("y")})):
+        with pytest.raises(ValueError):
+            as_models(rows, t.key, t.index, t.interval, "y", defs)
+    parts = s.df.withColumns({"level": F.col("y") - 1, "season": F.lit(1.0)})
+    d = as_decomposition(parts, ("k",), "day", s.interval, "y", {"y": "level + season"})
+    assert is_decomposition(d) and d.df.filter(d.alias("y") != F.col("y")).count() == 0
+    with pytest.raises(ValueError):
+        as_decomposition(parts.union(parts), ("k",), "day", s.interval, "y", {"y": "level + season"})
+
+
+def test_verbs_keep_or_lose_the_distribution(spark):
+    fc = lc.forecast(lc.model(series(spark, [3, 1, 4, 1, 5], n=2), a=M.NAIVE("y")), 2)
+    assert is_forecasts(fc.transmute({"mu": F.col("mu"), "sigma": F.col("sigma")})) and not is_forecasts(fc.transmute({"m": F.col("mean")}))
+    grouped = fc.group_by("model")
+    total = grouped.summarise(mu=F.sum("mu"), sigma=F.sqrt(F.sum(F.col("sigma") * F.col("sigma"))))
+    assert is_forecasts(total) and total.key == ("model",) and total.df.count() == 2
+    assert not is_forecasts(grouped.summarise(n=F.count("*"))) and grouped.group_by().groups == ()
+    assert response_vars(fc) == ("y",) and distribution_vars(fc) == ("mu", "sigma")
+
+
+def test_several_responses(spark):
+    s = series(spark, [3, 1, 4, 1, 5]).with_columns({"z": F.col("y") * 2})
+    t = lc.model(s, a=M.NAIVE("vars(y, z)"))
+    assert {r.response: r.mean for r in lc.forecast(t, 1).df.collect()} == {"y": 5.0, "z": 10.0}
+    with pytest.raises(ValueError):
+        lc.model(s, a=M.NAIVE("vars(y, z)"), b=M.NAIVE("y"))
+    names = M.traverse(ast.parse("log(y + 1)", mode="eval").body, lambda n: {getattr(n, "id", None)} - {None}, lambda n, kids: set().union(*kids))
+    assert names == {"log", "y"}
