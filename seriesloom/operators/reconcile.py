@@ -85,14 +85,16 @@ def _bottom_up(table: ModelTable, fc: ForecastTable, source: str) -> DataFrame:
     return _shape(table, fc, got, n)
 
 
-def _levels(table: ModelTable, n: DataFrame) -> list[str]:
-    """Keys from the top of a strict hierarchy down; raises if it isn't strict."""
+def _levels(table: ModelTable, n: DataFrame, strict: bool = True) -> list[str]:
+    """Keys from the top of a strict hierarchy down; if it isn't strict, none or, with ``strict``, an error."""
     keys = base_keys(_frame(table))
     open_ = [F.sum((~F.col(f"`{flag(k)}`")).cast("long")).alias(k) for k in keys]
     first = n.agg(*open_).first()
     order = sorted(keys, key=lambda k: -(first[k] or 0))
     sets = {tuple(sorted(k for k in keys if not r[flag(k)])) for r in n.select(*[F.col(f"`{flag(k)}`") for k in keys]).distinct().collect()}
     if sets != {tuple(sorted(order[:d])) for d in range(len(order) + 1)}:
+        if not strict:
+            return []
         raise ValueError("top-down and middle-out reconciliation take a strictly nested hierarchy")
     return order
 
@@ -258,9 +260,16 @@ def projection(s: np.ndarray, w: np.ndarray, bottom: Sequence[int]) -> np.ndarra
 
 
 def _min_trace(table: ModelTable, fc: ForecastTable, source: str, method: str) -> DataFrame:
-    """Least total variance among linear coherent forecasts. Needs the nodes' matrices on the driver, so at most MOST_NODES nodes."""
+    """Least total variance among linear coherent forecasts.
+
+    With weights for each node alone a strictly nested hierarchy of any size is
+    reconciled level by level (:func:`_tree_trace`).  Otherwise the nodes'
+    matrices are needed on the driver, so there may be MOST_NODES nodes at most.
+    """
     keys, at = base_keys(_frame(table)), _cols(table, fc)
     n = _nodes(table)
+    if method in ("ols", "wls_struct", "wls_var") and (order := _levels(table, n, strict=False)):
+        return _tree_trace(table, fc, source, method, n, order)
     if n.count() > MOST_NODES:
         raise ValueError(f"more than {MOST_NODES} nodes")
     triples = coherent_smat(_frame(table), all_nodes=n).select("node", "leaf").collect()
@@ -291,4 +300,65 @@ def _min_trace(table: ModelTable, fc: ForecastTable, source: str, method: str) -
     return _shape(table, fc, rows.groupBy(*quoted(at)).applyInPandas(apply, schema), n)
 
 
+def _node_weights(table: ModelTable, source: str, method: str, n: DataFrame) -> DataFrame:
+    """(node, w): the diagonal of W, worked out in Spark; raises if a weight is too small to divide by."""
+    keys = base_keys(_frame(table))
+    if method == "ols":
+        return n.select("node", F.lit(1.0).alias("w"))
+    if method == "wls_struct":
+        return coherent_smat(_frame(table), all_nodes=n).groupBy("node").agg(F.count("*").cast("double").alias("w"))
+    res = augment(replace(table, plans={})).df.filter(F.col("model") == source)
+    res = saved(res.select(node_key(keys).alias("node"), F.col(f"`{table.index}`").alias("t"), F.col("resid").alias("r")), "residuals")
+    times = res.groupBy("t").agg(F.count("r").alias("n"))
+    all_times, nodes_ = times.count(), n.count()
+    w = res.join(times.filter(F.col("n") == nodes_), "t").groupBy("node").agg((F.sum(F.col("r") * F.col("r")) / all_times).alias("w"))
+    w = saved(n.select("node").join(w, "node", "left").select("node", F.coalesce("w", F.lit(0.0)).alias("w")), "weights")
+    if not w.filter("w < 1e-8").isEmpty():
+        raise ValueError("the covariance of the forecasts is not positive definite: use another method")
+    return w
+
+
+def _tree_trace(table: ModelTable, fc: ForecastTable, source: str, method: str, n: DataFrame, order: list[str]) -> DataFrame:
+    """Minimum trace reconciliation of a strictly nested hierarchy with a weight w for each node, exact at any size.
+
+    From the leaves up, a node's forecast y is weighed against the sum s of its
+    children's: x = a y + (1 - a) s with a = v / (w + v), v the children's summed
+    w, and its own w becomes w v / (w + v).  From the top down, what a parent's
+    final value differs from s by, d, is shared out in proportion to the
+    children's w.  Variances go along: forecasts of different nodes are taken as
+    uncorrelated, as W has them, and g is how d above changes with x.
+    """
+    keys, at = base_keys(_frame(table)), _cols(table, fc)
+    rows = fc.df.withColumns({"node": node_key(keys), "depth": _depth(keys)})
+    up = rows.select("node", *quoted(at), "depth", *[_parent(keys, order, d).alias(f"p{d}") for d in range(len(order))], F.col("mean").alias("y"), (F.col("sigma") * F.col("sigma")).alias("y2"))
+    up = saved(up.join(_node_weights(table, source, method, n), "node"), "weighed")
+    levels: list[DataFrame] = []
+    for d in range(len(order), -1, -1):
+        own = up.filter(F.col("depth") == d)
+        own = own.withColumn("parent", F.col(f"p{d - 1}") if d else F.lit("")).select("node", "parent", *quoted(at), "y", "y2", "w")
+        if levels:
+            kids = levels[-1].groupBy(F.col("parent").alias("node"), *quoted(at)).agg(*[F.sum(c).alias(k) for c, k in (("x", "s"), ("v", "sv"), ("x2", "s2"))])
+            a = F.col("sv") / (F.col("w") + F.col("sv"))
+            own = own.join(kids, ["node", *at]).withColumn("a", a)
+            own = own.withColumns({"x": F.col("a") * F.col("y") + (1 - F.col("a")) * F.col("s"), "v": F.col("w") * F.col("a"), "x2": F.col("a") * F.col("a") * F.col("y2") + (1 - F.col("a")) * (1 - F.col("a")) * F.col("s2")})
+        else:
+            none = F.lit(None).cast("double")
+            own = own.withColumns({"s": none, "sv": none, "s2": none, "a": none, "x": F.col("y"), "v": F.col("w"), "x2": F.col("y2")})
+        levels.append(saved(own, "level"))
+    out = None
+    for d, own in enumerate(levels[::-1]):
+        if d:
+            above = above.select(F.col("node").alias("parent"), *quoted(at), *[F.col(c).alias(f"p_{c}") for c in ("sv", "a", "k", "g", "d", "d2")])
+            own = own.join(above, ["parent", *at]).withColumn("k", F.col("v") / F.col("p_sv"))
+            own = own.withColumn("g", F.col("p_k") * F.col("p_g") * (1 - F.col("p_a")) - F.col("p_a"))
+            own = own.withColumns({"mu": F.col("x") + F.col("k") * F.col("p_d"), "var": F.col("x2") + F.col("k") * F.col("k") * F.col("p_d2") + 2 * F.col("k") * F.col("x2") * F.col("g")})
+        else:
+            own = own.withColumns({"k": F.lit(0.0), "g": F.lit(0.0), "p_d2": F.lit(0.0), "mu": F.col("x"), "var": F.col("x2")})
+        cross = 2 * F.col("a") * F.col("k") * F.col("g") * (F.col("a") * F.col("y2") - (1 - F.col("a")) * F.col("s2"))
+        above = own.withColumns({"d": F.col("mu") - F.col("s"), "d2": F.col("a") * F.col("a") * (F.col("y2") + F.col("s2")) + F.col("k") * F.col("k") * F.col("p_d2") + cross})
+        got = own.select("node", *quoted(at), "mu", F.sqrt(F.greatest("var", F.lit(0.0))).alias("sigma"))
+        out = got if out is None else out.unionByName(got)
+    return _shape(table, fc, out, n)
+
+
 _METHODS = {"bottom_up": _bottom_up, "top_down": _top_down, "middle_out": _middle_out, "min_trace": _min_trace}
