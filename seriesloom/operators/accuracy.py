@@ -17,6 +17,7 @@ from seriesloom.functions.measures import Inputs, Measure, point_accuracy_measur
 from seriesloom.functions.stats import clean
 from seriesloom.meta import ForecastTable, ModelTable, SeriesFrame, join_on, quoted
 from seriesloom.plans.lifecycle import augment
+from seriesloom.sources.saved import saved
 
 
 def _flat(measures: Any) -> dict[str, Measure]:
@@ -107,6 +108,7 @@ def accuracy(fc: ForecastTable, data: SeriesFrame, measures: Any = point_accurac
         warnings.warn("forecasts of several models are scored together", stacklevel=2)
     key, index, response = list(data.key), data.index, fc.response
     m = seasonal_lag(period, fc.interval)
+    fc = saved(fc, "forecasts")  # read for the scores, for their beginnings and, with ``warn``, for what has no actual
     actual = data.df.select(*quoted(key), F.col(f"`{index}`"), clean(F.col(f"`{response}`").cast("double")).alias("__y"))
     if warn and (gone := missing_future(fc, data).first()) and gone.n:
         warnings.warn(f"The future dataset is incomplete: {gone.n} observations are missing between {gone.first} and {gone.last}", stacklevel=2)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions.stats import divide
 from seriesloom.meta import ForecastTable, ModelTable, SeriesFrame, join_on, quoted
+from seriesloom.sources.saved import saved
 
 
 @dataclass(frozen=True)
@@ -78,7 +79,7 @@ class Combination:
         enter by their mean and have no variance here.
         """
         key = list(table.key)
-        res = self._residuals(table)
+        res = saved(self._residuals(table), "residuals")
         var = res.groupBy(*quoted(key), "model").agg(F.var_samp("resid").alias("__v"))
         rows = fc.df.filter(F.col("model").isin(*self.parts))
         rows = self.weighted(rows, key, var)
