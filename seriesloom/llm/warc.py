@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
+from collections.abc import Iterator
+from datetime import datetime
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .columns import named
 from .scratch import save
 from .urls import canonical
 
@@ -97,6 +104,87 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     )
 
 
+def _members(data: bytes) -> Iterator[bytes]:
+    """The parts of a file: its gzip members, unpacked, or the file as it is."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    while data[:2] == b"\x1f\x8b":
+        unpack = zlib.decompressobj(31)
+        yield unpack.decompress(data)
+        data = unpack.unused_data
+
+
+def _fields(lines: list[bytes]) -> dict[str, str]:
+    """Fields of a header block; a line that begins with a space goes on with the one before, of repeated names the first counts."""
+    out: dict[str, str] = {}
+    last = None
+    for line in lines:
+        if line[:1] in (b" ", b"\t") and last:
+            out[last] += " " + line.strip().decode("utf-8", "replace")
+            continue
+        name, colon, value = line.partition(b":")
+        last = name.strip().decode("latin-1").lower() if colon else None
+        if last in out:
+            last = None
+        if last:
+            out[last] = value.strip().decode("utf-8", "replace")
+    return out
+
+
+def parse_warc(data: bytes) -> Iterator[tuple]:
+    """(uri, ts, warc_type, status, headers, payload_digest, payload_bytes) of each record of a WARC file, packed or not.
+
+    ts is microseconds of WARC-Date; headers are those of the HTTP block; the
+    digest is WARC-Payload-Digest or, without one, sha256 of a response's
+    payload.  What follows a record cut short or without a length is left out.
+    """
+    for part in _members(data):
+        at = 0
+        while (at := part.find(b"WARC/", at)) >= 0:
+            end = part.find(b"\r\n\r\n", at)
+            if end < 0:
+                break
+            own = _fields(part[at:end].split(b"\r\n")[1:])
+            size, start = own.get("content-length", ""), end + 4
+            if not size.isdigit() or start + int(size) > len(part):
+                break
+            block, at = part[start : start + int(size)], start + int(size)
+            head, _, payload = block.partition(b"\r\n\r\n")
+            http = head.startswith(b"HTTP/")
+            lines = head.split(b"\r\n")
+            code = lines[0].split(b" ")[1:2] if http else []
+            status = int(code[0]) if code and code[0].isdigit() else None
+            try:
+                stamp = datetime.fromisoformat(own.get("warc-date", "").replace("Z", "+00:00"))
+                ts = round(stamp.timestamp() * 1_000_000)
+            except ValueError:
+                ts = None
+            kind = own.get("warc-type")
+            digest = own.get("warc-payload-digest") or (f"sha256:{hashlib.sha256(payload).hexdigest()}" if http and kind == "response" else None)
+            yield own.get("warc-target-uri", "").strip("<>") or None, ts, kind, status, _fields(lines[1:]) if http else {}, digest, len(payload) if http else 0
+
+
+def read_records(files: DataFrame, content: str = "content") -> DataFrame:
+    """The records of WARC files (such as ``spark.read.format("binaryFile")`` gives) as :func:`resolve_revisits` takes them.
+
+    A file is read in one task; record_id is the order of files and records.
+    Null and empty files have no records.
+    """
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int64()]
+    names = ["uri", "ts", "warc_type", "status", "headers", "payload_digest", "payload_bytes"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0):
+                rows = list(parse_warc(x.as_buffer().to_pybytes() if x.is_valid else b""))
+                cols = [[list(r[k].items()) if k == 4 else r[k] for r in rows] for k in range(7)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], names=names)
+
+    got = files.select(named(content).alias("content")).mapInArrow(run, "uri string, ts long, warc_type string, status int, headers map<string,string>, payload_digest string, payload_bytes long")
+    return got.select(F.monotonically_increasing_id().alias("record_id"), *names)
+
+
 def captures_of(pages: DataFrame) -> DataFrame:
     """A crawl made of ``pages`` (page_id, url, html), two records a page.
 
