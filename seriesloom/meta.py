@@ -14,6 +14,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SECONDS = {"week": 604800.0, "day": 86400.0, "hour": 3600.0, "minute": 60.0, "second": 1.0, "millisecond": 1e-3, "microsecond": 1e-6, "nanosecond": 1e-9}
 MONTHS = {"year": 12, "quarter": 3, "month": 1}
@@ -71,6 +72,13 @@ class SeriesFrame:
     def measured(self) -> list[str]:
         return [c for c in self.df.columns if c not in self.key and c != self.index]
 
+    def guess_response(self) -> str:
+        """The first measured column that holds numbers."""
+        for f in self.df.schema.fields:
+            if f.name in self.measured and isinstance(f.dataType, T.NumericType):
+                return f.name
+        raise ValueError("no measured column holds numbers")
+
     def duplicates(self) -> DataFrame:
         """(key, index, count) that do not identify a row."""
         return self.df.groupBy(*quoted((*self.key, self.index))).count().filter("count > 1")

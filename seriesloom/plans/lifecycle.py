@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Mapping
 from dataclasses import replace
 from functools import reduce
@@ -23,7 +24,8 @@ from seriesloom.sources.saved import saved
 from . import models as M
 from .combination import Combination
 
-_ROW = "n long, last {index}, state {state}, ok boolean, error string"
+#: A dot that stands for itself in a formula.
+DOT = r"(?<![\w.])\.(?![\w.])"
 
 
 def _prepared(frame: SeriesFrame, response: str, transform: Any) -> DataFrame:
@@ -61,7 +63,7 @@ def model(frame: SeriesFrame, safely: bool = True, **defs: Any) -> ModelTable:
     if not defs:
         raise ValueError("a model table needs a model")
     plans = {k: d for k, d in defs.items() if isinstance(d, Combination)}
-    plain = {k: d for k, d in defs.items() if k not in plans}
+    plain = {k: _completed(frame, d) for k, d in defs.items() if k not in plans}
     if several := {M.parse_responses(d.formula) for d in plain.values()} - {()}:
         if len(several) > 1 or plans or not all(M.parse_responses(d.formula) for d in plain.values()):
             raise ValueError("models of several responses take the same ones, and no combinations")
@@ -90,6 +92,16 @@ def model(frame: SeriesFrame, safely: bool = True, **defs: Any) -> ModelTable:
     return ModelTable(out, frame.key, frame.index, frame.interval, response, plain, frame, placed)
 
 
+def _completed(frame: SeriesFrame, d: Any) -> Any:
+    """The definition with a response, if its formula leaves it out, and with all other measured columns for a term ``.``."""
+    left, tilde, right = (x.strip() for x in d.formula.partition("~"))
+    left = left or frame.guess_response()
+    if re.search(DOT, right):
+        used = {left, *re.findall(r"\w+", left)}
+        right = re.sub(DOT, " + ".join(c for c in frame.measured if c not in used) or "1", right)
+    return replace(d, formula=f"{left} {tilde} {right}" if tilde else left)
+
+
 def _finish(df: DataFrame, frame: SeriesFrame, name: Column, least: Column | int, obs: str = "obs") -> DataFrame:
     enough = F.col(obs) >= least
     return df.select(*quoted(frame.key), name.alias("model"), "n", "last", F.when(enough, F.col("state")).alias("state"), enough.alias("ok"), F.when(~enough, F.lit("too few values")).alias("error"))

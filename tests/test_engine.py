@@ -332,6 +332,14 @@ def test_verbs_keep_or_lose_the_distribution(spark):
     assert response_vars(fc) == ("y",) and distribution_vars(fc) == ("mu", "sigma")
 
 
+def test_formulas_are_completed(spark):
+    s = series(spark, [3, 1, 4, 1, 5, 9, 2, 6]).with_columns({"x": F.dayofmonth("day") * F.dayofmonth("day")})
+    one, two = (lc.forecast(lc.model(s, m=M.TSLM(f)), new_data=SeriesFrame(s.df.select("k", "day", "x"), s.key, s.index)).df.orderBy("h").collect() for f in ("~ .", "y ~ x"))
+    assert one == two and lc.model(s, m=M.NAIVE("")).response == "y"
+    with pytest.raises(ValueError):
+        SeriesFrame(s.df.select("k", "day"), s.key, s.index).guess_response()
+
+
 def test_several_responses(spark):
     s = series(spark, [3, 1, 4, 1, 5]).with_columns({"z": F.col("y") * 2})
     t = lc.model(s, a=M.NAIVE("vars(y, z)"))
