@@ -17,12 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import extended, named, spare
 from .scratch import save
 
 #: Code points of a chunk, and how far a chunk reads into the next one.
-CHUNK, OVERLAP = 65_536, 2_048
+CHUNK, OVERLAP = 16_384, 1_024
 #: Pieces kept with their ids in a worker, and the longest piece kept.
-CACHED, LONG = 400_000, 64
+CACHED, LONG = 100_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -117,7 +118,7 @@ def chunk_cuts(pattern: regex.Pattern, chunk: str, last: bool, size: int = CHUNK
     return [x for x in trusted if 0 < x < OVERLAP], [x - size for x in trusted if x >= size]
 
 
-def encode_documents(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", chunk: int = CHUNK) -> DataFrame:
+def encode_documents(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", chunk: int = CHUNK, keep_text: bool = True) -> DataFrame:
     """Add ``ids`` (little-endian unsigned 32-bit token ids) and ``decoded`` (bytes of the decoded ids) to each row.
 
     Null texts encode as empty.  Texts of up to ``chunk`` code points are encoded
@@ -127,34 +128,37 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, text: str =
     since a match depends only on what follows its start; then the spans are
     encoded, again apart, and the ids put together.  Where no boundary is shared
     (a piece longer than the overlap) the whole text is encoded in one task.
-    Equal long texts are encoded once.  Text without spaces costs n log n.
+    Equal long texts are encoded once.  Text without spaces costs n log n.  Repeated
+    rows give equal ids; an empty table stays empty.
     """
     spark = docs.sparkSession
     ranks = read_ranks(rank_path)
     spec, key = spark.sparkContext.broadcast((ranks, pattern)), f"{rank_path} {len(ranks)} {pattern}"
-    kept = [f for f in docs.schema.fields if f.name not in ("ids", "decoded")]
-    schema = T.StructType([*kept, T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
+    fields = [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())]
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def task() -> Callable[[pa.Array], list[pa.Array]]:
         codec = worker_codec(spec, key)
-        for b in batches:
-            ids = [codec.encode(x or "") for x in b.column(b.num_columns - 1).to_pylist()]
-            cols = [*b.columns[:-1], pa.array(ids, pa.binary()), pa.array(map(codec.decode, ids), pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, schema=pa.schema([*list(b.schema)[:-1], pa.field("ids", pa.binary()), pa.field("decoded", pa.binary())]))
 
-    given = docs.select(*[docs[f.name] for f in kept], docs[text].alias("__text"))
-    t, names = F.col("__text"), [F.col(f"`{f.name}`") for f in kept]
+        def make(texts: pa.Array) -> list[pa.Array]:
+            ids = [codec.encode(x.as_py() or "") for x in texts]
+            return [pa.array(ids, pa.binary()), pa.array(map(codec.decode, ids), pa.binary())]
+
+        return make
+
+    t, names = named(text), [c for c in docs.columns if c not in ("ids", "decoded") and (keep_text or c != text)]
     length = F.coalesce(F.length(t), F.lit(0))
-    short = given.filter(length <= chunk).mapInArrow(whole, schema)
-    long = given.filter(length > chunk).withColumn("__k1", F.xxhash64(t)).withColumn("__k2", F.md5(t.cast("binary")))
-    coded = _encode_long(long.select("__k1", "__k2", t.alias("t")), spec, key, chunk)
-    joined = long.join(coded, ["__k1", "__k2"]).select(*names, "ids", "decoded")
+    short = extended(docs.filter(length <= chunk), text, fields, task, () if keep_text else (text,))
+    k1, k2, own, i, d = spare(docs, "__k1", "__k2", "__own", "__ids", "__decoded")
+    long = docs.filter(length > chunk).select(*[named(c) for c in names], F.xxhash64(t).alias(k1), F.md5(t.cast("binary")).alias(k2), t.alias(own))
+    coded = _encode_long(long.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), F.col(own).alias("t")), spec, key, chunk)
+    coded = coded.withColumnsRenamed({"k1": k1, "k2": k2, "ids": i, "decoded": d})
+    joined = long.drop(own).join(coded, [k1, k2]).select(*[named(c) for c in names], F.col(i).alias("ids"), F.col(d).alias("decoded"))
     return short.union(joined)
 
 
 def _encode_long(long: DataFrame, spec: Broadcast, codec_key: str, chunk: int) -> DataFrame:
-    """(__k1, __k2, ids, decoded) for the distinct texts of ``long``."""
-    key = ["__k1", "__k2"]
+    """(k1, k2, ids, decoded) for the distinct texts of ``long``."""
+    key = ["k1", "k2"]
     texts = save(long.dropDuplicates(key), "long-texts")
     n = F.ceil(F.length("t") / chunk).cast("int")
     at = texts.withColumn("n", n).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
@@ -168,37 +172,33 @@ def _encode_long(long: DataFrame, spec: Broadcast, codec_key: str, chunk: int) -
                 head, tail = chunk_cuts(pattern, s, len(s) < chunk + OVERLAP, chunk)
                 heads.append(head)
                 tails.append(tail)
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))], names=["__k1", "__k2", "n", "c", "head", "tail"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))], names=["k1", "k2", "n", "c", "head", "tail"])
 
-    found = save(pieces.repartition(*key, "c").mapInArrow(cuts, "__k1 long, __k2 string, n int, c int, head array<int>, tail array<int>"), "chunk-cuts")
+    found = save(pieces.repartition(*key, "c").mapInArrow(cuts, "k1 long, k2 string, n int, c int, head array<int>, tail array<int>"), "chunk-cuts")
     before = found.select(*key, (F.col("c") + 1).alias("c"), F.col("tail").alias("met"))
     cut = found.filter("c > 0").join(before, [*key, "c"]).select(*key, "n", "c", F.array_min(F.array_intersect("head", "met")).alias("at"))
     cut = save(cut, "cuts")
-    torn = save(cut.groupBy(*key).agg(F.max(F.col("at").isNull()).alias("torn")), "torn")
-    good = cut.filter("at is not null").withColumn("x", F.col("at") + F.col("c") * chunk)
-    starts = good.select(*key, "c", F.col("x").alias("a"))
-    ends = good.select(*key, (F.col("c") - 1).alias("c"), F.col("x").alias("z"))
-    fine = texts.join(torn.filter("not torn").select(*key), key)
-    spans = fine.withColumn("c", F.explode(F.sequence(F.lit(0), F.ceil(F.length("t") / chunk).cast("int") - 1)))
-    spans = spans.join(starts, [*key, "c"], "left").join(ends, [*key, "c"], "left").withColumn("a", F.coalesce("a", F.lit(0)))
-    spans = spans.select(*key, "c", F.substring(F.col("t"), F.col("a") + 1, F.coalesce("z", F.length("t")) - F.col("a")).alias("s"))
-    rest = texts.join(torn.filter("torn").select(*key), key).select(*key, F.lit(0).alias("c"), F.col("t").alias("s"))
+    where = F.array_sort(F.collect_list(F.col("at") + F.col("c") * chunk))  # a number for each chunk of a text
+    cuts_of = save(cut.groupBy(*key).agg(F.when(~F.max(F.col("at").isNull()), where).otherwise(F.array().cast("array<int>")).alias("cuts")), "cuts-of")
+    stops = F.concat("cuts", F.array(F.length("t")))
+    spans = texts.join(cuts_of, key).select(*key, "t", F.posexplode(F.zip_with(F.concat(F.array(F.lit(0)), "cuts"), stops, lambda a, z: F.struct(a.alias("a"), z.alias("z")))).alias("c", "x"))
+    spans = spans.select(*key, "c", F.substring(F.col("t"), F.col("x.a") + 1, F.col("x.z") - F.col("x.a")).alias("s"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_codec(spec, codec_key)
         for b in batches:
             ids = [codec.encode(s) for s in b.column(3).to_pylist()]
             cols = [*b.columns[:3], pa.array(ids, pa.binary()), pa.array(map(codec.decode, ids), pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["__k1", "__k2", "c", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays(cols, names=["k1", "k2", "c", "ids", "decoded"])
 
-    coded = spans.union(rest).repartition(*key, "c").mapInArrow(encode, "__k1 long, __k2 string, c int, ids binary, decoded binary")
+    coded = spans.repartition(*key, "c").mapInArrow(encode, "k1 long, k2 string, c int, ids binary, decoded binary")
     put = coded.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("c", "ids", "decoded"))).alias("all"))
-    glue = {f: F.aggregate(F.col("all"), F.lit(b""), _glue(f)) for f in ("ids", "decoded")}
-    return save(put.select(*key, glue["ids"].alias("ids"), glue["decoded"].alias("decoded")), "long-ids")
 
+    def glue(field: str) -> Column:
+        """All pieces in one go: as text of two digits a byte, since only text is joined in one step."""
+        return F.unhex(F.array_join(F.transform("all", lambda x: F.hex(x[field])), ""))
 
-def _glue(f: str) -> Callable[[Column, Column], Column]:
-    return lambda acc, x: F.concat(acc, x[f])
+    return save(put.select(*key, glue("ids").alias("ids"), glue("decoded").alias("decoded")), "long-ids")
 
 
 def digests(encoded: DataFrame) -> list[Column]:
