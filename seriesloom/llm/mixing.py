@@ -2,52 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from .scratch import running_total, save
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+from .columns import named, spare
+from .scratch import discard, running_total, save
 
 
-def count_words(column: pa.Array) -> np.ndarray:
-    """Maximal runs of bytes that aren't one of the six ASCII spaces, for each text; null has none."""
-    n = len(column)
-    if not n:
-        return np.zeros(0, np.int64)
-    offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    inside = ~_SPACE[data]
-    starts = inside.copy()
-    starts[1:] &= ~inside[:-1]
-    at = offsets - offsets[0]
-    head = at[:-1][at[:-1] < at[1:]]
-    starts[head] = inside[head]
-    total = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(starts, out=total[1:])
-    words = total[at[1:]] - total[at[:-1]]
-    return words if not column.null_count else np.where(np.asarray(column.is_null()), 0, words)
+def count_words(text: Column) -> Column:
+    """Maximal runs of characters that aren't one of the six ASCII spaces; null has none."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def shuffle_key(id_col: str, text: str, seed: int = 0) -> Column:
     """The place of a document in its source's shuffled order: a uniform long."""
-    return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text))
+    return F.xxhash64(F.lit(seed), named(id_col), named(text))
 
 
 def _measured(docs: DataFrame, id_col: str, text: str, source: str, seed: int) -> DataFrame:
-    given = docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), shuffle_key(id_col, text, seed).alias("h"), F.col(text).cast("binary").alias("t"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(count_words(b.column(3)))], schema=pa.schema([*list(b.schema)[:3], pa.field("size", pa.int64())]))
-
-    return given.mapInArrow(run, T.StructType([*given.schema.fields[:3], T.StructField("size", T.LongType())]))
+    return docs.select(named(id_col).alias("id"), named(source).alias("source"), shuffle_key(id_col, text, seed).alias("h"), count_words(named(text)).alias("size"))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -125,10 +98,16 @@ def mix_report(docs: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, seed: int = 0, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows that the mix takes, twice where it takes them twice; all columns as they were."""
-    _, plan = mix(docs, seed=seed, id_col=id_col, text=text, source=source)
-    plan = plan.select(F.col("source").alias("__source"), "cut0", "cut1").withColumnsRenamed({"cut0": "__cut0", "cut1": "__cut1"})
+    """The rows that the mix takes, twice where it takes them twice; all columns as they were.
+
+    Texts without words take nothing from the budget and go with their source's
+    order; an empty table stays empty.
+    """
+    measured, plan = mix(docs, seed=seed, id_col=id_col, text=text, source=source)
+    discard(measured)
+    own, c0, c1, taken = spare(docs, "__source", "__cut0", "__cut1", "__taken")
+    plan = plan.select(F.col("source").alias(own), F.col("cut0").alias(c0), F.col("cut1").alias(c1))
     key = shuffle_key(id_col, text, seed)
-    n = sum((F.coalesce(key <= F.col(f"__cut{k}"), F.lit(False)).cast("int") for k in range(2)), F.lit(0))
-    joined = docs.join(plan, docs[source].eqNullSafe(plan["__source"])).withColumn("__n", n).filter("__n > 0")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__source", "__cut0", "__cut1", "__n", "__copy")
+    n = sum((F.coalesce(key <= F.col(c), F.lit(False)).cast("int") for c in (c0, c1)), F.lit(0))
+    joined = docs.join(plan, named(source).eqNullSafe(F.col(own))).withColumn(taken, n).filter(F.col(taken) > 0)
+    return joined.withColumn(taken, F.explode(F.sequence(F.lit(1), F.col(taken)))).drop(own, c0, c1, taken)

@@ -171,7 +171,7 @@ class Scorer:
         return (THREAT if of in m.threats else INSULT), weight
 
     def look_up(self, token: str) -> tuple[int, float]:
-        if len(self.known) > 500_000:  # forms seen, not results: what is dropped is looked up again
+        if len(self.known) > 100_000:  # forms seen, not results: what is dropped is looked up again
             self.known = dict(self.fixed)
         got = self.known[token] = self.entry(token)
         return got
@@ -307,16 +307,24 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter[str], Counter[str], Counter[str]] = (Counter(), Counter(), Counter())
+
+        def told() -> Iterator[pa.RecordBatch]:
+            forms = list(seen[0].keys() | seen[1].keys())
+            for k in range(0, len(forms), 10_000):
+                part = forms[k : k + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *[pa.array([s[f] for f in part], pa.int64()) for s in seen]], names=["f", "clean", "toxic", "aimed"])
+            for s in seen:
+                s.clear()
+
         for b in batches:
             for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 tokens = TOKEN.findall(t.lower())
                 seen[y].update(_forms(w for w in tokens if w[0] not in _ENDS and w[0] not in _QUOTES))
                 if y:
                     seen[2].update(_directed(tokens))
-        forms = sorted(seen[0].keys() | seen[1].keys())
-        for k in range(0, len(forms), 10_000):
-            part = forms[k : k + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *[pa.array([s[f] for f in part], pa.int64()) for s in seen]], names=["f", "clean", "toxic", "aimed"])
+                if len(seen[0]) + len(seen[1]) > 200_000:  # a task's memory doesn't grow with its rows
+                    yield from told()
+        yield from told()
 
     n = dict(rows.groupBy("y").count().collect())
     least = max(3, n.get(1, 0) // 100)
