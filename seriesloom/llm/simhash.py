@@ -9,10 +9,10 @@ candidate counts, and the parts are probed and verified natively.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
-from math import comb, log
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import extended, named, raw
 from .components import connected_components
-from .scratch import discard, save
+from .scratch import save
 
 #: Shingles hashed at a time: bounds a very long text's memory.
 BLOCK = 1 << 16
@@ -40,50 +41,47 @@ def _remixed(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def simhash(text: str | bytes | None, words: int = 3, prints: int = 1) -> list[int]:
-    """``prints`` unsigned 64-bit fingerprints of the word shingles of a text with A-Z lower-cased; 0 for no words or null."""
-    if not text:
-        return [0] * prints
-    w = (text.encode() if isinstance(text, str) else text).lower().split()  # bytes: A-Z and the six ASCII spaces only
-    n = len(w)
-    if not n:
-        return [0] * prints
-    joined = b" ".join(w)
-    digest = xxhash.xxh64_intdigest
-    if n <= words:
-        one = np.array([digest(joined, 42)], np.uint64)
-        return [int(_remixed(one, k)[0]) for k in range(prints)]
-    lengths = np.fromiter(map(len, w), np.int64, n)
+def shingle_hashes(text: str | bytes | None, words: int) -> Iterator[np.ndarray]:
+    """XXH64 hashes of the word shingles of a text with A-Z lower-cased, repeats included, BLOCK at a time.
+
+    A text of fewer words is one shingle; null and texts without words give none.
+    """
+    w = (text.encode() if isinstance(text, str) else text or b"").lower().split()  # bytes: A-Z and the six ASCII spaces only
+    if not w:
+        return
+    joined, digest = b" ".join(w), xxhash.xxh64_intdigest
+    if len(w) <= words:
+        yield np.array([digest(joined, 42)], np.uint64)
+        return
+    lengths = np.fromiter(map(len, w), np.int64, len(w))
     del w
     ends = np.cumsum(lengths + 1) - 1
-    starts, ends = (ends - lengths)[: n - words + 1], ends[words - 1 :]
-    total, counts = len(starts), np.zeros((prints, 64), np.int64)
-    for b in range(0, total, BLOCK):
-        h = np.array([digest(joined[x:y], 42) for x, y in zip(starts[b : b + BLOCK].tolist(), ends[b : b + BLOCK].tolist(), strict=True)], np.uint64)
-        for k in range(prints):
-            counts[k] += np.unpackbits(_remixed(h, k).astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
-    return [int.from_bytes(np.packbits(2 * c > total).tobytes(), "big") for c in counts]
+    starts, ends = (ends - lengths)[: len(lengths) - words + 1], ends[words - 1 :]
+    for b in range(0, len(starts), BLOCK):
+        yield np.array([digest(joined[x:y], 42) for x, y in zip(starts[b : b + BLOCK].tolist(), ends[b : b + BLOCK].tolist(), strict=True)], np.uint64)
 
 
-def simhash64(text: str | bytes | None, words: int = 3) -> int:
-    return simhash(text, words)[0]
+def fingerprint(blocks: Iterable[np.ndarray]) -> int:
+    """The unsigned 64-bit fingerprint of hashes: a bit is 1 if it is set in over half of them; no hashes give 0."""
+    total, counts = 0, np.zeros(64, np.int64)
+    for h in blocks:
+        total += len(h)
+        counts += np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big")
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", words: int = 3, out: str = "fp", keep_text: bool = True, prints: int = 1) -> DataFrame:
-    """Add the fingerprint as a signed long (``prints`` > 1: ``out``0, ``out``1, ...); all other columns pass through untouched."""
-    names = [out] if prints == 1 else [f"{out}{k}" for k in range(prints)]
+def simhash(text: str | bytes | None, words: int = 3) -> int:
+    """The fingerprint of the word shingles of a text; 0 for no words or null."""
+    return fingerprint(shingle_hashes(text, words))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            i = b.schema.get_field_index("__text")
-            fp = np.array([simhash(x.as_buffer().to_pybytes() if x.is_valid else None, words, prints) for x in b.column(i)], np.uint64).reshape(-1, prints).view(np.int64)
-            cols = [c for k, c in enumerate(b.columns) if k != i]
-            fields = [f for k, f in enumerate(b.schema) if k != i] + [pa.field(n, pa.int64()) for n in names]
-            yield pa.RecordBatch.from_arrays([*cols, *[pa.array(np.ascontiguousarray(fp[:, k])) for k in range(prints)]], schema=pa.schema(fields))
 
-    left = docs if keep_text else docs.drop(text)
-    given = docs.select(*[docs[c] for c in left.columns], docs[text].cast("binary").alias("__text"))
-    return given.mapInArrow(run, T.StructType([*left.schema.fields, *[T.StructField(n, T.LongType()) for n in names]]))
+def with_fingerprint(docs: DataFrame, text: str = "text", words: int = 3, out: str = "fp", keep_text: bool = True) -> DataFrame:
+    """Add the fingerprint as a signed long; all other columns pass through untouched."""
+
+    def task() -> Callable[[pa.Array], list[pa.Array]]:
+        return lambda texts: [pa.array([signed(simhash(raw(x), words)) for x in texts], pa.int64())]
+
+    return extended(docs, text, [T.StructField(out, T.LongType())], task, () if keep_text else (text,))
 
 
 @dataclass(frozen=True)
@@ -226,45 +224,41 @@ def _forest(a: np.ndarray, b: np.ndarray, close: np.ndarray) -> list[tuple[int,
     return out
 
 
-def blocked_links(hot: DataFrame, radius: int, also: tuple[str, ...] = (), total: int = 0, block: int = 128) -> DataFrame:
+def blocked_links(hot: DataFrame, radius: int, block: int = 128) -> DataFrame:
     """Links among the members of each hot bucket (part, v), as stars: a bucket is cut into blocks by hash, each pair of
     blocks is compared in a task of its own, and what leaves it is each member's link to the smallest of its component there."""
     import pandas as pd
 
     size = hot.groupBy("part", "v").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
-    rows = hot.join(save(size, "hot-sizes"), ["part", "v"]).withColumn("b", F.pmod(F.xxhash64("fp", *also), F.col("nb")).cast("int"))
-    rows = rows.select("part", "v", "node", "fp", *also, "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
-    rows = rows.select("part", "v", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "node", "fp", *also)
+    rows = hot.join(save(size, "hot-sizes"), ["part", "v"]).withColumn("b", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))
+    rows = rows.select("part", "v", "node", "fp", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
+    rows = rows.select("part", "v", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "node", "fp")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["node", "fp", *also])
+        pdf = pdf.drop_duplicates(["node", "fp"])
         node, fp = pdf["node"].to_numpy(np.int64), pdf["fp"].to_numpy(np.int64).view(np.uint64)
-        near = np.bitwise_count(fp[:, None] ^ fp[None, :])
-        close = near <= radius
-        if also:
-            whole = near.astype(np.int32)
-            for c in also:
-                x = pdf[c].to_numpy(np.int64).view(np.uint64)
-                whole += np.bitwise_count(x[:, None] ^ x[None, :])
-            close &= whole <= total
-        least = node.copy()
-        while True:  # smallest label among those close, until nothing changes
-            nxt = np.where(close, least[None, :], np.iinfo(np.int64).max).min(1)
-            if (nxt == least).all():
-                break
-            least = nxt
+        least = _least_reached(node, np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius)
         out = node != least
         return pd.DataFrame({"src": least[out], "dst": node[out]})
 
     return rows.groupBy("part", "v", "i", "j").applyInPandas(run, "src long, dst long")
 
 
-def link_fingerprints(fps: DataFrame, radius: int = 2, plan: Plan | None = None, also: tuple[str, ...] = (), total: int = 0) -> DataFrame:
+def _least_reached(node: np.ndarray, close: np.ndarray) -> np.ndarray:
+    """For each node the smallest one that it reaches over the symmetric relation ``close``."""
+    least = node.copy()
+    while True:
+        nxt = np.where(close, least[None, :], np.iinfo(np.int64).max).min(1)
+        if (nxt == least).all():
+            return least
+        least = nxt
+
+
+def link_fingerprints(fps: DataFrame, radius: int = 2, plan: Plan | None = None) -> DataFrame:
     """Links (src, dst) whose connected components are those of "at most ``radius`` bits of fp differ".
 
     ``fps`` has ``node`` (longs) and ``fp`` (signed longs) in a saved table; rows
-    of one node count as linked already.  With ``also``, further fingerprint columns, a pair must besides differ in
-    at most ``total`` bits of all of them together.  Buckets of up to HOT members
+    of one node count as linked already.  Buckets of up to HOT members
     are joined with their probes and verified.  Larger ones lose nothing: at
     radius 2 their members meet at shared one-bit neighbours (:func:`star_links`,
     where node is fp), else in pairs of blocks (:func:`blocked_links`).
@@ -276,19 +270,12 @@ def link_fingerprints(fps: DataFrame, radius: int = 2, plan: Plan | None = None,
     if not hot.isEmpty():
         cool_i = save(index.join(hot, ["part", "v"], "left_anti"), "index")
         cool_p = cool_i if max(plan.radii) < 1 else save(probe.join(hot, ["part", "v"], "left_anti"), "probes")
-        if radius == 2 and not also:
+        if radius == 2:
             links = star_links(probe.join(hot, ["part", "v"], "left_semi").select("fp").distinct())
         else:
-            links = blocked_links(save(probe.join(hot, ["part", "v"], "left_semi"), "hot"), radius, also, total)
-    a = cool_i.select("part", "v", *[F.col(c).alias(f"{c}_a") for c in ("node", "fp", *also)])
-    b = cool_p.select("part", "v", *[F.col(c).alias(f"{c}_b") for c in ("node", "fp", *also)])
-
-    def apart(c: str) -> Column:
-        return F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
-
-    near = apart("fp") <= radius
-    if also:
-        near &= sum((apart(c) for c in also), apart("fp")) <= total
+            links = blocked_links(save(probe.join(hot, ["part", "v"], "left_semi"), "hot"), radius)
+    a, b = (x.select("part", "v", F.col("node").alias(f"node_{n}"), F.col("fp").alias(f"fp_{n}")) for x, n in ((cool_i, "a"), (cool_p, "b")))
+    near = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= radius
     pairs = a.join(b, (a.part == b.part) & (a.v == b.v) & (F.col("node_a") < F.col("node_b")) & near).select(F.col("node_a").alias("src"), F.col("node_b").alias("dst"))
     return (pairs if links is None else pairs.union(links)).distinct()
 
@@ -317,157 +304,6 @@ def simhash_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     Null and empty texts have fingerprint zero, which links like any other;
     repeated rows give repeated rows; other columns are not read.
     """
-    prints = save(with_fingerprint(docs.select(F.col(id_col), F.col(text).alias("__t")), "__t", words, keep_text=False), "prints")
-    comp = near_duplicates(prints, radius, id_col)
-    return prints.join(comp, "fp").select(F.col(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def shingle_set(text: bytes | None, words: int = 5) -> np.ndarray:
-    """Sorted 64-bit hashes of a text's distinct word shingles, A-Z lower-cased; a text of fewer words is one shingle, no words give none."""
-    w = (text or b"").lower().split()
-    if not w:
-        return np.zeros(0, np.uint64)
-    if len(w) < words:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(w), 42)], np.uint64)
-    lengths = np.fromiter(map(len, w), np.int64, len(w))
-    joined = b" ".join(w)
-    ends = np.cumsum(lengths + 1) - 1
-    starts, ends = (ends - lengths)[: len(w) - words + 1], ends[words - 1 :]
-    del w
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[x:y], 42) for x, y in zip(starts, ends, strict=True)), np.uint64, len(starts)))
-
-
-def band_hashes(shingles: np.ndarray, bands: int, rows: int) -> list[int]:
-    """A signed long for each band of ``rows`` min-hashes of a shingle set; none for the empty set."""
-    if not len(shingles):
-        return []
-    k = np.arange(1, 2 * bands * rows + 1).astype(np.uint64)
-    mask, factor = _remixed(k[: bands * rows], 1), _remixed(k[bands * rows :], 1) | np.uint64(1)
-    least = np.full(bands * rows, (1 << 64) - 1, np.uint64)
-    for b in range(0, len(shingles), 256):
-        least = np.minimum(least, ((shingles[b : b + 256, None] ^ mask) * factor).min(0))
-    return [signed(xxhash.xxh64_intdigest(least[x * rows : (x + 1) * rows].tobytes(), x)) for x in range(bands)]
-
-
-def _with_bands(docs: DataFrame, text: str, words: int, bands: int, rows: int) -> DataFrame:
-    """Add ``__set``, a 128-bit digest of the shingle set, and ``__bands``; all other columns pass through untouched."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            i = b.num_columns - 1
-            sets, out = [], []
-            for x in b.column(i):
-                s = shingle_set(x.as_buffer().to_pybytes() if x.is_valid else None, words)
-                sets.append(xxhash.xxh3_128_digest(s.tobytes()))
-                out.append(band_hashes(s, bands, rows))
-            fields = [*list(b.schema)[:i], pa.field("__set", pa.binary()), pa.field("__bands", pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:i], pa.array(sets, pa.binary()), pa.array(out, pa.list_(pa.int64()))], schema=pa.schema(fields))
-
-    given = docs.select("*", docs[text].cast("binary").alias("__text"))
-    return given.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__set", T.BinaryType()), T.StructField("__bands", T.ArrayType(T.LongType()))]))
-
-
-def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
-    """(node, s): the shingle sets of (node, binary text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
-                sets = [shingle_set(x.as_buffer().to_pybytes() if x.is_valid else None, words).view(np.int64) for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
-
-    return texts.mapInArrow(run, "node long, s array<long>")
-
-
-def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Which pairs of sets have at least that Jaccard similarity, counted over all members, 4,096 shingles at a time."""
-    n = np.array([len(x) for x in sets], np.float64)
-    common = np.zeros((len(sets), len(sets)))
-    owner = np.repeat(np.arange(len(sets)), n.astype(np.int64))
-    _, of, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    met = count[of] > 1  # a shingle of one set alone is in no intersection
-    owner, (_, of) = owner[met], np.unique(of[met], return_inverse=True)
-    order = np.argsort(of, kind="stable")
-    owner, of = owner[order], of[order]
-    for c in range(0, int(of[-1]) + 1 if len(of) else 0, 4096):
-        x, y = np.searchsorted(of, [c, c + 4096])
-        hit = np.zeros((len(sets), 4096), np.float32)
-        hit[owner[x:y], of[x:y] - c] = 1
-        common += hit @ hit.T
-    np.fill_diagonal(common, n)
-    return common >= similarity * (n[:, None] + n[None, :] - common)
-
-
-def _hot_links(hot: DataFrame, similarity: float, block: int = 128) -> DataFrame:
-    """Verified links among the members (h, size, node, s) of large buckets, as stars: a bucket is cut into blocks by
-    hash, each pair of blocks is compared in a task of its own, and each member is linked to the smallest of its component there."""
-    import pandas as pd
-
-    rows = hot.withColumn("nb", F.ceil(F.col("size") / block).cast("int")).withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-    rows = rows.select("h", "node", "s", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
-    rows = rows.select("h", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "node", "s")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        node = pdf["node"].to_numpy(np.int64)
-        close = similar(list(pdf["s"]), similarity)
-        least = node.copy()
-        while True:  # smallest label among those close, until nothing changes
-            nxt = np.where(close, least[None, :], np.iinfo(np.int64).max).min(1)
-            if (nxt == least).all():
-                break
-            least = nxt
-        out = node != least
-        return pd.DataFrame({"src": least[out], "dst": node[out]})
-
-    return rows.groupBy("h", "i", "j").applyInPandas(run, "src long, dst long")
-
-
-def jaccard_links(nodes: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
-    """Links (src, dst) between nodes that share a band, each verified by the exact Jaccard similarity of the shingle sets.
-
-    nodes: (node, bands), texts: (node, binary text), both from saved tables.  In buckets of more than HOT members blocks
-    are compared and stars leave them; what these join isn't compared again in the others, whose pairs are joined.
-    """
-    index = nodes.select("node", F.explode("bands").alias("h"))
-    size = save(index.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1"), "buckets")
-    met = save(index.join(size, "h"), "members")
-    sets = save(_shingle_sets(texts.join(met.select("node").distinct(), "node", "left_semi"), words), "shingles")
-    hot = met.filter(F.col("size") > HOT)
-    found, cool = None, met.filter(F.col("size") <= HOT).withColumn("c", F.col("node"))
-    if not hot.isEmpty():
-        found = save(_hot_links(hot.join(sets, "node"), similarity), "hot-links")
-        comp = connected_components(found).select("node", "component")
-        cool = save(met.filter(F.col("size") <= HOT).join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"), "cool")
-    length = sets.select("node", F.size("s").alias("n"))
-    cool = save(cool.join(length, "node").select("h", "node", "c", "n"), "cool-members")
-    a, b = (cool.select("h", *[F.col(k).alias(f"{k}_{x}") for k in ("node", "c", "n")]) for x in "ab")
-    may = (F.col("node_a") < F.col("node_b")) & (F.col("c_a") != F.col("c_b")) & (F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b"))
-    pairs = save(a.join(b, (a.h == b.h) & may).select("node_a", "node_b").distinct(), "pairs")
-    left, right = (sets.select(F.col("node").alias(f"node_{x}"), F.col("s").alias(f"s_{x}")) for x in "ab")
-    both = pairs.join(left, "node_a").join(right, "node_b").withColumn("common", F.size(F.array_intersect("s_a", "s_b")))
-    union = F.size("s_a") + F.size("s_b") - F.col("common")
-    links = both.filter(F.col("common") >= F.lit(similarity) * union).select(F.col("node_a").alias("src"), F.col("node_b").alias("dst"))
-    return save(links if found is None else links.union(found), "links")
-
-
-def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 5) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id stays.
-
-    Two texts are linked if the Jaccard similarity of their sets of word shingles, over the whole texts, is at
-    least ``similarity``.  Fingerprints only find the candidates: ``bands`` groups of ``rows`` min-hashes, one
-    of which must be equal.  A pair of similarity s has no equal one with the chance (1 - s^rows)^bands: 0.00007
-    at 0.8.  Equal sets are one node, so copies cost nothing.  Null and empty texts
-    are equal to each other; null ids come after all others; of repeated rows one
-    stays; all columns are kept as they are.
-    """
-    given = docs.withColumn("__row", F.monotonically_increasing_id())
-    wide = save(_with_bands(given, text, words, bands, rows), "wide")
-    first = F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("__row").alias("r")))
-    nodes = wide.groupBy("__set").agg(first.alias("first"), F.first("__bands").alias("bands"))
-    nodes = save(nodes.withColumn("node", F.col("first.r")), "nodes")
-    links = jaccard_links(nodes.select("node", "bands"), wide.select(F.col("__row").alias("node"), F.col(text).cast("binary").alias("t")), similarity, words)
-    comp = connected_components(links).withColumnRenamed("node", "__was")
-    named = nodes.join(comp, F.col("node") == F.col("__was"), "left").withColumn("c", F.coalesce("component", "node"))
-    stay = save(named.groupBy("c").agg(F.min("first").alias("first")).select(F.col("first.r").alias("__row")), "stay")
-    return wide.join(stay, "__row", "left_semi").drop("__row", "__set", "__bands")
+    prints = save(with_fingerprint(docs.select(named(id_col).alias("id"), named(text).alias("t")), "t", words, keep_text=False), "prints")
+    comp = near_duplicates(prints, radius, "id")
+    return prints.join(comp, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
