@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import extended, named, spare
+from .columns import extended, named, raw, spare
 from .scratch import save
 
 #: Code points of a chunk, and how far a chunk reads into the next one.
@@ -148,16 +148,21 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, text: str =
     t, names = named(text), [c for c in docs.columns if c not in ("ids", "decoded") and (keep_text or c != text)]
     length = F.coalesce(F.length(t), F.lit(0))
     short = extended(docs.filter(length <= chunk), text, fields, task, () if keep_text else (text,))
-    k1, k2, own, i, d = spare(docs, "__k1", "__k2", "__own", "__ids", "__decoded")
+    k1, k2, own, i = spare(docs, "__k1", "__k2", "__own", "__ids")
     long = docs.filter(length > chunk).select(*[named(c) for c in names], F.xxhash64(t).alias(k1), F.md5(t.cast("binary")).alias(k2), t.alias(own))
     coded = _encode_long(long.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), F.col(own).alias("t")), spec, key, chunk)
-    coded = coded.withColumnsRenamed({"k1": k1, "k2": k2, "ids": i, "decoded": d})
-    joined = long.drop(own).join(coded, [k1, k2]).select(*[named(c) for c in names], F.col(i).alias("ids"), F.col(d).alias("decoded"))
-    return short.union(joined)
+    coded = coded.withColumnsRenamed({"k1": k1, "k2": k2, "ids": i})
+    joined = long.drop(own).join(coded, [k1, k2]).select(*[named(c) for c in names], F.col(i).alias("ids"))
+
+    def back() -> Callable[[pa.Array], list[pa.Array]]:
+        codec = worker_codec(spec, key)
+        return lambda ids: [pa.array((codec.decode(raw(x)) for x in ids), pa.binary())]
+
+    return short.union(extended(joined, "ids", fields[1:], back))
 
 
 def _encode_long(long: DataFrame, spec: Broadcast, codec_key: str, chunk: int) -> DataFrame:
-    """(k1, k2, ids, decoded) for the distinct texts of ``long``."""
+    """(k1, k2, ids) for the distinct texts of ``long``."""
     key = ["k1", "k2"]
     texts = save(long.dropDuplicates(key), "long-texts")
     n = F.ceil(F.length("t") / chunk).cast("int")
@@ -188,17 +193,12 @@ def _encode_long(long: DataFrame, spec: Broadcast, codec_key: str, chunk: int) -
         codec = worker_codec(spec, codec_key)
         for b in batches:
             ids = [codec.encode(s) for s in b.column(3).to_pylist()]
-            cols = [*b.columns[:3], pa.array(ids, pa.binary()), pa.array(map(codec.decode, ids), pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["k1", "k2", "c", "ids", "decoded"])
-
-    coded = spans.repartition(*key, "c").mapInArrow(encode, "k1 long, k2 string, c int, ids binary, decoded binary")
-    put = coded.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("c", "ids", "decoded"))).alias("all"))
-
-    def glue(field: str) -> Column:
-        """All pieces in one go: as text of two digits a byte, since only text is joined in one step."""
-        return F.unhex(F.array_join(F.transform("all", lambda x: F.hex(x[field])), ""))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(ids, pa.binary())], names=["k1", "k2", "c", "ids"])
 
-    return save(put.select(*key, glue("ids").alias("ids"), glue("decoded").alias("decoded")), "long-ids")
+    coded = spans.repartition(*key, "c").mapInArrow(encode, "k1 long, k2 string, c int, ids binary")
+    put = coded.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("c", "ids"))).alias("all"))
+    # all pieces in one go, as text of two digits a byte, since only text is joined in one step
+    return save(put.select(*key, F.unhex(F.array_join(F.transform("all", lambda x: F.hex(x["ids"])), "")).alias("ids")), "long-ids")
 
 
 def digests(encoded: DataFrame) -> list[Column]:
