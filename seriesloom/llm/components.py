@@ -49,5 +49,5 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         root = parent.join(further, "p", "left").select("u", F.coalesce("q", "p").alias("p"))
     found = save(root, "roots")
     discard(e, *parents)
-    named = found.groupBy("p").agg(F.min("u").alias("component"))
+    named = save(found.groupBy("p").agg(F.min("u").alias("component")), "least")  # apart from the join, where a giant component's partition can then be split
     return found.join(named, "p").select(F.col("u").alias("node"), "component")

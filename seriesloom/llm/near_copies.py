@@ -116,6 +116,7 @@ def _may(similarity: float) -> Column:
 def _led(met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Verified links of the members (h, node, n) of buckets with the smallest node of their bucket: one comparison a member."""
     lead = met.groupBy("h").agg(F.min(F.struct("node", "n")).alias("l")).select("h", F.col("l.node").alias("node_a"), F.col("l.n").alias("n_a"))
+    lead = save(lead, "leaders")  # apart from the join, whose partition with a hot bucket can then be split
     pairs = met.select("h", F.col("node").alias("node_b"), F.col("n").alias("n_b")).join(lead, "h").filter(F.col("node_a") != F.col("node_b")).filter(_may(similarity))
     return _verified(save(pairs.select("node_a", "node_b").distinct(), "led-pairs"), sets, similarity)
 
