@@ -177,17 +177,22 @@ def _encode_long(long: DataFrame, spec: Broadcast, codec_key: str, chunk: int) -
                 head, tail = chunk_cuts(pattern, s, len(s) < chunk + OVERLAP, chunk)
                 heads.append(head)
                 tails.append(tail)
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))], names=["k1", "k2", "n", "c", "head", "tail"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))], names=["k1", "k2", "n", "c", "s", "head", "tail"])
 
-    found = save(pieces.repartition(*key, "c").mapInArrow(cuts, "k1 long, k2 string, n int, c int, head array<int>, tail array<int>"), "chunk-cuts")
+    found = save(pieces.repartition(*key, "c").mapInArrow(cuts, "k1 long, k2 string, n int, c int, s string, head array<int>, tail array<int>"), "chunk-cuts")
     before = found.select(*key, (F.col("c") + 1).alias("c"), F.col("tail").alias("met"))
     cut = found.filter("c > 0").join(before, [*key, "c"]).select(*key, "n", "c", F.array_min(F.array_intersect("head", "met")).alias("at"))
     cut = save(cut, "cuts")
-    where = F.array_sort(F.collect_list(F.col("at") + F.col("c") * chunk))  # a number for each chunk of a text
-    cuts_of = save(cut.groupBy(*key).agg(F.when(~F.max(F.col("at").isNull()), where).otherwise(F.array().cast("array<int>")).alias("cuts")), "cuts-of")
-    stops = F.concat("cuts", F.array(F.length("t")))
-    spans = texts.join(cuts_of, key).select(*key, "t", F.posexplode(F.zip_with(F.concat(F.array(F.lit(0)), "cuts"), stops, lambda a, z: F.struct(a.alias("a"), z.alias("z")))).alias("c", "x"))
-    spans = spans.select(*key, "c", F.substring(F.col("t"), F.col("x.a") + 1, F.col("x.z") - F.col("x.a")).alias("s"))
+    # a span lies in the piece that it begins in, since that reads on to where the next one is cut at the latest
+    starts = cut.select(*key, "c", F.col("at").alias("a"))
+    ends = cut.select(*key, (F.col("c") - 1).alias("c"), (F.col("at") + chunk).alias("z"))
+    placed = found.join(starts, [*key, "c"], "left").join(ends, [*key, "c"], "left")
+    a = F.coalesce("a", F.lit(0))
+    spans = placed.select(*key, "c", F.substring(F.col("s"), a + 1, F.coalesce("z", F.length("s")) - a).alias("s"))
+    torn = save(cut.filter("at is null").select(*key).distinct(), "torn")
+    if not torn.isEmpty():  # texts with a piece longer than the overlap, as they are
+        whole = texts.join(torn, key, "left_semi").select(*key, F.lit(0).alias("c"), F.col("t").alias("s"))
+        spans = spans.join(torn, key, "left_anti").union(whole)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_codec(spec, codec_key)
@@ -195,7 +200,7 @@ def _encode_long(long: DataFrame, spec: Broadcast, codec_key: str, chunk: int) -
             ids = [codec.encode(s) for s in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(ids, pa.binary())], names=["k1", "k2", "c", "ids"])
 
-    coded = spans.repartition(*key, "c").mapInArrow(encode, "k1 long, k2 string, c int, ids binary")
+    coded = spans.mapInArrow(encode, "k1 long, k2 string, c int, ids binary")
     put = coded.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("c", "ids"))).alias("all"))
     # all pieces in one go, as text of two digits a byte, since only text is joined in one step
     return save(put.select(*key, F.unhex(F.array_join(F.transform("all", lambda x: F.hex(x["ids"])), "")).alias("ids")), "long-ids")
