@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import extended, named, raw, spare
+from .columns import array, extended, named, raw, slices, spare
 from .scratch import save
 
 #: Code points of a chunk, and how far a chunk reads into the next one.
@@ -141,7 +141,7 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, text: str =
 
         def make(texts: pa.Array) -> list[pa.Array]:
             ids = [codec.encode(x.as_py() or "") for x in texts]
-            return [pa.array(ids, pa.binary()), pa.array(map(codec.decode, ids), pa.binary())]
+            return [array(ids, pa.binary()), array(map(codec.decode, ids), pa.binary())]
 
         return make
 
@@ -156,7 +156,7 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, text: str =
 
     def back() -> Callable[[pa.Array], list[pa.Array]]:
         codec = worker_codec(spec, key)
-        return lambda ids: [pa.array((codec.decode(raw(x)) for x in ids), pa.binary())]
+        return lambda ids: [array((codec.decode(raw(x)) for x in ids), pa.binary())]
 
     return short.union(extended(joined, "ids", fields[1:], back))
 
@@ -171,13 +171,13 @@ def _encode_long(long: DataFrame, spec: Broadcast, codec_key: str, chunk: int) -
 
     def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern = worker_codec(spec, codec_key).pattern
-        for b in batches:
+        for b in slices(batches, 4):
             heads, tails = [], []
-            for s in b.column(4).to_pylist():
-                head, tail = chunk_cuts(pattern, s, len(s) < chunk + OVERLAP, chunk)
+            for x in b.column(4):
+                head, tail = chunk_cuts(pattern, s := x.as_py(), len(s) < chunk + OVERLAP, chunk)
                 heads.append(head)
                 tails.append(tail)
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))], names=["k1", "k2", "n", "c", "s", "head", "tail"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], array(heads, pa.list_(pa.int32())), array(tails, pa.list_(pa.int32()))], names=["k1", "k2", "n", "c", "s", "head", "tail"])
 
     found = save(pieces.repartition(*key, "c").mapInArrow(cuts, "k1 long, k2 string, n int, c int, s string, head array<int>, tail array<int>"), "chunk-cuts")
     before = found.select(*key, (F.col("c") + 1).alias("c"), F.col("tail").alias("met"))
@@ -196,9 +196,9 @@ def _encode_long(long: DataFrame, spec: Broadcast, codec_key: str, chunk: int) -
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_codec(spec, codec_key)
-        for b in batches:
-            ids = [codec.encode(s) for s in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(ids, pa.binary())], names=["k1", "k2", "c", "ids"])
+        for b in slices(batches, 3):
+            ids = [codec.encode(s.as_py()) for s in b.column(3)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], array(ids, pa.binary())], names=["k1", "k2", "c", "ids"])
 
     coded = spans.mapInArrow(encode, "k1 long, k2 string, c int, ids binary")
     put = coded.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("c", "ids"))).alias("all"))

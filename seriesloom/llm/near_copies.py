@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import extended, named, raw, spare
+from .columns import array, extended, named, raw, spare
 from .components import connected_components
 from .scratch import discard, save, sieved
 from .simhash import _least_reached, fingerprint, near_duplicates, shingle_hashes, signed
@@ -65,7 +65,7 @@ def _profiled(docs: DataFrame, text: str, words: int, bands: int, rows: int, nam
                 s = np.unique(np.concatenate([np.zeros(0, np.uint64), *blocks]))
                 got.append((xxhash.xxh3_128_digest(s.tobytes()), len(s), signed(fingerprint(blocks)), band_hashes(s, bands, rows)))
             kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            return [pa.array([g[k] for g in got], kind) for k, kind in enumerate(kinds)]
+            return [array([g[k] for g in got], kind) for k, kind in enumerate(kinds)]
 
         return make
 
@@ -77,7 +77,7 @@ def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     """(node, s): the shingle sets of (node, text)."""
 
     def task() -> Callable[[pa.Array], list[pa.Array]]:
-        return lambda column: [pa.array([shingle_set(raw(x), words).view(np.int64) for x in column], pa.list_(pa.int64()))]
+        return lambda column: [array([shingle_set(raw(x), words).view(np.int64) for x in column], pa.list_(pa.int64()))]
 
     return extended(texts, "t", [T.StructField("s", T.ArrayType(T.LongType()))], task, ("t",))
 

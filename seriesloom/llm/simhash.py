@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import extended, named, raw
+from .columns import array, extended, named, raw
 from .components import connected_components
 from .scratch import save
 
@@ -79,7 +79,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", words: int = 3, out: s
     """Add the fingerprint as a signed long; all other columns pass through untouched."""
 
     def task() -> Callable[[pa.Array], list[pa.Array]]:
-        return lambda texts: [pa.array([signed(simhash(raw(x), words)) for x in texts], pa.int64())]
+        return lambda texts: [array([signed(simhash(raw(x), words)) for x in texts], pa.int64())]
 
     return extended(docs, text, [T.StructField(out, T.LongType())], task, () if keep_text else (text,))
 
@@ -139,7 +139,7 @@ def _bits_together(fps: DataFrame) -> tuple[np.ndarray, int]:
             total += bits.T @ bits
             n += len(bits)
         flat = np.append(total.ravel(), n).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(flat.size, dtype=np.int32)), pa.array(flat)], names=["k", "c"])
+        yield pa.RecordBatch.from_arrays([array(range(flat.size), pa.int32()), array(flat, pa.int64())], names=["k", "c"])
 
     got = fps.select("fp").mapInArrow(run, "k int, c long").groupBy("k").agg(F.sum("c").alias("c")).collect()
     flat = np.zeros(64 * 64 + 1)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import extended, named, spare
+from .columns import array, extended, named, spare
 from .scratch import save
 
 #: Token classes.
@@ -291,7 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
             words = [TOKEN.findall(t.lower()) for t in b.column(1).to_pylist()]
             words = [[w for w in ws if w[0] not in _ENDS and w[0] not in _QUOTES] for ws in words]
             hashes = [_min_hashes(ws) for ws in words]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashes, pa.list_(pa.int64())), b.column(1)], names=["y", "h", "t"])
+            yield pa.RecordBatch.from_arrays([b.column(0), array(hashes, pa.list_(pa.int64())), b.column(1)], names=["y", "h", "t"])
 
     rows = save(chosen.mapInArrow(prepared, "y int, h array<long>, t string"), "toxicity-sample").withColumn("k", F.expr("h[0]"))
     met: list[set[int]] = [set() for _ in range(4)]
@@ -302,7 +302,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
         for x, m in zip(h, met, strict=True):
             m.add(x)
     spark = docs.sparkSession
-    once = spark.createDataFrame(kept, "y int, k long") if kept else spark.createDataFrame([], "y int, k long")
+    once = pa.table({"y": pa.array([y for y, _ in kept], pa.int32()), "k": pa.array([k for _, k in kept], pa.int64())})
+    once = spark.createDataFrame(once, "y int, k long")  # rows would start further Python workers on each executor
     rows = save(rows.join(F.broadcast(once), ["y", "k"]).dropDuplicates(["y", "k"]).select("y", "t"), "toxicity-distinct")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +313,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
             forms = list(seen[0].keys() | seen[1].keys())
             for k in range(0, len(forms), 10_000):
                 part = forms[k : k + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *[pa.array([s[f] for f in part], pa.int64()) for s in seen]], names=["f", "clean", "toxic", "aimed"])
+                yield pa.RecordBatch.from_arrays([array([f.encode() for f in part], pa.binary()).cast(pa.string()), *[array([s[f] for f in part], pa.int64()) for s in seen]], names=["f", "clean", "toxic", "aimed"])
             for s in seen:
                 s.clear()
 
@@ -338,7 +339,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
         scorer = Scorer(model)
         for b in batches:
             x = [scorer.clauses(t).tolist() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
     got = rows.mapInArrow(measured, "y int, x array<double>").collect()
     return model._replace(coef=fit_clauses(np.array([r.x for r in got]), np.array([r.y for r in got]))) if got else model
@@ -349,7 +350,7 @@ def with_score(docs: DataFrame, model: Model, text: str = "text", out: str = "sc
 
     def task() -> Callable[[pa.Array], list[pa.Array]]:
         scorer = Scorer(model)
-        return lambda texts: [pa.array([scorer.score(x.as_py()) for x in texts], pa.float64())]
+        return lambda texts: [array([scorer.score(x.as_py()) for x in texts], pa.float64())]
 
     return extended(docs, text, [T.StructField(out, T.DoubleType())], task, () if keep_text else (text,))
 

@@ -7,16 +7,21 @@ import itertools
 import math
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import corpus_pipeline
 from seriesloom.llm import bpe, components, embeddings, mixing, near_copies, ogg, pii, queries, sharding, simhash, toxicity, urlfilter, warc
@@ -727,3 +732,43 @@ def test_pipeline_stages_keep_columns(spark, docs):
         if k < len(corpus_pipeline.STAGES) - 1:
             assert got.columns == docs.columns
     assert "ids_sha256" in got.columns and got.count() > 0
+
+
+def test_slices_are_bounded_by_bytes(spark):
+    """Long texts don't meet 512 at a time in a worker, and each row is in one slice."""
+    from seriesloom.llm.columns import BYTES, extended
+
+    sizes = [5, BYTES // 4, None, 1, 3 * BYTES, 0, *[BYTES // 3] * 7, *[0] * 600]
+    docs = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n int").coalesce(1).selectExpr("doc_id", "repeat('x', n) AS text")
+
+    def task():
+        def make(texts: pa.Array) -> list[pa.Array]:
+            got = [len(x.as_py() or "") for x in texts]
+            return [pa.array([sum(got)] * len(got), pa.int64()), pa.array([len(got)] * len(got), pa.int64())]
+
+        return make
+
+    rows = sorted(extended(docs, "text", [T.StructField("held", T.LongType()), T.StructField("rows", T.LongType())], task).collect())
+    assert [(r.doc_id, None if r.text is None else len(r.text)) for r in rows] == list(enumerate(sizes))
+    assert all(r.held <= BYTES or r.rows == 1 for r in rows) and max(r.rows for r in rows) <= 512
+
+
+def test_worker_arrays():
+    """What workers make is what pa.array makes, slices of batches are cut where they begin, and pandas stays out."""
+    code = """
+import sys
+import numpy as np
+import pyarrow as pa
+from seriesloom.llm.columns import BYTES, array, slices
+made = [(array(v, k), v, k) for v, k in [
+    ([b"ab", b"", b"c"], pa.binary()), ([], pa.binary()), ([[1, 2], [], [-3]], pa.list_(pa.int32())), ([[], []], pa.list_(pa.int64())), ([], pa.list_(pa.int64())),
+    ([np.array([1, 2]), np.zeros(0, np.int64)], pa.list_(pa.int64())), ([0.5, 1], pa.float64()), ([-1 << 63, (1 << 63) - 1], pa.int64()), ([], pa.int64())]]
+batch = pa.RecordBatch.from_arrays([array([b"x" * n for n in (5, BYTES, 1, 1, BYTES - 1, BYTES + 1)] + [b""] * 600, pa.binary())], names=["t"])
+cut = [[s.num_rows for s in slices(iter([b]), 0)] for b in (batch, batch.slice(1, 4), batch.slice(0, 0))]
+assert "pandas" not in sys.modules
+assert cut == [[1, 1, 2, 1, 1, 512, 88], [1, 2, 1], []], cut
+for got, v, k in made:
+    got.validate(full=True)
+    assert got.equals(pa.array(v, k)), (got, v, k)
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[2], timeout=120)
