@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .columns import array, extended, named, raw, slices, spare
-from .scratch import save
+from .scratch import discard, save
 
 #: Code points of a chunk, and how far a chunk reads into the next one.
 CHUNK, OVERLAP = 16_384, 1_024
@@ -193,6 +193,8 @@ def _encode_long(long: DataFrame, spec: Broadcast, codec_key: str, chunk: int) -
     if not torn.isEmpty():  # texts with a piece longer than the overlap, as they are
         whole = texts.join(torn, key, "left_semi").select(*key, F.lit(0).alias("c"), F.col("t").alias("s"))
         spans = spans.join(torn, key, "left_anti").union(whole)
+    else:
+        discard(texts)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_codec(spec, codec_key)
@@ -203,7 +205,9 @@ def _encode_long(long: DataFrame, spec: Broadcast, codec_key: str, chunk: int) -
     coded = spans.mapInArrow(encode, "k1 long, k2 string, c int, ids binary")
     put = coded.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("c", "ids"))).alias("all"))
     # all pieces in one go, as text of two digits a byte, since only text is joined in one step
-    return save(put.select(*key, F.unhex(F.array_join(F.transform("all", lambda x: F.hex(x["ids"])), "")).alias("ids")), "long-ids")
+    out = save(put.select(*key, F.unhex(F.array_join(F.transform("all", lambda x: F.hex(x["ids"])), "")).alias("ids")), "long-ids")
+    discard(texts, found, cut, torn)
+    return out
 
 
 def digests(encoded: DataFrame) -> list[Column]:

@@ -772,3 +772,16 @@ for got, v, k in made:
     assert got.equals(pa.array(v, k)), (got, v, k)
 """
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[2], timeout=120)
+
+
+def test_long_texts_leave_only_their_ids(spark):
+    """What the cuts of long texts were found with is deleted, whether or not a piece is longer than the overlap."""
+    from seriesloom.llm.scratch import shared_dir
+
+    home = Path(shared_dir(spark).removeprefix("file:")) / "seriesloom"
+    for text in ("some words " * 4_000, "x" * 40_000):
+        before = {p.name for p in home.glob("*")}
+        docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+        rows = bpe.encode_documents(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+        assert {r.doc_id: bytes(r.decoded).decode() for r in rows} == {1: text, 2: "short"}
+        assert [n.partition("-")[2] for n in {p.name for p in home.glob("*")} - before] == ["long-ids"]
